@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from foliospark.llm.shared import in_slices, stored
 
-ORDER, SLACK, Z = 5, 0.5, 6.0
+ORDER, SLACK, Z = 5, 0.06, 4.0
 _PAD, _END = "\x02", "\x03"
 _SPACES = b" \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"

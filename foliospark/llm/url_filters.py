@@ -57,30 +57,32 @@ def _domain(name: Column, suffix: Column) -> Column:
     return F.when(name.rlike(r"^[0-9.]+$"), name).otherwise(labels)
 
 
-def _concentration(level: DataFrame) -> Column:
-    """Prior strength of a level with n, k and the parent's mean m: moments of the beta-binomial, as a scalar."""
+def _concentration(level: DataFrame) -> float:
+    """Prior strength of a level with n, k and the parent's mean m: moments of the beta-binomial. At least one page's worth."""
     n, k, m = F.col("n"), F.col("k"), F.col("m")
     extra = F.sum(F.pow(k - n * m, 2) - n * m * (1 - m))
     room = F.sum(n * (n - 1) * m * (1 - m))
-    rho = F.greatest(F.lit(0.001), F.least(F.lit(0.9), F.coalesce(F.when(room > 0, extra / room), F.lit(0.1))))
-    return level.agg(((1 - rho) / rho).alias("c")).scalar()
+    rho = F.greatest(F.lit(0.001), F.least(F.lit(0.5), F.coalesce(F.when(room > 0, extra / room), F.lit(0.1))))
+    return level.agg(((1 - rho) / rho).alias("c")).first().c
+
+
+def _shrunk(level: DataFrame) -> tuple[DataFrame, float]:
+    """The level with its posterior mean as m, and its prior's strength."""
+    c = _concentration(level)
+    return level.withColumn("m", (F.col("k") + c * F.col("m")) / (F.col("n") + c)), c
 
 
 def host_reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
     """outcomes: host, n (labelled pages), k (bad ones); one row a host. Returns host, n, k, posterior_mean, posterior_bound."""
     name = F.regexp_replace("host", r"^.*@|:[0-9]*$", "")
     hosts = outcomes.select("host", "n", "k", _suffix(name).alias("suffix"), _domain(name, _suffix(name)).alias("domain"))
-    domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    overall = suffixes.agg(F.coalesce(F.sum("k") / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.0))).scalar()
-    level = suffixes.withColumn("m", overall)
-    shrunk = level.select("suffix", ((F.col("k") + (c := _concentration(level)) * F.col("m")) / (F.col("n") + c)).alias("m"))
-    level = domains.join(shrunk, "suffix")
-    shrunk = level.select("domain", "suffix", ((F.col("k") + (c := _concentration(level)) * F.col("m")) / (F.col("n") + c)).alias("m"))
-    level = hosts.join(shrunk, ["suffix", "domain"])
-    c = _concentration(level)
-    mean = (F.col("k") + c * F.col("m")) / (F.col("n") + c)
-    return level.select("host", "n", "k", mean.alias("posterior_mean"), (mean - z * F.sqrt(mean * (1 - mean) / (F.col("n") + c + 1))).alias("posterior_bound"))
+    domains = stored(hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "domains")
+    suffixes = stored(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "suffixes")
+    overall = suffixes.agg(F.coalesce(F.sum("k") / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.0)).alias("m")).first().m
+    above, _ = _shrunk(suffixes.withColumn("m", F.lit(overall)))
+    above, _ = _shrunk(domains.join(above.select("suffix", "m"), "suffix"))
+    level, c = _shrunk(hosts.join(above.select("suffix", "domain", "m"), ["suffix", "domain"]))
+    return level.select("host", "n", "k", F.col("m").alias("posterior_mean"), (F.col("m") - z * F.sqrt(F.col("m") * (1 - F.col("m")) / (F.col("n") + c + 1))).alias("posterior_bound"))
 
 
 def judge_pages(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]] = RULES, block_at: float = 0.5) -> DataFrame:
