@@ -1,3 +1,57 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL can express: the contract's rules and each method's definition, without its search structures."""
 
-ORACLES: dict[str, str] = {}
+_UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+OP1 = rf"""
+with seen as (select doc_id page_id, count(*) n, sum((coalesce(toxic,0)=1 or coalesce(quality,1)=0)::int) k from labels group by doc_id),
+p as (select page_id, translate(coalesce(regexp_extract(url,'^.*?://([^/?#]*)',1,'s'),''),'{_UP}','{_LOW}') host, coalesce(regexp_extract(url,'^.*?://[^/?#]*([^?#]*)',1,'s'),'') path from pages),
+h0 as (select host, coalesce(sum(n),0) n, coalesce(sum(k),0) k from p left join seen using (page_id) group by host),
+h1 as (select *, regexp_replace(host,'^.*@|:[0-9]*$','','g') name from h0),
+h as (select host, n, k, split_part(name,'.',-1) suffix, case when regexp_matches(name,'^[0-9.]+$') then name when contains(name,'.') then split_part(name,'.',-2)||'.'||split_part(name,'.',-1) else name end as domain from h1),
+d as (select suffix, domain, sum(n) n, sum(k) k from h group by suffix, domain),
+s as (select suffix, sum(n) n, sum(k) k from d group by suffix),
+s1 as (select *, (select coalesce(sum(k)/nullif(sum(n),0)::double,0) from s) m from s),
+c0 as (select (1-r)/r c from (select greatest(0.001,least(0.5,coalesce(case when sum(n*(n-1)*m*(1-m))>0 then sum((k-n*m)**2-n*m*(1-m))/sum(n*(n-1)*m*(1-m)) end,0.1))) r from s1)),
+s2 as (select suffix, (k+c*m)/(n+c) m from s1, c0),
+d1 as (select d.*, m from d join s2 using (suffix)),
+c1 as (select (1-r)/r c from (select greatest(0.001,least(0.5,coalesce(case when sum(n*(n-1)*m*(1-m))>0 then sum((k-n*m)**2-n*m*(1-m))/sum(n*(n-1)*m*(1-m)) end,0.1))) r from d1)),
+d2 as (select suffix, domain, (k+c*m)/(n+c) m from d1, c1),
+h2 as (select h.*, m from h join d2 using (suffix, domain)),
+c2 as (select (1-r)/r c from (select greatest(0.001,least(0.5,coalesce(case when sum(n*(n-1)*m*(1-m))>0 then sum((k-n*m)**2-n*m*(1-m))/sum(n*(n-1)*m*(1-m)) end,0.1))) r from h2)),
+h3 as (select host, n, k, c, (k+c*m)/(n+c) m from h2, c2),
+rep as (select host, n, k, m-1.645*sqrt(m*(1-m)/(n+c+1)) b from h3),
+rules(verdict, rule) as (values ('allow','org/'), ('block','example.org/es/'), ('block','example.org/en/1'), ('allow','com/fr/'), ('block','com/de/')),
+r as (select verdict, rule, split_part(rule,'/',1) rh, rule[len(split_part(rule,'/',1))+1:] rp from rules),
+u as (select distinct host, path from p),
+fit as (select host, path, arg_max(rule,len(rule)) rule, arg_max(verdict,len(rule)) verdict from u join r on (host=rh or suffix(host,'.'||rh)) and starts_with(path,rp) group by host, path)
+select page_id, p.host, p.path, fit.rule, coalesce(fit.verdict, case when b>=0.5 then 'block' else 'allow' end) verdict, cast(n as bigint) n_labelled, cast(k as bigint) n_bad, round(b,4) posterior_bound
+from p join rep on rep.host=p.host left join fit on fit.host=p.host and fit.path=p.path
+"""
+
+OP2 = """
+with t as (select conv_id, cast(floor(conv_id/2) as bigint) pair_id, conv_id%2 side, coalesce(role,'') as role, coalesce(text,'') as text, row_number() over (partition by conv_id order by turn nulls first, role, text) i from conversations where conv_id is not null),
+sides as (select pair_id, max(case when side=0 then conv_id end) chosen_conv, max(case when side=1 then conv_id end) rejected_conv from t group by pair_id having count(distinct side)=2),
+eq as (select s.pair_id, a.i, coalesce(a.role=b.role and a.text=b.text, false) same from sides s join t a on a.conv_id=s.chosen_conv left join t b on b.conv_id=s.rejected_conv and b.i=a.i),
+lcp as (select pair_id, coalesce(min(case when not same then i end)-1, count(*)) n from eq group by pair_id),
+shown as (select pair_id, conv_id, side, i, '<|'||role||'|>'||chr(10)||text||'<|end|>'||chr(10) said, (length(role)+5)||':0,'||length(text)||':'||(case when role='assistant' then 1 else 0 end)||',8:0' mask from t)
+select s.pair_id, chosen_conv, rejected_conv, cast(n as bigint) n_common,
+ coalesce(string_agg(said,'' order by i) filter (where side=0 and i<=n),'') prompt,
+ coalesce(string_agg(said,'' order by i) filter (where side=0 and i>n),'') chosen, coalesce(string_agg(mask,',' order by i) filter (where side=0 and i>n),'') chosen_mask,
+ coalesce(string_agg(said,'' order by i) filter (where side=1 and i>n),'') rejected, coalesce(string_agg(mask,',' order by i) filter (where side=1 and i>n),'') rejected_mask
+from sides s join lcp using (pair_id) join shown on shown.pair_id=s.pair_id group by s.pair_id, chosen_conv, rejected_conv, n
+"""
+
+_SHINGLES = rf"""select {{id}}, unnest(case when len(w)<=5 then case when len(w)=0 then [] else [array_to_string(w,' ')] end else list_distinct(list_transform(range(1,len(w)-3), lambda i: array_to_string(w[i:i+4],' '))) end) s
+ from (select {{id}}, regexp_extract_all(translate(coalesce(text,''),'{_UP}','{_LOW}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from {{table}})"""
+OP4 = f"""
+with q as ({_SHINGLES.format(id="item_id", table="benchmark")}), d as ({_SHINGLES.format(id="doc_id", table="documents")}), size as (select item_id, count(*) n from q group by item_id)
+select doc_id, q.item_id, count(*) n_shared, max(n) n_item, round(count(*)/max(n)::double,6) containment from d join q using (s) join size on size.item_id=q.item_id group by doc_id, q.item_id having count(*)>=0.8*max(n)
+"""
+
+OP5 = """
+with p as (select page_id, octet_length(encode(coalesce(html,''))) n, sha256(coalesce(html,'')) d from pages),
+f as (select *, min(page_id) over (partition by d) first from p)
+select page_id, cast(n as bigint) payload_bytes, d payload_digest, case when n>=100 and page_id>first then 'revisit' else 'response' end record_type, case when n>=100 and page_id>first then first end refers_to from f
+"""
+
+ORACLES: dict[str, str] = {"op1_url_filters": OP1, "op2_chat_formatting": OP2, "op4_benchmark_decontamination": OP4, "op5_warc": OP5}
