@@ -36,14 +36,24 @@ SIZE, PERMUTATIONS = 5, 48
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """A 64-bit hash for each word."""
-    import xxhash
+class _WordHashes(dict):
+    """word -> 64-bit hash; emptied when large."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        if len(self) > 300_000:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word, 1)
+        return h
+
 
-    digest = xxhash.xxh64_intdigest
+_HASHES = _WordHashes()
+
+
+def word_hashes(text: str | None) -> np.ndarray:
     words = _WORD.findall((text or "").encode().lower())  # bytes: only A-Z are lower-cased
-    seen: dict[bytes, int] = {}
-    return np.array([seen[w] if w in seen else seen.setdefault(w, digest(w, 1)) for w in words], dtype=np.uint64)
+    return np.fromiter(map(_HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
 def shingles(words: np.ndarray, size: int = SIZE) -> np.ndarray:
@@ -83,38 +93,44 @@ class ItemIndex:
             for a in _A:
                 low = np.array([(self.sets[i] * a).min() for i in members], dtype=np.uint64)
                 order = np.argsort(low, kind="stable")
-                bands.append((low[order], np.array(members)[order]))
+                maybe = np.zeros(1 << 16, dtype=bool)  # leading bits that occur at all
+                maybe[low >> np.uint64(48)] = True
+                bands.append((low[order], np.array(members)[order], maybe))
             self.classes[u] = bands
 
-    def search(self, text: str | None, least: float) -> list[tuple[object, int, int]]:
-        """(item id, shingles shared, shingles of the item) of the items contained."""
-        s = shingles(word_hashes(text))
-        if not len(s) or not self.ids:
+    def search(self, texts: list[str | None], least: float) -> list[tuple[int, object, int, int]]:
+        """(place in texts, item id, shingles shared, shingles of the item) of the items contained. Windows of all texts go together."""
+        sets = [shingles(word_hashes(t)) for t in texts]
+        sizes = np.array([len(s) for s in sets])
+        if not sizes.sum() or not self.ids:
             return []
-        candidates: set[int] = set()
-        steps = {u: np.arange(0, len(s), u // 2) for u in self.classes}
+        flat, begin = np.concatenate(sets), np.cumsum(sizes) - sizes
+        steps = {}
+        for u in self.classes:  # a window is three half-class steps of one text, fewer at its end
+            n = -(-sizes // (u // 2))
+            owner = np.repeat(np.arange(len(sizes)), n)
+            starts = np.repeat(begin, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * (u // 2)
+            at, last = np.arange(len(owner)), np.repeat(np.cumsum(n) - 1, n)
+            steps[u] = starts, owner, np.minimum(at + 1, last), np.minimum(at + 2, last)
+        candidates: set[tuple[int, int]] = set()
         for j, a in enumerate(_A):
-            h = s * a
-            for u, starts in steps.items():
+            h = flat * a
+            for u, (starts, owner, second, third) in steps.items():
                 low = np.minimum.reduceat(h, starts)
-                if len(low) > 1:  # a window is three half-class steps
-                    two = np.minimum(low[:-1], low[1:])
-                    low = np.minimum(two[:-1], low[2:]) if len(low) > 2 else two
-                keys, members = self.classes[u][j]
-                left = np.searchsorted(keys, low)
-                hit = keys[np.minimum(left, len(keys) - 1)] == low
-                if hit.any():
-                    for v in np.unique(low[hit]):
-                        candidates.update(members[np.searchsorted(keys, v) : np.searchsorted(keys, v, "right")].tolist())
-        if not candidates:
-            return []
-        have, out = np.unique(s), []
-        for i in sorted(candidates):
+                low = np.minimum(low, np.minimum(low[second], low[third]))
+                keys, members, maybe = self.classes[u][j]
+                hits = np.flatnonzero(maybe[low >> np.uint64(48)])
+                left, right = np.searchsorted(keys, low[hits]), np.searchsorted(keys, low[hits], "right")
+                for k in np.flatnonzero(right > left):
+                    candidates.update((int(owner[hits[k]]), int(m)) for m in members[left[k] : right[k]])
+        out, of, have = [], -1, None
+        for d, i in sorted(candidates):
+            if d != of:
+                of, have = d, np.unique(sets[d])
             own = self.sets[i]
-            at = np.minimum(np.searchsorted(have, own), len(have) - 1)
-            n = int((have[at] == own).sum())
+            n = int((have[np.minimum(np.searchsorted(have, own), len(have) - 1)] == own).sum())
             if n >= least * len(own):
-                out.append((self.ids[i], n, len(own)))
+                out.append((d, self.ids[i], n, len(own)))
         return out
 
 
@@ -145,7 +161,8 @@ def _searcher(held, least: float):
             _INDEX[token] = ItemIndex(held.value)
         index = _INDEX[token]
         for b in in_slices(batches):
-            rows = [(d, *m) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for m in index.search(t, least)]
+            ids = b.column(0).to_pylist()
+            rows = [(ids[d], *rest) for d, *rest in index.search(b.column(1).to_pylist(), least)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], names=["doc_id", "item_id", "n_shared", "n_item"])
 
     return run
