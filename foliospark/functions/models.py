@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _LOADED: dict[str, object] = {}
 
@@ -35,7 +36,7 @@ def score_partitions(df: DataFrame, load_model: Callable[[], object], predict: C
     return df.mapInPandas(run, f"{columns}, {schema}, error string")
 
 
-@F.pandas_udf("array<long>")
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def raster_histogram(data: pd.Series) -> pd.Series:
     """256 counts of an image's bytes."""
     return pd.Series([None if d is None else np.bincount(np.frombuffer(d, dtype=np.uint8), minlength=256).tolist() for d in data])

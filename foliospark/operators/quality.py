@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MOST_TOKENS = 120
 
@@ -13,7 +14,7 @@ def cer(truth: Column, said: Column) -> Column:
     return F.levenshtein(truth, said) / F.length(truth)
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def _token_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     def distance(x, y):
         row = list(range(len(y) + 1))

@@ -18,7 +18,7 @@ _EVENT = "job_id long, seq_id long, ts timestamp_ntz, status string, msg string"
 
 def new_uploads(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
     """A stream of path, name, ext of images as they arrive; other files are ignored."""
-    files = spark.readStream.format("binaryFile").option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_trigger).load(folder).select("path", "modificationTime", "length")
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_trigger).load(folder).select("path", "modificationTime", "length")
     return files.withColumn("name", x.base_name(F.col("path"))).withColumn("ext", x.ext(F.col("name"))).filter(F.col("ext").isin(*x.IMAGE_SUFFIXES))
 
 
