@@ -211,8 +211,9 @@ def look_up(keys: DataFrame, index_files: DataFrame, folder: str) -> DataFrame:
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "whole"])
 
-    # sorted keys: neighbours share directories, blocks and archives
-    return keys.select("key").repartitionByRange("key").sortWithinPartitions("key").mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, whole boolean")
+    # sorted keys: neighbours share directories, blocks and archives; a fixed number, as keys are small but each is a read
+    n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return keys.select("key").repartitionByRange(n, "key").sortWithinPartitions("key").mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, whole boolean")
 
 
 def archive_and_read(pages: DataFrame, folder: str | None = None) -> DataFrame:
