@@ -47,7 +47,7 @@ def polarity_vote(px: DataFrame, patch: int = 2) -> DataFrame:
     return zones.join(masses, "img_id").select("img_id", F.round("corner_mean", 6).alias("corner_mean"), F.round("border_mean", 6).alias("border_mean"), votes.cast("bigint").alias("votes"), (votes >= 2).alias("is_dark"))
 
 
-def _border(p: str = "") -> Column:
+def _border() -> Column:
     return (F.col("r") == 0).cast("int") + (F.col("r") == F.col("h") - 1).cast("int") + (F.col("c") == 0).cast("int") + (F.col("c") == F.col("w") - 1).cast("int")
 
 
