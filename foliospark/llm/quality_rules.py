@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from foliospark.llm.shared import in_slices, stored
 
 ORDER, SLACK, Z = 5, 0.06, 4.0
+#: A row a language is broadcast up to so many, some hundred kB.
+BROADCAST_LANGS, SALTS = 5000, 64
 _PAD, _END = "\x02", "\x03"
 _SPACES = b" \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -122,14 +124,23 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
     return docs.select("lang", "text").mapInArrow(run, "lang string, gram string, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
 
 
-def _level(table: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _with_language(table: DataFrame, rows: DataFrame, langs: int) -> DataFrame:
+    """``table`` (with gram) joined with one row a language: broadcast up to BROADCAST_LANGS of them, beyond dealt by a salt of the n-gram too, as one language may have a third of all."""
+    if langs <= BROADCAST_LANGS:
+        return table.join(F.broadcast(rows), "lang")
+    salt = F.pmod(F.hash("gram"), F.lit(SALTS)).alias("salt")
+    salted = rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return table.withColumn("salt", salt).join(salted, ["lang", "salt"]).drop("salt")
+
+
+def _level(table: DataFrame, langs: int) -> tuple[DataFrame, DataFrame]:
     """(lang, gram, ctx, part) and (lang, ctx, weight): discounted share of a context, and what the context leaves for lower orders."""
     count = lambda i: F.sum((F.col("c") == i).cast("double")).alias(f"n{i}")
     n = [F.col(f"n{i}") for i in range(5)]
     y = n[1] / F.greatest(n[1] + 2 * n[2], F.lit(1.0))
     bounded = lambda i, v: F.greatest(F.lit(0.1), F.least(F.lit(float(i) - 0.05), F.coalesce(v, F.lit(0.5 * i)))).alias(f"d{i}")
     cut = table.groupBy("lang").agg(*(count(i) for i in (1, 2, 3, 4))).select("lang", *(bounded(i, F.when(n[i] > 0, i - (i + 1) * y * n[i + 1] / n[i])) for i in (1, 2, 3)))
-    grams = table.withColumn("ctx", F.expr("substring(gram, 1, length(gram) - 1)")).join(cut, "lang")
+    grams = _with_language(table.withColumn("ctx", F.expr("substring(gram, 1, length(gram) - 1)")), cut, langs)
     d = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
     total = grams.groupBy("lang", "ctx").agg(F.sum("c").alias("tot"), F.sum(d).alias("left"))
     shares = grams.join(total, ["lang", "ctx"]).select("lang", "gram", "ctx", "c", ((F.col("c") - d) / F.col("tot")).alias("part"))
@@ -141,13 +152,14 @@ def train(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     levels = {ORDER: stored(count_ngrams(docs), "ngrams")}
     for k in range(ORDER - 1, 0, -1):  # lower orders count the characters seen before an n-gram
         levels[k] = stored(levels[k + 1].groupBy("lang", F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("c")), "ngrams")
+    langs = levels[1].select("lang").distinct().count()
     rows, unknown, lower = [], None, None
     for k in range(1, ORDER + 1):
-        shares, weights = _level(levels[k])
+        shares, weights = _level(levels[k], langs)
         if k == 1:
             size = levels[1].groupBy("lang").agg((1.0 / (F.count("*") + 1)).alias("uniform"))
             unknown = weights.join(size, "lang").select("lang", F.log(F.col("weight") * F.col("uniform")).alias("unknown"))
-            under = shares.join(weights, ["lang", "ctx"]).join(size.withColumnRenamed("uniform", "below"), "lang")
+            under = _with_language(shares.join(weights, ["lang", "ctx"]), size.withColumnRenamed("uniform", "below"), langs)
         else:
             suffix = lower.select("lang", F.col("gram").alias("suffix"), F.exp("logp").alias("below"))
             under = shares.join(weights, ["lang", "ctx"]).withColumn("suffix", F.expr("substring(gram, 2)")).join(suffix, ["lang", "suffix"])

@@ -282,6 +282,12 @@ def test_quality_by_join_is_the_same(docs):
     assert sorted({r.doc_id for r in quality_rules.keep_good(docs, model_bytes=0).collect()}, key=repr) == sorted(set(kept), key=repr)
 
 
+def test_quality_of_many_languages_is_the_same(docs, monkeypatch):
+    a = {r.doc_id: r.log_prob for r in quality_rules.judge(docs).collect()}
+    monkeypatch.setattr(quality_rules, "BROADCAST_LANGS", 0)
+    assert {r.doc_id: pytest.approx(r.log_prob, abs=1e-6) for r in quality_rules.judge(docs).collect()} == a
+
+
 def test_unseen_text_backs_off(spark):
     import numpy as np
 
