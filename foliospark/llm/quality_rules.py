@@ -83,9 +83,14 @@ def _codes(texts: list[str]) -> np.ndarray:
 def _hash(codes: np.ndarray, k: int, seed: int) -> np.ndarray:
     """Hash of the k codes that end at each position from k - 1 on."""
     n = len(codes) - k + 1
+    return _mixed([codes[i : n + i] for i in range(k)], n, seed)
+
+
+def _mixed(columns, n: int, seed: int) -> np.ndarray:
+    """Hash of each of n rows, given a column for each place."""
     h = np.full(n, seed, dtype=np.uint64)
-    for i in range(k):
-        h = (h ^ codes[i : n + i]) * np.uint64(0x9E3779B97F4A7C15)
+    for c in columns:
+        h = (h ^ c) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
     return h * np.uint64(0xBF58476D1CE4E5B9)
 
@@ -172,17 +177,23 @@ def train(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
     def hashed(batches):
         for b in batches:
-            kind, lang, gram = (b.column(i).to_pylist() for i in range(3))
-            h = np.array([_one(k, x, g) for k, x, g in zip(kind, lang, gram, strict=True)], dtype=np.uint64)
+            h = _row_hashes(*(b.column(i).to_pylist() for i in range(3)))
             yield pa.RecordBatch.from_arrays([pa.array((h ^ np.uint64(1 << 63)).view(np.int64)), b.column(3).cast(pa.float32())], names=["h", "v"])
 
     table = reduce(DataFrame.unionByName, rows).mapInArrow(hashed, "h long, v float")
     return stored(table.repartitionByRange("h").sortWithinPartitions("h"), "model"), bands, lower.select("lang", "gram", "logp")
 
 
-def _one(kind: int, lang: str, gram: str) -> int:
-    codes = np.frombuffer(gram.encode("utf-32-le"), dtype=np.uint32)
-    return int(_hash(codes, len(gram), _seed(lang, kind))[0])
+def _row_hashes(kinds: list[int], langs: list[str], grams: list[str]) -> np.ndarray:
+    """Hash of each n-gram under its language and kind; rows of one kind, language and length go together."""
+    groups: dict[tuple, list[int]] = {}
+    for i, key in enumerate(zip(kinds, langs, map(len, grams), strict=True)):
+        groups.setdefault(key, []).append(i)
+    out = np.zeros(len(grams), dtype=np.uint64)
+    for (kind, lang, k), rows in groups.items():
+        codes = np.frombuffer("".join([grams[i] for i in rows]).encode("utf-32-le"), dtype=np.uint32).reshape(-1, k)
+        out[rows] = _mixed(codes.T, len(rows), _seed(lang, kind))
+    return out
 
 
 # -- scoring
