@@ -1,7 +1,7 @@
 """Quality rules: plain counts, then n-gram perplexity in bands by language.
 
 The model is a modified Kneser-Ney model of characters, order 5, one for each
-language, counted by Spark over all texts. Characters and not words: a word model
+language, counted by Spark over all texts, each distinct text of a language once. Characters and not words: a word model
 of this corpus has nearly as many n-grams as words, more than the disk it is
 allowed. Its log probabilities and back-off weights are stored in a table in the
 shared folder, sorted by the 64-bit hash of the n-gram; a worker reads it into
@@ -9,13 +9,17 @@ sorted hash arrays with a directory by the leading bits. If the arrays would be
 over ``model_bytes``, scoring joins each document's n-gram counts with the
 table instead, with the same result.
 
-Bands: a language's mean and deviation of the log probability of a character,
-over all it was trained on. A document's mean may differ by SLACK deviations and
-by Z standard errors of its length; beyond that its perplexity is too high
-(noise) or too low (repetition) and it is rejected.
+Bands: a language's centre and spread are the median and the scaled median
+deviation of its documents' mean log probabilities, over the distinct texts that
+pass the plain counts. A document's mean may differ by WIDTH spreads and by Z
+standard errors of its length; beyond that its perplexity is too high (noise) or
+too low (repetition) and it is rejected. Copies move neither model nor band.
 
-Scale: one pass counts (n-gram counts are summed before the shuffle, so a hot
-language or text is no hot group), one scores; no text is shuffled.
+Scale: one pass finds the hashes of repeated rows, one counts (n-gram counts are
+summed before the shuffle, so a hot language or text is no hot group; a row with
+n copies counts 1/n in each, so none must be picked), one scores. No text is
+shuffled, unless the repeated hashes are over ``repeat_bytes``: then distinct
+texts are made by a shuffle, with the same result.
 
 Defined cases: null text is empty, null lang is the language "". Every row counts
 on its own; ids may be null or repeated.
@@ -32,7 +36,11 @@ from pyspark.sql import functions as F
 
 from foliospark.llm.shared import in_slices, stored
 
-ORDER, SLACK, Z = 5, 0.06, 4.0
+ORDER, WIDTH, Z = 5, 3.0, 4.0
+#: Steps of a unit of log probability in which medians are taken.
+GRID = 4096
+#: Hashes of repeated rows that a worker loads at most, 16 bytes each.
+REPEAT_BYTES = 128 * 2**20
 #: A row a language is broadcast up to so many, some hundred kB.
 BROADCAST_LANGS, SALTS = 5000, 64
 _PAD, _END = "\x02", "\x03"
@@ -112,28 +120,71 @@ def _by_lang(batch: pa.RecordBatch) -> dict[str, list[int]]:
     return out
 
 
-def count_ngrams(docs: DataFrame) -> DataFrame:
-    """docs: lang, text. (lang, gram, c) for all character n-grams of the highest order, texts padded at both ends."""
+def row_key() -> Column:
+    return F.xxhash64(F.coalesce("lang", F.lit("")), F.coalesce("text", F.lit("")))
+
+
+def distinct_rows(docs: DataFrame, repeat_bytes: int | None = None) -> tuple[DataFrame, str | None]:
+    """(key, lang, text) and where the copies of each repeated key are written; None if every row counts whole."""
+    rows = docs.select(row_key().alias("key"), "lang", "text")
+    repeats = stored(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "repeats")
+    n = repeats.count()
+    if 16 * n > (REPEAT_BYTES if repeat_bytes is None else repeat_bytes):
+        return rows.dropDuplicates(["key"]), None
+    return rows, _uri(repeats) if n else None
+
+
+@lru_cache(maxsize=1)
+def _repeats(uri: str) -> tuple[np.ndarray, np.ndarray]:
+    table = _read(uri).sort_by("key")
+    return table.column("key").to_numpy(), 1.0 / table.column("n").to_numpy()
+
+
+def _shares(keys: pa.Array, uri: str | None) -> np.ndarray:
+    """What each row counts: one divided by its copies."""
+    out = np.ones(len(keys))
+    if uri:
+        known, share = _repeats(uri)
+        own = keys.to_numpy(zero_copy_only=False)
+        at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+        hit = known[at] == own
+        out[hit] = share[at[hit]]
+    return out
+
+
+def _whole(c: Column) -> Column:
+    """A sum of shares as the whole number that it is but for rounding."""
+    return F.ceil(F.sum(c) - 0.001).cast("long")
+
+
+def count_ngrams(rows: DataFrame, repeats: str | None) -> DataFrame:
+    """rows and repeats of distinct_rows. (lang, gram, c) for all character n-grams of the highest order, texts padded at both ends."""
 
     def run(batches):
         for b in in_slices(batches, 1024):
-            texts = b.column(1).to_pylist()
+            texts, shares = b.column(1).to_pylist(), _shares(b.column(2), repeats)
             for lang, rows in _by_lang(b).items():
-                joined = "".join(f"{_PAD * (ORDER - 1)}{_clean(texts[i])}{_END}" for i in rows)
+                parts = [f"{_PAD * (ORDER - 1)}{_clean(texts[i])}{_END}" for i in rows]
+                joined = "".join(parts)
                 codes = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)
-                keys, first, n = np.unique(_hash(codes, ORDER, 1), return_index=True, return_counts=True)
+                h = _hash(codes, ORDER, 1)
+                order = np.argsort(h, kind="stable")
+                ranked = h[order]
+                starts = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+                first = order[starts]
+                c = np.add.reduceat(np.repeat(shares[rows], [len(p) for p in parts])[order], starts)
                 real = codes[first + ORDER - 1] != ord(_PAD)
                 grams = [joined[i : i + ORDER] for i in first[real].tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.string()), pa.array(n[real].astype(np.int64))], names=["lang", "gram", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.string()), pa.array(c[real])], names=["lang", "gram", "c"])
 
-    return docs.select("lang", "text").mapInArrow(run, "lang string, gram string, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
+    return rows.select("lang", "text", "key").mapInArrow(run, "lang string, gram string, c double").groupBy("lang", "gram").agg(_whole("c").alias("c"))
 
 
-def _with_language(table: DataFrame, rows: DataFrame, langs: int) -> DataFrame:
-    """``table`` (with gram) joined with one row a language: broadcast up to BROADCAST_LANGS of them, beyond dealt by a salt of the n-gram too, as one language may have a third of all."""
+def _with_language(table: DataFrame, rows: DataFrame, langs: int, by: str = "gram") -> DataFrame:
+    """``table`` joined with one row a language: broadcast up to BROADCAST_LANGS of them, beyond dealt by a salt of its column ``by`` too, as one language may have a third of all."""
     if langs <= BROADCAST_LANGS:
         return table.join(F.broadcast(rows), "lang")
-    salt = F.pmod(F.hash("gram"), F.lit(SALTS)).alias("salt")
+    salt = F.pmod(F.hash(by), F.lit(SALTS)).alias("salt")
     salted = rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return table.withColumn("salt", salt).join(salted, ["lang", "salt"]).drop("salt")
 
@@ -152,9 +203,9 @@ def _level(table: DataFrame, langs: int) -> tuple[DataFrame, DataFrame]:
     return shares, total.select("lang", "ctx", (F.col("left") / F.col("tot")).alias("weight"))
 
 
-def train(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The stored model (h, v) in order of h; bands (lang, mean, deviation, unknown); and log probabilities (lang, gram, logp) of the highest order."""
-    levels = {ORDER: stored(count_ngrams(docs), "ngrams")}
+def train(docs: DataFrame, distinct: tuple[DataFrame, str | None] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """distinct: distinct_rows(docs), if known. The stored model (h, v) in order of h; bands (lang, mean, deviation, unknown); and log probabilities (lang, gram, logp) of the highest order."""
+    levels = {ORDER: stored(count_ngrams(*(distinct or distinct_rows(docs))), "ngrams")}
     for k in range(ORDER - 1, 0, -1):  # lower orders count the characters seen before an n-gram
         levels[k] = stored(levels[k + 1].groupBy("lang", F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("c")), "ngrams")
     langs = levels[1].select("lang").distinct().count()
@@ -273,28 +324,20 @@ def _uri(df: DataFrame) -> str:
     return df.inputFiles()[0].rpartition("/")[0]
 
 
-def _verdicts(batch: pa.RecordBatch, model_uri: str, bands_uri: str, base: bool = True) -> list[tuple]:
-    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, logp) a row; batch: lang, text first."""
+def _scores(batch: pa.RecordBatch, model_uri: str, bands_uri: str) -> list[tuple]:
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, log_prob, size) a row; batch: lang, text first."""
     model = _model(model_uri, bands_uri)
     texts = [t or "" for t in batch.column(1).to_pylist()]
     counts = [base_counts(t) for t in texts]
-    means, sizes = np.zeros(len(texts)), np.ones(len(texts))
-    keep = np.ones(len(texts), dtype=bool)
+    means, sizes = np.zeros(len(texts)), np.ones(len(texts), dtype=np.int64)
     for lang, rows in _by_lang(batch).items():
-        m, n = model.means(lang, [_clean(texts[i]) for i in rows])
-        means[rows], sizes[rows] = m, n
-        if lang in model.bands:
-            keep[rows] = in_band(m, n, model.bands[lang])
-    failed = [c[0] < 50 or 100 * c[4] > 50 * c[0] for c in counts]
-    return [(*c, f, bool(k) and not f, float(m)) for c, f, k, m in zip(counts, failed, keep, means, strict=True)]
-
+        means[rows], sizes[rows] = model.means(lang, [_clean(texts[i]) for i in rows])
+    return [(*c, c[0] < 50 or 100 * c[4] > 50 * c[0], float(m), int(n)) for c, m, n in zip(counts, means, sizes, strict=True)]
 
-def in_band(mean, n, band: dict):
-    return np.abs(mean - band["mean"]) <= band["deviation"] * (SLACK + Z / np.sqrt(n))
 
-
-def _joined_means(docs: DataFrame, logp: DataFrame) -> DataFrame:
-    """(key, mean, size) of each distinct row by joining n-gram counts with the model: for models too large for a worker."""
+def _joined_means(distinct: tuple[DataFrame, str | None], logp: DataFrame) -> DataFrame:
+    """(key, log_prob, size) of each distinct row by joining n-gram counts with the model: for models too large for a worker."""
+    rows, _ = distinct
 
     def run(batches):
         for b in in_slices(batches, 64):
@@ -302,69 +345,111 @@ def _joined_means(docs: DataFrame, logp: DataFrame) -> DataFrame:
                 joined = f"{_PAD * (ORDER - 1)}{_clean(text)}{_END}"
                 codes = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)
                 _, first, n = np.unique(_hash(codes, ORDER, 1), return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(first)), pa.array([lang or ""] * len(first)), pa.array([joined[i : i + ORDER] for i in first.tolist()]), pa.array(n.astype(np.int64))], names=["key", "lang", "gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(first)), pa.array([lang or ""] * len(first)), pa.array([joined[i : i + ORDER] for i in first.tolist()]), pa.array(n.astype(np.float64))], names=["key", "lang", "gram", "n"])
 
-    grams = docs.select(row_key().alias("key"), "lang", "text").mapInArrow(run, "key long, lang string, gram string, n long")
-    return grams.join(logp, ["lang", "gram"]).groupBy("key").agg((F.sum(F.col("n") * F.col("logp")) / F.sum("n")).alias("mean"), F.sum("n").alias("size"))
+    grams = rows.select("key", "lang", "text").mapInArrow(run, "key long, lang string, gram string, n double")
+    return grams.join(logp, ["lang", "gram"]).groupBy("key").agg((F.sum(F.col("n") * F.col("logp")) / F.sum("n")).alias("log_prob"), _whole("n").alias("size"))
 
 
-def row_key() -> Column:
-    return F.xxhash64(F.coalesce("lang", F.lit("")), F.coalesce("text", F.lit("")))
+_COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+_FIELDS = f"{_COUNTS}, base_failed boolean, kept boolean, log_prob double"
+_SCORED = f"{_COUNTS}, base_failed boolean, log_prob double, size long"
+_TYPES = (*[pa.int64()] * 5, pa.bool_(), pa.float64(), pa.int64())
+
+
+def _names(fields: str) -> list[str]:
+    return [f.split()[0] for f in fields.split(", ")]
+
 
+def _centres(scored: DataFrame, bands: DataFrame) -> DataFrame:
+    """scored: key, lang, base_failed, log_prob. (lang, deviation, centre, spread): each distinct text that passes the plain counts once; medians of rounded values, so that a language is no large group."""
+    good = scored.filter("not base_failed").select("key", "lang", "log_prob").dropDuplicates(["key"])
+    at = stored(good.groupBy("lang", (F.round(F.col("log_prob") * GRID) / GRID).alias("at")).agg(F.count("*").alias("n")), "histogram")
+    centre = at.groupBy("lang").agg(F.percentile("at", 0.5, F.col("n")).alias("centre"))
+    away = at.join(centre, "lang").groupBy("lang", "centre").agg((1.4826 * F.percentile(F.abs(F.col("at") - F.col("centre")), 0.5, F.col("n"))).alias("spread"))
+    return stored(bands.select("lang", "deviation").join(away, "lang", "left").coalesce(1), "centres")
 
-_FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, log_prob double"
-_TYPES = (*[pa.int64()] * 5, pa.bool_(), pa.bool_(), pa.float64())
 
+def _banded(scored: DataFrame, bands: DataFrame) -> DataFrame:
+    """scored (lang as in bands) with kept."""
+    centres = _centres(scored, bands)
+    inside = F.abs(F.col("log_prob") - F.col("centre")) <= WIDTH * F.col("spread") + Z * F.col("deviation") / F.sqrt("size")
+    joined = _with_language(scored, centres, centres.count(), "key")
+    return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True)))
 
-def judge(docs: DataFrame, model_bytes: int = 256 * 2**20) -> DataFrame:
+
+def _scored(docs: DataFrame, model: DataFrame, bands: DataFrame) -> DataFrame:
+    """docs: key, lang, text. (key, lang, *_SCORED, *other columns), stored."""
+    uris = _uri(model), _uri(bands)
+    others = [f for f in docs.schema if f.name not in ("key", "lang", "text")]
+    names = ["key", "lang", *_names(_SCORED), *(f.name for f in others)]
+
+    def run(batches):
+        for b in in_slices(batches):
+            rows = _scores(b, *uris)
+            lang = pa.array([x or "" for x in b.column(0).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(2), lang, *(pa.array([r[i] for r in rows], t) for i, t in enumerate(_TYPES)), *b.columns[3:]], names=names)
+
+    own = docs.select("lang", "text", "key", *(f"`{f.name}`" for f in others))
+    said = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in others)
+    return stored(own.mapInArrow(run, f"key long, lang string, {_SCORED}{said}"), "scores")
+
+
+def judge(docs: DataFrame, model_bytes: int = 256 * 2**20, repeat_bytes: int | None = None) -> DataFrame:
     """docs: doc_id, lang, text. doc_id with the counts, base_failed, kept, and log_prob, the mean of a character."""
-    model, bands, logp = train(docs)
     own = docs.select(F.col("lang").cast("string").alias("lang"), "text", F.col("doc_id").cast("long").alias("doc_id"))
-    names = ["doc_id", *(f.split()[0] for f in _FIELDS.split(", "))]
+    distinct = distinct_rows(own, repeat_bytes)
+    model, bands, logp = train(own, distinct)
     size = model.count()
     if not size:
         return own.select("doc_id").mapInArrow(lambda batches: iter(()), f"doc_id long, {_FIELDS}")
-    if 12 * size > model_bytes:
-        return _judge_by_join(own, bands, logp)
-    uris = _uri(model), _uri(bands)
+    own = own.withColumn("key", row_key())
+    scored = _scored_by_join(own, distinct, logp) if 12 * size > model_bytes else _scored(own, model, bands)
+    return _banded(scored, bands).select("doc_id", *_names(_FIELDS))
 
-    def run(batches):
-        for b in in_slices(batches):
-            rows = _verdicts(b, *uris)
-            yield pa.RecordBatch.from_arrays([b.column(2), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(_TYPES))], names=names)
-
-    return own.mapInArrow(run, f"doc_id long, {_FIELDS}")
 
+def _scored_by_join(own: DataFrame, distinct: tuple[DataFrame, str | None], logp: DataFrame) -> DataFrame:
+    names = ["doc_id", "key", "lang", *_names(_COUNTS)]
 
-def _judge_by_join(own: DataFrame, bands: DataFrame, logp: DataFrame) -> DataFrame:
     def run(batches):
         for b in in_slices(batches):
             counts = [base_counts(t or "") for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(2), b.column(3), b.column(0), *(pa.array([c[i] for c in counts], pa.int64()) for i in range(5))], names=["doc_id", "key", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"])
+            yield pa.RecordBatch.from_arrays([b.column(2), b.column(3), b.column(0), *(pa.array([c[i] for c in counts], pa.int64()) for i in range(5))], names=names)
 
-    counts = own.withColumn("key", row_key()).mapInArrow(run, "doc_id long, key long, lang string, " + ", ".join(_FIELDS.split(", ")[:5]))
+    counts = own.select("lang", "text", "doc_id", "key").mapInArrow(run, f"doc_id long, key long, lang string, {_COUNTS}")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    inside = F.abs(F.col("mean") - F.col("band.mean")) <= F.col("band.deviation") * (SLACK + Z / F.sqrt("size"))
-    banded = counts.withColumn("lang", F.coalesce("lang", F.lit(""))).join(_joined_means(own, logp), "key").join(bands.select("lang", F.struct("mean", "deviation").alias("band")), "lang", "left")
-    return banded.select("doc_id", *(f.split()[0] for f in _FIELDS.split(", ")[:5]), failed.alias("base_failed"), (~failed & F.coalesce(inside, F.lit(True))).alias("kept"), F.col("mean").alias("log_prob"))
+    return stored(counts.withColumn("lang", F.coalesce("lang", F.lit(""))).withColumn("base_failed", failed).join(_joined_means(distinct, logp), "key"), "scores")
 
 
-def keep_good(docs: DataFrame, model_bytes: int = 256 * 2**20) -> DataFrame:
-    """The rows of docs that judge() keeps, in the same two passes."""
-    model, bands, logp = train(docs)
+def keep_good(docs: DataFrame, model_bytes: int = 256 * 2**20, repeat_bytes: int | None = None) -> DataFrame:
+    """The rows of docs that judge() keeps, in the same passes. Scores are stored by the hash of a row, and the hashes of those to leave out are joined or, up to repeat_bytes, loaded by the workers."""
+    own = docs.select(F.col("lang").cast("string").alias("lang"), "text")
+    distinct = distinct_rows(own, repeat_bytes)
+    model, bands, logp = train(own, distinct)
     size = model.count()
     if not size:
         return docs
-    if 12 * size > model_bytes:
-        own = docs.select(F.col("lang").cast("string").alias("lang"), "text", row_key().alias("doc_id"))
-        kept = _judge_by_join(own, bands, logp).filter("kept").select(F.col("doc_id").alias("_key")).distinct()
-        return docs.withColumn("_key", row_key()).join(kept, "_key", "left_semi").drop("_key")
-    uris, names = (_uri(model), _uri(bands)), docs.columns
-    at = names.index("lang"), names.index("text")
+    own = own.withColumn("key", row_key())
+    scored = _scored_by_join(own.withColumn("doc_id", F.col("key")), distinct, logp) if 12 * size > model_bytes else _scored(own, model, bands)
+    bad = stored(_banded(scored, bands).filter("not kept").select("key").distinct(), "rejected")
+    n = bad.count()
+    if not n:
+        return docs
+    keyed = docs.withColumn("_key", row_key())
+    if 16 * n > (REPEAT_BYTES if repeat_bytes is None else repeat_bytes):
+        return keyed.join(bad.withColumnRenamed("key", "_key"), "_key", "left_anti").drop("_key")
+    uri, at = _uri(bad), len(docs.columns)
 
     def run(batches):
-        for b in in_slices(batches):
-            rows = _verdicts(pa.RecordBatch.from_arrays([b.column(i) for i in at], names=["lang", "text"]), *uris)
-            yield b.filter(pa.array([r[6] for r in rows], pa.bool_()))
+        known = _rejected(uri)
+        for b in batches:
+            own = b.column(at).to_numpy(zero_copy_only=False)
+            found = known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own
+            yield b.select(range(at)).filter(pa.array(~found))
+
+    return keyed.mapInArrow(run, docs.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+
+@lru_cache(maxsize=1)
+def _rejected(uri: str) -> np.ndarray:
+    return np.sort(_read(uri).column("key").to_numpy())

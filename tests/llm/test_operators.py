@@ -288,6 +288,18 @@ def test_quality_of_many_languages_is_the_same(docs, monkeypatch):
     assert {r.doc_id: pytest.approx(r.log_prob, abs=1e-6) for r in quality_rules.judge(docs).collect()} == a
 
 
+def test_copies_move_neither_model_nor_band(spark, local):
+    clean = sorted({t for _, t, x in local if x == "en" and t and plain_counts(t)[0] >= 50})
+    random.seed(4)
+    noise = " ".join("".join(random.choice("abcdefghijklmnopqrstuvwxyz#%") for _ in range(7)) for _ in range(120))
+    rows = [(i, t, "en") for i, t in enumerate([*clean, noise])]
+    judged = lambda more: {(r.doc_id, r.kept) for r in quality_rules.judge(spark.createDataFrame(rows + more, "doc_id long, text string, lang string")).collect()}
+    alone = judged([])
+    assert (len(clean), False) in alone and sum(kept for _, kept in alone) > 0.9 * sum(100 * (c := plain_counts(t))[4] <= 50 * c[0] for t in clean)
+    short = min((i for i, kept in alone if kept), key=lambda i: len(clean[i]))
+    assert judged([(short, clean[short], "en")] * (len(rows) // 2)) == alone
+
+
 def test_unseen_text_backs_off(spark):
     import numpy as np
 
