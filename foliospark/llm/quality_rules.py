@@ -337,15 +337,16 @@ def _scores(batch: pa.RecordBatch, model_uri: str, bands_uri: str) -> list[tuple
 
 def _joined_means(distinct: tuple[DataFrame, str | None], logp: DataFrame) -> DataFrame:
     """(key, log_prob, size) of each distinct row by joining n-gram counts with the model: for models too large for a worker."""
-    rows, _ = distinct
+    rows, repeats = distinct
 
     def run(batches):
         for b in in_slices(batches, 64):
-            for key, lang, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            shares = _shares(b.column(0), repeats)
+            for key, lang, text, share in zip(*(c.to_pylist() for c in b.columns), shares, strict=True):
                 joined = f"{_PAD * (ORDER - 1)}{_clean(text)}{_END}"
                 codes = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)
                 _, first, n = np.unique(_hash(codes, ORDER, 1), return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(first)), pa.array([lang or ""] * len(first)), pa.array([joined[i : i + ORDER] for i in first.tolist()]), pa.array(n.astype(np.float64))], names=["key", "lang", "gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(first)), pa.array([lang or ""] * len(first)), pa.array([joined[i : i + ORDER] for i in first.tolist()]), pa.array(n * share)], names=["key", "lang", "gram", "n"])
 
     grams = rows.select("key", "lang", "text").mapInArrow(run, "key long, lang string, gram string, n double")
     return grams.join(logp, ["lang", "gram"]).groupBy("key").agg((F.sum(F.col("n") * F.col("logp")) / F.sum("n")).alias("log_prob"), _whole("n").alias("size"))

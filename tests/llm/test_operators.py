@@ -300,6 +300,22 @@ def test_copies_move_neither_model_nor_band(spark, local):
     assert judged([(short, clean[short], "en")] * (len(rows) // 2)) == alone
 
 
+def test_thousand_copies_are_judged_alike_on_all_paths(spark, local):
+    base = sorted({t for _, t, x in local if x == "en" and t and plain_counts(t)[0] >= 50})
+    text = next(t for t in base if 500 <= len(t) <= 1000)
+    copies = spark.createDataFrame([(i, t, "en") for i, t in enumerate(base)] + [(9999, text, "en")] * 1000, "doc_id long, text string, lang string")
+    a = {(r.doc_id, r.kept) for r in quality_rules.judge(copies).collect()}
+    for options in ({"model_bytes": 0}, {"repeat_bytes": 0}, {"model_bytes": 0, "repeat_bytes": 0}):
+        got = quality_rules.judge(copies, **options).collect()
+        assert len(got) == len(base) + 1000 and {(r.doc_id, r.kept) for r in got} == a
+        assert quality_rules.keep_good(copies, **options).count() == sum(r.kept for r in got)
+    distinct = quality_rules.distinct_rows(copies)
+    _, _, logp = quality_rules.train(copies, distinct)
+    sizes = {r.key: r.size for r in quality_rules._joined_means(distinct, logp).collect()}
+    keys = {r.text: r.key for r in copies.select("text", quality_rules.row_key().alias("key")).distinct().collect()}
+    assert sizes == {keys[t]: len(t) + 1 for t in base}
+
+
 def test_unseen_text_backs_off(spark):
     import numpy as np
 
