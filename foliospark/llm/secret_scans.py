@@ -23,12 +23,13 @@ from foliospark.llm.shared import let
 SCOPE = 120
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 _QUAD = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9.])"
+#: A loop over one character class is iterative in Java, one over a group nests a call for each turn.
 #: Kind, gate, regex, the least length and of which group, whether it is weak, role. The order is that of kinds in spans.
 KINDS = (
     ("assign", r"(?i)password|passwd|secret|token|api_?key", ASSIGN, 6, 2, False, "secret"),
     ("access", "AKIA", "AKIA[A-Z0-9]+", 20, 0, False, "account"),
     ("hex", "[0-9a-f]{24}", "[0-9a-f]+", 24, 0, False, "secret"),
-    ("private_key", "-----BEGIN ", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]|-(?!----))*(?:-----END [A-Z ]*PRIVATE KEY-----)?", 1, 0, False, "secret"),
+    ("private_key", "-----BEGIN ", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?(?=-----|(?![\s\S]))(?:-----END [A-Z ]*PRIVATE KEY-----)?", 1, 0, False, "secret"),
     ("account", r"(?i)user|login|client_?id|account_?id", r"""(?i:user(?:_?name)?|login|client_?id|account_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}""", 3, 0, True, "account"),
     ("bare", "[A-Za-z0-9+/_-]{32}", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{32,}={0,2}", 32, 0, True, "secret"),
     ("endpoint", r"://|[0-9]\.[0-9]{1,3}\.[0-9]", r"[A-Za-z][A-Za-z0-9+.-]*://[^\x20\x09-\x0D\"'<>]+|" + _QUAD, 7, 0, True, "endpoint"),

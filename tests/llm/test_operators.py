@@ -431,6 +431,14 @@ def test_weak_parts_need_company(spark):
     assert [("account" in g, "endpoint" in g) for g in got] == [(False, False), (False, False), (True, False), (False, False), (False, True)]
 
 
+def test_long_key_blocks(spark):
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    texts = [f"a {begin}{body}{tail}" for body in ("A" * 120_000, "-A" * 60_000, "A\n" * 900) for tail in ("", f"\n{end} b")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    same(secret_scans.secret_digest(secret_scans.scan_secrets(docs)), [(i, *plain_secrets(t)) for i, t in enumerate(texts)])
+    assert plain_secrets(texts[1])[4] == f"private_key:2:{len(texts[1]) - 2}"
+
+
 # -- op9
 
 
