@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from functools import lru_cache
 
 import pyarrow as pa
@@ -44,7 +45,7 @@ KINDS = (
     ("iban", r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?!\w)"),
     ("card", r"(?<![\w.])[3-6][0-9]{3}(?:[0-9]{9,12}|(?:[ -][0-9]{4}){3})(?![\w]|\.[0-9])"),
     ("ssn", r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"),
-    ("phone", r"(?<![\w+])\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{2,4}\)?){2,5}(?!\w)|(?<![\w+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![\w-])"),
+    ("phone", r"(?<![\w+])\+[0-9]{1,3}(?:(?:[ .-]?(?:\([0-9]\)|[0-9](?=[ .-]))){0,2}[ .-]?\(?[0-9]{2,4}\)?){2,5}(?!\w)|(?<![\w+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![\w-])"),
     ("ip", r"(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?!\w|\.[0-9])"),
     ("titled", rf"(?<!\w){_TITLES} +(?:(?:{_FIRST}) +)?[^\W\d_a-z]{_LETTERS}+(?!\w)"),
     ("name", rf"(?<!\w)(?:{_FIRST}) +[^\W\d_a-z]{_LETTERS}+(?!\w)"),
@@ -97,15 +98,36 @@ _ALPHABETS = ("0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJK
 _CLASS = {c: a for a in _ALPHABETS for c in a}
 
 
+@lru_cache(maxsize=20_000)
+def _script(c: str) -> tuple | None:
+    """Script, category, plane and normal form of a letter outside the listed alphabets."""
+    if c in _CLASS or not c.isalpha():
+        return None
+    return unicodedata.name(c, "").split(" ")[0], unicodedata.category(c), ord(c) >> 16, unicodedata.normalize("NFKC", c) == c
+
+
+@lru_cache(maxsize=500)
+def _letters(script: tuple) -> str:
+    start = script[2] << 16
+    return "".join(c for c in map(chr, range(start, start + 2**16)) if unicodedata.category(c) == script[1] and _script.__wrapped__(c) == script)
+
+
+def _alphabet(c: str) -> str | None:
+    if c in _CLASS:
+        return _CLASS[c]
+    script = _script(c)
+    return _letters(script) if script else None
+
+
 def _permute(key: bytes, domain: str, text: str, ok=None, fixed: int = 0, first: str = "") -> str:
     """Characters of ``text`` after the first ``fixed`` move within their alphabets; others stay. ok: a property all values of the domain share."""
-    spots = [(i, first if first and text[i] in first and i == fixed else _CLASS[c]) for i, c in enumerate(text) if i >= fixed and c in _CLASS]
+    spots = [(i, first if first and text[i] in first and i == fixed else a) for i, c in enumerate(text) if i >= fixed and (a := _alphabet(c))]
     n = 1
     for _, a in spots:
         n *= len(a)
     if n == 1:
         return text
-    shape = "".join("." if c in _CLASS and i >= fixed else c for i, c in enumerate(text)) + "|" + "".join(a[0] for _, a in spots)
+    shape = "".join("." if i >= fixed and _alphabet(c) else c for i, c in enumerate(text)) + "|" + "".join(a[0] for _, a in spots)
     p, x = Permutation(key, f"{domain}|{shape}", n), 0
     for i, a in spots:
         x = x * len(a) + a.index(text[i])
@@ -165,7 +187,7 @@ def surrogate(key: bytes, kind: str, text: str) -> str:
 
 _ANY = re.compile("|".join(f"(?P<{kind}>{regex})" for kind, regex in KINDS))
 #: A text without any of these has no entity.
-_HINT = re.compile(rf"@|[0-9]{{3}}|[0-9]\.[0-9]|{_TITLES} |(?:{_FIRST}) ")
+_HINT = re.compile(rf"@|[0-9]{{3}}|[0-9]\.[0-9]|\+[0-9]|[A-Z]{{2}}[0-9]{{2}}|{_TITLES} |(?:{_FIRST}) ")
 
 
 def replace(text: str, key: bytes) -> tuple[str, list[tuple[str, str, str, int]]]:

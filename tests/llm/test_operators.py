@@ -468,6 +468,19 @@ def test_surrogates(docs, local, empty):
     assert pii.luhn(re.search(r"card (\d+)", text)[1])
 
 
+def test_gate_misses_no_entity():
+    key = b"k"
+    for kind, text in [
+        ("email", "a@b.org"), ("iban", "DE12 ABCD EFGH"), ("card", "4111 1111 1111 1111"), ("ssn", "123-45-6789"), ("phone", "+49 30 12 34 56"), ("phone", "+33 01 23 45 67 89"),
+        ("phone", "+33 6 12 34 56 78"), ("phone", "+49 (0)30 12 34 56"), ("phone", "+33 (0)6 12 34 56 78"), ("ip", "1.2.3.4"), ("titled", "Mrs Smith"), ("titled", "Dr. Παπαδόπουλος"), ("titled", "Dr 王小明"), ("name", "Anna Őry"), ("name", "Иван Щъё"),
+    ]:
+        out, found = pii.replace(f"so {text} it", key)
+        assert [f[:2] for f in found] == [(kind, text)] and text not in out
+        assert pii.replace(f"@ {text} it", key)[1][0][:3] == found[0][:3]
+    for names in (["Dr Παπαδόπουλος", "Dr Παπαδόπουλου"], [f"Dr 王{c}" for c in "小大中明"]):
+        assert len({pii.surrogate(key, "titled", n) for n in names} | set(names)) == 2 * len(names)
+
+
 @pytest.mark.parametrize("n", [1, 2, 7, 100, 1009])
 def test_permutation_is_one_cycle(n):
     p, x, seen = pii.Permutation(b"k", "d", n), 0, set()
