@@ -54,4 +54,47 @@ f as (select *, min(page_id) over (partition by d) first from p)
 select page_id, cast(n as bigint) payload_bytes, d payload_digest, case when n>=100 and page_id>first then 'revisit' else 'response' end record_type, case when n>=100 and page_id>first then first end refers_to from f
 """
 
-ORACLES: dict[str, str] = {"op1_url_filters": OP1, "op2_chat_formatting": OP2, "op4_benchmark_decontamination": OP4, "op5_warc": OP5}
+
+def _any_case(words: str) -> str:
+    """A regex for ASCII letters in either case, as RE2's own flag folds beyond ASCII."""
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in words)
+
+
+_SECRET, _ACCOUNT = _any_case("password|passwd|secret|token|api_?key"), _any_case("user(_?name)?|login|client_?id|account_?id").replace("(", "(?:")
+#: Kind, regex (RE2 has no look-around, so a span is a group), groups of the span and of what is measured, least length, weak, role.
+_PARTS = (
+    ("assign", rf"""(({_SECRET})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""", 1, 3, 6, 0, "secret"),
+    ("access", "(AKIA[A-Z0-9]+)", 1, 1, 20, 0, "account"),
+    ("hex", "([0-9a-f]+)", 1, 1, 24, 0, "secret"),
+    ("private_key", r"(-----BEGIN [A-Z ]*PRIVATE KEY-----(?:-{0,4}[^-])*(?:-----END [A-Z ]*PRIVATE KEY-----|-{0,4}\z)?)", 1, 1, 1, 0, "secret"),
+    ("account", rf"""((?:{_ACCOUNT})["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{{3,}})""", 1, 1, 3, 1, "account"),
+    ("endpoint", r"""(?:^|[^A-Za-z0-9+.-])([A-Za-z][A-Za-z0-9+.-]{0,15}://[^\x20\x09-\x0D"'<>]+)""", 1, 1, 7, 1, "endpoint"),
+)
+#: Kind, runs of the characters that may not stand before a match, the match at a run's start, role.
+_RUNS = (
+    ("bare", "([A-Za-z0-9+/_=-]+)", "^[A-Za-z0-9+/_-]{32,}={0,2}", 0, "regexp_matches(h,'^[A-Za-z+/_-]*[0-9]') and regexp_matches(h,'^[0-9+/_-]*[A-Za-z]')", "secret"),
+    ("address", "([0-9./@]+)", r"^((?:[0-9]{1,3}\.){3}[0-9]{1,3})(?:[/@]|\z)", 1, "true", "endpoint"),
+)
+_RANKS = {k: i for i, k in enumerate(("assign", "access", "hex", "private_key", "account", "bare", "endpoint", "address"))}
+
+
+def _hits(regex: str, span: int, counted: int) -> str:
+    """rid, h (the span), v (what is measured), e (its end): the pieces between matches and the matches are summed up."""
+    said = regex.replace("'", "''")
+    return f"""select rid, h, v, sum(len(g)+len(f)) over (partition by rid order by i) e from (select rid, unnest(regexp_extract_all(x,'{said}',0)) f, unnest(regexp_extract_all(x,'{said}',{span})) h, unnest(regexp_extract_all(x,'{said}',{counted})) v, unnest(regexp_split_to_array(x,'{said}')[:-2]) g, unnest(range(len(regexp_extract_all(x,'{said}',0)))) i from t)"""
+
+
+_FOUND = [f"select rid, {_RANKS[kind]} rk, e-len(h) s, e, '{kind}' kind, {weak} weak, '{role}' as role from ({_hits(regex, span, counted)}) where len(v)>={least}" for kind, regex, span, counted, least, weak, role in _PARTS]
+_FOUND += [f"select rid, {_RANKS[kind]} rk, e-len(h) s, e-len(h)+len(m) e, '{kind}' kind, 1 weak, '{role}' as role from (select *, regexp_extract(h,'{own}',{group}) m from ({_hits(run, 1, 1)})) where m<>'' and {more}" for kind, run, own, group, more, role in _RUNS]
+
+
+OP8 = f"""
+with t as (select row_number() over () rid, doc_id, coalesce(text,'') x from documents),
+p as ({" union all ".join(_FOUND)}),
+k as (select * from p where weak=0 union all select * from p w where weak=1 and exists (select 1 from p o where o.rid=w.rid and (case when w.role='account' then o.role='secret' else o.role<>w.role end) and (o.s between w.e and w.e+120 or o.e between w.s-120 and w.s))),
+d as (select rid, count(*) filter (where rk=0) n_assign, count(*) filter (where rk=1) n_access, count(*) filter (where rk=2) n_hex,
+ string_agg(kind||':'||s||':'||e, ',' order by s, rk) filter (where rk<3) base, string_agg(kind||':'||s||':'||e, ',' order by s, rk) spans from k group by rid)
+select doc_id, coalesce(n_assign,0) n_assign, coalesce(n_access,0) n_access, coalesce(n_hex,0) n_hex, sha256(coalesce(base,'')) base_sha256, coalesce(spans,'') spans from t left join d using (rid)
+"""
+
+ORACLES: dict[str, str] = {"op1_url_filters": OP1, "op2_chat_formatting": OP2, "op4_benchmark_decontamination": OP4, "op5_warc": OP5, "op8_secret_scans": OP8}
