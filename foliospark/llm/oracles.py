@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries that SQL can express: the contract's rules and each method's definition, without its search structures."""
 
+from foliospark.llm.license_scans import GATE, rules
+
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 OP1 = rf"""
@@ -55,6 +57,29 @@ select page_id, cast(n as bigint) payload_bytes, d payload_digest, case when n>=
 """
 
 
+def _rule_rows() -> str:
+    """The rules with doubled spaces, so that neighbouring matches don't share one."""
+    text = lambda v: "'" + v.replace("'", "''") + "'"
+    return ", ".join(f"({i},{text(a)},{text(f' {k} '.replace(' ', '  ')[1:-1])},{text(' (?:' + r.replace(' ', '  ') + ') ')},{p},{w})" for i, (a, k, r, p, w) in enumerate(rules()))
+
+
+OP3 = rf"""
+with w as (select row_number() over () rid, doc_id, regexp_extract_all(translate(coalesce(text,''),'{_UP}','{_LOW}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws from documents),
+n as (select rid, ' '||array_to_string(ws,'  ')||' ' x from w where len(ws)>0 and regexp_matches(array_to_string(ws,' '), '{GATE}')),
+r(ord, label, word, regex, priority, weight) as (values {_rule_rows()}),
+h as (select rid, ord, label, priority, weight, x, regex from n join r on contains(x, word)),
+u as (select rid, ord, label, priority, weight, unnest(regexp_extract_all(x,regex)) m, unnest(regexp_split_to_array(x,regex)[:-2]) g, unnest(range(len(regexp_extract_all(x,regex)))) i from h),
+c as (select *, len(regexp_extract_all(m,'[^ ]+')) k, sum(len(regexp_extract_all(g,'[^ ]+'))+len(regexp_extract_all(m,'[^ ]+'))) over (partition by rid, ord order by i) e from u),
+f as (select *, e-k s from c),
+kept as (select * from f d where not exists (select 1 from f o where o.rid=d.rid and o.s<=d.s and o.e>=d.e and o.priority<=d.priority and (o.s,-o.e,o.priority,o.ord)<(d.s,-d.e,d.priority,d.ord))),
+b as (select rid, count(*) n, cast(min(s) as bigint) a, cast(max(s) as bigint) z, string_agg(distinct label, ',' order by label) l from f where ord<3 group by rid),
+k as (select rid, max(weight)::double score, count(*) nd from kept group by rid),
+al as (select rid, string_agg(distinct label, ',' order by label) l from (select rid, label from kept union select rid, label from f where ord<3) group by rid)
+select doc_id, cast(len(ws) as bigint) n_words, coalesce(b.n,0) n_base, a first_word, z last_word, coalesce(b.l,'') base_labels, coalesce(al.l,'') labels, coalesce(score,0.0::double) score, coalesce(nd,0) n_detections
+from w left join b using (rid) left join k using (rid) left join al using (rid)
+"""
+
+
 def _any_case(words: str) -> str:
     """A regex for ASCII letters in either case, as RE2's own flag folds beyond ASCII."""
     return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in words)
@@ -97,4 +122,4 @@ d as (select rid, count(*) filter (where rk=0) n_assign, count(*) filter (where
 select doc_id, coalesce(n_assign,0) n_assign, coalesce(n_access,0) n_access, coalesce(n_hex,0) n_hex, sha256(coalesce(base,'')) base_sha256, coalesce(spans,'') spans from t left join d using (rid)
 """
 
-ORACLES: dict[str, str] = {"op1_url_filters": OP1, "op2_chat_formatting": OP2, "op4_benchmark_decontamination": OP4, "op5_warc": OP5, "op8_secret_scans": OP8}
+ORACLES: dict[str, str] = {"op1_url_filters": OP1, "op2_chat_formatting": OP2, "op4_benchmark_decontamination": OP4, "op3_license_scans": OP3, "op5_warc": OP5, "op8_secret_scans": OP8}

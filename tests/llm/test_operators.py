@@ -8,6 +8,8 @@ import time
 from collections import defaultdict
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from foliospark.llm import bpe, chat_formatting, decontamination, license_scans, pii, quality_rules, secret_scans, simhash, url_filters, warc
@@ -58,6 +60,23 @@ def same(df, expected):
     assert got == sorted(expected, key=repr)
 
 
+def oracle(name, **tables):
+    """Rows of the query's SQL, in order of sorted columns."""
+    import duckdb
+
+    con = duckdb.connect()
+    for k, df in tables.items():
+        con.register(k, df.toArrow())
+    found = con.execute(ORACLES[name])
+    names = [c[0] for c in found.description]
+    order = sorted(range(len(names)), key=names.__getitem__)
+    return [tuple(r[i] for i in order) for r in found.fetchall()]
+
+
+def by_name(df):
+    return df.select(*sorted(df.columns))
+
+
 # -- op1
 
 
@@ -115,31 +134,59 @@ def test_preferences(spark, sf):
 # -- op3
 
 
-def plain_license(text):
-    words = ALNUM.findall(lower(text))
-    norm = " " + " ".join(words) + " "
-    found, base = [], []
-    for order, (label, keyword, regex, priority, weight) in enumerate(license_scans.rules()):
-        if not re.search(license_scans.GATE, norm) or f" {keyword} " not in norm:
-            continue
-        for m in re.finditer(rf"(?<= )(?:{regex})(?= )", norm):
-            start, end = norm[: m.start()].count(" ") - 1, norm[: m.end()].count(" ")
-            found.append((start, -end, priority, order, label, weight))
-            if order < len(license_scans.BASE):
-                base.append((start, label))
-    kept = []
-    for d in sorted(found):
-        if not any(e is not d and e[0] <= d[0] and e[1] <= d[1] and e[2] <= d[2] and e < d for e in found):
-            kept.append(d)
-    starts = [s for s, _ in base]
-    labels = sorted({x for _, x in base})
-    return (len(words), len(base), min(starts, default=None), max(starts, default=None), ",".join(labels), ",".join(sorted({*labels, *(d[4] for d in kept)})), max((d[5] for d in kept), default=0.0), len(kept))
-
-
-def test_licenses(docs, local, empty):
-    same(license_scans.license_digest(license_scans.scan_licenses(docs)), [(i, *plain_license(t)) for i, t, _ in local])
+def test_licenses(docs, empty):
+    same(by_name(license_scans.license_digest(license_scans.scan_licenses(docs))), oracle("op3_license_scans", documents=docs))
     assert license_scans.scan_licenses(empty).count() == 0
-    assert len(license_scans.rules()) > 300
+
+
+#: First sentences of license texts, notices and deeds, as they are printed.
+OPENINGS = {
+    "mit": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify',
+    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice",
+    "bsd-3-clause": "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "0bsd": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n\nTHE SOFTWARE IS PROVIDED "AS IS"',
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+    "boost": 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software")',
+    "apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
+    "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License",
+    "lgpl": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by",
+    "agpl": "under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "epl": "This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0",
+    "unlicense": "This is free and unencumbered software released into the public domain.",
+    "cc0": "The person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work",
+    "cc-by": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "cc-by-nc-sa": "See https://creativecommons.org/licenses/by-nc-sa/4.0/ for the terms.",
+    "ofl": "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
+    "fdl": "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License",
+    "postgresql": "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted",
+    "proprietary": "Unauthorized copying of this file, via any medium is strictly prohibited.",
+}
+
+
+def test_license_texts_get_their_labels(spark):
+    docs = spark.createDataFrame(list(enumerate(OPENINGS.values())), "doc_id long, text string")
+    got = {r.doc_id: r.labels.split(",") for r in license_scans.license_digest(license_scans.scan_licenses(docs)).collect()}
+    for i, label in enumerate(OPENINGS):
+        assert label in got[i], (label, got[i])
+    plain = spark.createDataFrame([(1, "The committee granted permission to distribute the software in all rooms available.")], "doc_id long, text string")
+    assert license_scans.license_digest(license_scans.scan_licenses(plain)).first().labels == ""
+
+
+@settings(max_examples=1500, deadline=None, derandomize=True)
+@given(st.sampled_from(license_scans.rules()).flatmap(lambda r: st.tuples(st.just(r), st.from_regex(r[2].replace("[^ ]+", "[a-z]+"), fullmatch=True))))
+def test_gates_hold_what_rules_match(pair):
+    (label, keyword, _, _, _), text = pair
+    if " ".join(ALNUM.findall(text)) == text:
+        assert re.search(license_scans.GATE, text) and f" {keyword} " in f" {text} ", (label, keyword, text)
+
+
+def test_licenses_of_mixed_texts(spark):
+    random.seed(2)
+    bits = [*OPENINGS.values(), *(r[2] for r in license_scans.rules() if re.fullmatch("[a-z0-9 ]+", r[2])), "MIT License", "mit license mit license", "GPL", "lorem ipsum", "GNU General Public License v3 or later", "The Software", "all rights reserved", "spdx-license-identifier: MIT"]
+    docs = spark.createDataFrame([(i, " ".join(random.choice(bits) for _ in range(random.randint(1, 12)))) for i in range(300)], "doc_id long, text string")
+    same(by_name(license_scans.license_digest(license_scans.scan_licenses(docs))), oracle("op3_license_scans", documents=docs))
 
 
 # -- op4
@@ -406,23 +453,6 @@ def test_components_of_a_chain_and_a_star(spark):
 # -- op8
 
 
-def oracle(name, **tables):
-    """Rows of the query's SQL, in order of sorted columns."""
-    import duckdb
-
-    con = duckdb.connect()
-    for k, df in tables.items():
-        con.register(k, df.toArrow())
-    found = con.execute(ORACLES[name])
-    names = [c[0] for c in found.description]
-    order = sorted(range(len(names)), key=names.__getitem__)
-    return [tuple(r[i] for i in order) for r in found.fetchall()]
-
-
-def by_name(df):
-    return df.select(*sorted(df.columns))
-
-
 def test_secrets(docs, empty):
     same(by_name(secret_scans.secret_digest(secret_scans.scan_secrets(docs))), oracle("op8_secret_scans", documents=docs))
     assert secret_scans.scan_secrets(empty).count() == 0
