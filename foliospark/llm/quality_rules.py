@@ -3,11 +3,12 @@
 The model is a modified Kneser-Ney model of characters, order 5, one for each
 language, counted by Spark over all texts, each distinct text of a language once. Characters and not words: a word model
 of this corpus has nearly as many n-grams as words, more than the disk it is
-allowed. Its log probabilities and back-off weights are stored in a table in the
-shared folder, sorted by the 64-bit hash of the n-gram; a worker reads it into
-sorted hash arrays with a directory by the leading bits. If the arrays would be
-over ``model_bytes``, scoring joins each document's n-gram counts with the
-table instead, with the same result.
+allowed. Its log probabilities and back-off weights are stored as whole multiples
+of 1 / UNIT in a table in the shared folder, sorted by the 64-bit hash of the
+n-gram; a worker reads it into sorted hash arrays with a directory by the leading
+bits. If the arrays would be over ``model_bytes``, scoring joins each document's
+n-gram counts with the table instead. Sums of whole numbers don't depend on their
+order, so both ways give the same log probabilities to the last bit.
 
 Bands: a language's centre and spread are the median and the scaled median
 deviation of its documents' mean log probabilities, over the distinct texts that
@@ -22,7 +23,8 @@ shuffled, unless the repeated hashes are over ``repeat_bytes``: then distinct
 texts are made by a shuffle, with the same result.
 
 Defined cases: null text is empty, null lang is the language "". Every row counts
-on its own; ids may be null or repeated.
+on its own; ids may be null or repeated; columns named like own ones pass ``keep_good``.
+An empty table gives an empty result. Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -34,11 +36,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.shared import in_slices, stored
+from foliospark.llm.shared import in_slices, stored, unused
 
 ORDER, WIDTH, Z = 5, 3.0, 4.0
 #: Steps of a unit of log probability in which medians are taken.
 GRID = 4096
+#: Steps of a unit of log probability in which the model is stored.
+UNIT = 2**20
 #: Hashes of repeated rows that a worker loads at most, 16 bytes each.
 REPEAT_BYTES = 128 * 2**20
 #: A row a language is broadcast up to so many, some hundred kB.
@@ -161,7 +165,7 @@ def count_ngrams(rows: DataFrame, repeats: str | None) -> DataFrame:
     """rows and repeats of distinct_rows. (lang, gram, c) for all character n-grams of the highest order, texts padded at both ends."""
 
     def run(batches):
-        for b in in_slices(batches, 1024):
+        for b in in_slices(batches, 1024, 1):
             texts, shares = b.column(1).to_pylist(), _shares(b.column(2), repeats)
             for lang, rows in _by_lang(b).items():
                 parts = [f"{_PAD * (ORDER - 1)}{_clean(texts[i])}{_END}" for i in rows]
@@ -180,6 +184,10 @@ def count_ngrams(rows: DataFrame, repeats: str | None) -> DataFrame:
     return rows.select("lang", "text", "key").mapInArrow(run, "lang string, gram string, c double").groupBy("lang", "gram").agg(_whole("c").alias("c"))
 
 
+def _whole_units(logp: Column) -> Column:
+    return F.round(logp * UNIT).cast("int")
+
+
 def _with_language(table: DataFrame, rows: DataFrame, langs: int, by: str = "gram") -> DataFrame:
     """``table`` joined with one row a language: broadcast up to BROADCAST_LANGS of them, beyond dealt by a salt of its column ``by`` too, as one language may have a third of all."""
     if langs <= BROADCAST_LANGS:
@@ -204,7 +212,7 @@ def _level(table: DataFrame, langs: int) -> tuple[DataFrame, DataFrame]:
 
 
 def train(docs: DataFrame, distinct: tuple[DataFrame, str | None] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """distinct: distinct_rows(docs), if known. The stored model (h, v) in order of h; bands (lang, mean, deviation, unknown); and log probabilities (lang, gram, logp) of the highest order."""
+    """distinct: distinct_rows(docs), if known. The stored model (h, v) in order of h; bands (lang, mean, deviation, unknown); and values (lang, gram, v) of the highest order."""
     levels = {ORDER: stored(count_ngrams(*(distinct or distinct_rows(docs))), "ngrams")}
     for k in range(ORDER - 1, 0, -1):  # lower orders count the characters seen before an n-gram
         levels[k] = stored(levels[k + 1].groupBy("lang", F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("c")), "ngrams")
@@ -214,14 +222,14 @@ def train(docs: DataFrame, distinct: tuple[DataFrame, str | None] | None = None)
         shares, weights = _level(levels[k], langs)
         if k == 1:
             size = levels[1].groupBy("lang").agg((1.0 / (F.count("*") + 1)).alias("uniform"))
-            unknown = weights.join(size, "lang").select("lang", F.log(F.col("weight") * F.col("uniform")).alias("unknown"))
+            unknown = weights.join(size, "lang").select("lang", _whole_units(F.log(F.col("weight") * F.col("uniform"))).alias("unknown"))
             under = _with_language(shares.join(weights, ["lang", "ctx"]), size.withColumnRenamed("uniform", "below"), langs)
         else:
             suffix = lower.select("lang", F.col("gram").alias("suffix"), F.exp("logp").alias("below"))
             under = shares.join(weights, ["lang", "ctx"]).withColumn("suffix", F.expr("substring(gram, 2)")).join(suffix, ["lang", "suffix"])
-            rows.append(weights.select(F.lit(1).alias("kind"), "lang", F.col("ctx").alias("gram"), F.log("weight").alias("v")))
+            rows.append(weights.select(F.lit(1).alias("kind"), "lang", F.col("ctx").alias("gram"), _whole_units(F.log("weight")).alias("v")))
         lower = stored(under.select("lang", "gram", "c", F.log(F.col("part") + F.col("weight") * F.col("below")).alias("logp")), "logp")
-        rows.append(lower.select(F.lit(0).alias("kind"), "lang", "gram", F.col("logp").alias("v")))
+        rows.append(lower.select(F.lit(0).alias("kind"), "lang", "gram", _whole_units(F.col("logp")).alias("v")))
     n, mean = F.sum("c"), F.sum(F.col("c") * F.col("logp")) / F.sum("c")
     square = F.sum(F.col("c") * F.col("logp") * F.col("logp")) / n
     bands = stored(lower.groupBy("lang").agg(mean.alias("mean"), F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias("deviation")).join(unknown, "lang").coalesce(1), "bands")
@@ -229,10 +237,10 @@ def train(docs: DataFrame, distinct: tuple[DataFrame, str | None] | None = None)
     def hashed(batches):
         for b in batches:
             h = _row_hashes(*(b.column(i).to_pylist() for i in range(3)))
-            yield pa.RecordBatch.from_arrays([pa.array((h ^ np.uint64(1 << 63)).view(np.int64)), b.column(3).cast(pa.float32())], names=["h", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array((h ^ np.uint64(1 << 63)).view(np.int64)), b.column(3)], names=["h", "v"])
 
-    table = reduce(DataFrame.unionByName, rows).mapInArrow(hashed, "h long, v float")
-    return stored(table.repartitionByRange("h").sortWithinPartitions("h"), "model"), bands, lower.select("lang", "gram", "logp")
+    table = reduce(DataFrame.unionByName, rows).mapInArrow(hashed, "h long, v int")
+    return stored(table.repartitionByRange("h").sortWithinPartitions("h"), "model"), bands, rows[-1].select("lang", "gram", "v")
 
 
 def _row_hashes(kinds: list[int], langs: list[str], grams: list[str]) -> np.ndarray:
@@ -254,11 +262,18 @@ class Model:
     """Sorted hash arrays, with a directory of where each leading bit pattern starts."""
 
     def __init__(self, model_uri: str, bands_uri: str):
-        table = _read(model_uri)
-        h = table.column("h").to_numpy().view(np.uint64) ^ np.uint64(1 << 63)
-        order = np.argsort(h, kind="stable")  # files are sorted already
-        self.h, self.v = np.append(h[order], ~np.uint64(0)), np.append(table.column("v").to_numpy()[order], np.float32(0))
-        self.bits = max(4, int(len(h)).bit_length() + 1)
+        files = _files(model_uri)
+        sizes = [f.count_rows() for f in files]
+        self.h, self.v = np.empty(sum(sizes) + 1, dtype=np.uint64), np.zeros(sum(sizes) + 1, dtype=np.int32)
+        self.h[-1], at = ~np.uint64(0), 0
+        for f in files:  # one after another: a worker holds the arrays and a batch
+            for b in f.to_batches(columns=["h", "v"], batch_readahead=1, fragment_readahead=1):
+                self.h[at : at + b.num_rows] = b.column(0).to_numpy().view(np.uint64) ^ np.uint64(1 << 63)
+                self.v[at : at + b.num_rows] = b.column(1).to_numpy()
+                at += b.num_rows
+        if (self.h[1:] < self.h[:-1]).any():
+            raise ValueError("the model's files are not in order")
+        self.bits = max(4, int(len(self.h)).bit_length())
         heads = np.arange(2**self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)
         self.start = np.searchsorted(self.h[:-1], heads).astype(np.int32)
         self.bands = {r["lang"]: r for r in _read(bands_uri).to_pylist()}
@@ -275,8 +290,8 @@ class Model:
         return self.v[at], got == h
 
     def log_probs(self, lang: str, codes: np.ndarray) -> np.ndarray:
-        """For each position from ORDER - 1 on."""
-        out = np.zeros(len(codes) - ORDER + 1, dtype=np.float64)
+        """In UNITs, for each position from ORDER - 1 on."""
+        out = np.zeros(len(codes) - ORDER + 1, dtype=np.int64)
         todo = None
         for k in range(ORDER, 0, -1):
             if todo is None:
@@ -294,25 +309,34 @@ class Model:
             if k > 1:
                 v, ok = self.find(_hash(codes, k - 1, _seed(lang, 1))[todo + ORDER - k])
                 out[todo] += np.where(ok, v, 0)
-        out[todo] += self.bands[lang]["unknown"] if lang in self.bands else -20.0
+        out[todo] += self.bands[lang]["unknown"] if lang in self.bands else -20 * UNIT
         return out
 
     def means(self, lang: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Mean log probability of each text's characters and its end, and their number."""
+        """Mean log probability of each text's characters and its end, and their number. A sum of whole numbers, divided once."""
         n = np.array([len(t) + 1 for t in texts])
         codes = _codes(texts)
         p = self.log_probs(lang, codes)
         ends = np.cumsum(n + ORDER - 1) - (ORDER - 1)  # past each text's last value
         total = np.add.reduceat(p, np.stack([ends - n, np.minimum(ends, len(p) - 1)], axis=1).ravel())[::2] if len(texts) else p
         total[-1:] = p[ends[-1] - n[-1] :].sum()
-        return total / n, n
+        return total / n / UNIT, n
 
 
-def _read(uri: str) -> pa.Table:
+def _dataset(uri: str):
     from pyarrow import dataset, fs
 
     where, path = fs.FileSystem.from_uri(uri)
-    return dataset.dataset(path, filesystem=where, format="parquet", exclude_invalid_files=True).to_table()
+    return dataset.dataset(path, filesystem=where, format="parquet", exclude_invalid_files=True)
+
+
+def _read(uri: str) -> pa.Table:
+    return _dataset(uri).to_table()
+
+
+def _files(uri: str) -> list:
+    """Fragments in order of their names, which is that of Spark's partitions."""
+    return sorted(_dataset(uri).get_fragments(), key=lambda f: f.path)
 
 
 @lru_cache(maxsize=1)
@@ -335,21 +359,25 @@ def _scores(batch: pa.RecordBatch, model_uri: str, bands_uri: str) -> list[tuple
     return [(*c, c[0] < 50 or 100 * c[4] > 50 * c[0], float(m), int(n)) for c, m, n in zip(counts, means, sizes, strict=True)]
 
 
-def _joined_means(distinct: tuple[DataFrame, str | None], logp: DataFrame) -> DataFrame:
-    """(key, log_prob, size) of each distinct row by joining n-gram counts with the model: for models too large for a worker."""
+def _joined_means(distinct: tuple[DataFrame, str | None], values: DataFrame) -> DataFrame:
+    """(key, log_prob, size) of each distinct row by joining n-gram counts with the model's values: for models too large for a worker."""
     rows, repeats = distinct
 
     def run(batches):
-        for b in in_slices(batches, 64):
-            shares = _shares(b.column(0), repeats)
-            for key, lang, text, share in zip(*(c.to_pylist() for c in b.columns), shares, strict=True):
+        for b in in_slices(batches, 64, 2):
+            for key, lang, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 joined = f"{_PAD * (ORDER - 1)}{_clean(text)}{_END}"
                 codes = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)
                 _, first, n = np.unique(_hash(codes, ORDER, 1), return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(first)), pa.array([lang or ""] * len(first)), pa.array([joined[i : i + ORDER] for i in first.tolist()]), pa.array(n * share)], names=["key", "lang", "gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(first)), pa.array([lang or ""] * len(first)), pa.array([joined[i : i + ORDER] for i in first.tolist()]), pa.array(n)], names=["key", "lang", "gram", "n"])
 
-    grams = rows.select("key", "lang", "text").mapInArrow(run, "key long, lang string, gram string, n double")
-    return grams.join(logp, ["lang", "gram"]).groupBy("key").agg((F.sum(F.col("n") * F.col("logp")) / F.sum("n")).alias("log_prob"), _whole("n").alias("size"))
+    grams = rows.select("key", "lang", "text").mapInArrow(run, "key long, lang string, gram string, n long")
+    each = F.sum(F.col("n").cast("decimal(20,0)") * F.col("v"))  # exact; each copy adds the same
+    sums = grams.join(values, ["lang", "gram"]).groupBy("key").agg(each.alias("total"), F.sum("n").alias("size"))
+    if repeats:
+        copies = rows.sparkSession.read.parquet(repeats).withColumnRenamed("n", "copies")
+        sums = sums.join(copies, "key", "left").withColumn("copies", F.coalesce("copies", F.lit(1))).select("key", F.expr("total div copies").alias("total"), F.expr("size div copies").alias("size"))
+    return sums.select("key", (F.col("total").cast("double") / F.col("size") / UNIT).alias("log_prob"), "size")
 
 
 _COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
@@ -386,7 +414,7 @@ def _scored(docs: DataFrame, model: DataFrame, bands: DataFrame) -> DataFrame:
     names = ["key", "lang", *_names(_SCORED), *(f.name for f in others)]
 
     def run(batches):
-        for b in in_slices(batches):
+        for b in in_slices(batches, 256, 1):
             rows = _scores(b, *uris)
             lang = pa.array([x or "" for x in b.column(0).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([b.column(2), lang, *(pa.array([r[i] for r in rows], t) for i, t in enumerate(_TYPES)), *b.columns[3:]], names=names)
@@ -400,16 +428,16 @@ def judge(docs: DataFrame, model_bytes: int = 256 * 2**20, repeat_bytes: int | N
     """docs: doc_id, lang, text. doc_id with the counts, base_failed, kept, and log_prob, the mean of a character."""
     own = docs.select(F.col("lang").cast("string").alias("lang"), "text", F.col("doc_id").cast("long").alias("doc_id"))
     distinct = distinct_rows(own, repeat_bytes)
-    model, bands, logp = train(own, distinct)
+    model, bands, values = train(own, distinct)
     size = model.count()
     if not size:
         return own.select("doc_id").mapInArrow(lambda batches: iter(()), f"doc_id long, {_FIELDS}")
     own = own.withColumn("key", row_key())
-    scored = _scored_by_join(own, distinct, logp) if 12 * size > model_bytes else _scored(own, model, bands)
+    scored = _scored_by_join(own, distinct, values) if 12 * size > model_bytes else _scored(own, model, bands)
     return _banded(scored, bands).select("doc_id", *_names(_FIELDS))
 
 
-def _scored_by_join(own: DataFrame, distinct: tuple[DataFrame, str | None], logp: DataFrame) -> DataFrame:
+def _scored_by_join(own: DataFrame, distinct: tuple[DataFrame, str | None], values: DataFrame) -> DataFrame:
     names = ["doc_id", "key", "lang", *_names(_COUNTS)]
 
     def run(batches):
@@ -419,26 +447,27 @@ def _scored_by_join(own: DataFrame, distinct: tuple[DataFrame, str | None], logp
 
     counts = own.select("lang", "text", "doc_id", "key").mapInArrow(run, f"doc_id long, key long, lang string, {_COUNTS}")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return stored(counts.withColumn("lang", F.coalesce("lang", F.lit(""))).withColumn("base_failed", failed).join(_joined_means(distinct, logp), "key"), "scores")
+    return stored(counts.withColumn("lang", F.coalesce("lang", F.lit(""))).withColumn("base_failed", failed).join(_joined_means(distinct, values), "key"), "scores")
 
 
 def keep_good(docs: DataFrame, model_bytes: int = 256 * 2**20, repeat_bytes: int | None = None) -> DataFrame:
     """The rows of docs that judge() keeps, in the same passes. Scores are stored by the hash of a row, and the hashes of those to leave out are joined or, up to repeat_bytes, loaded by the workers."""
     own = docs.select(F.col("lang").cast("string").alias("lang"), "text")
     distinct = distinct_rows(own, repeat_bytes)
-    model, bands, logp = train(own, distinct)
+    model, bands, values = train(own, distinct)
     size = model.count()
     if not size:
         return docs
     own = own.withColumn("key", row_key())
-    scored = _scored_by_join(own.withColumn("doc_id", F.col("key")), distinct, logp) if 12 * size > model_bytes else _scored(own, model, bands)
+    scored = _scored_by_join(own.withColumn("doc_id", F.col("key")), distinct, values) if 12 * size > model_bytes else _scored(own, model, bands)
     bad = stored(_banded(scored, bands).filter("not kept").select("key").distinct(), "rejected")
     n = bad.count()
     if not n:
         return docs
-    keyed = docs.withColumn("_key", row_key())
+    name = unused("_key", docs)
+    keyed = docs.select("*", row_key().alias(name))
     if 16 * n > (REPEAT_BYTES if repeat_bytes is None else repeat_bytes):
-        return keyed.join(bad.withColumnRenamed("key", "_key"), "_key", "left_anti").drop("_key")
+        return keyed.join(bad.withColumnRenamed("key", name), name, "left_anti").drop(name)
     uri, at = _uri(bad), len(docs.columns)
 
     def run(batches):

@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +30,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir. Local sessions without one get a temporary folder; a cluster must name it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        if not spark.sparkContext.master.partition("[")[0] == "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-foliospark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
@@ -50,8 +53,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def in_slices(batches, rows: int = 256):
-    """Arrow batches in slices of at most ``rows``, so that long texts don't pile up in a worker."""
+def in_slices(batches, rows: int = 256, text: int | None = None, most: int = 2**21):
+    """Arrow batches in slices of at most ``rows``, so that long texts don't pile up in a worker. text: a column of which a slice holds ``most`` bytes at most, or one row."""
     for batch in batches:
-        for i in range(0, batch.num_rows, rows):
-            yield batch.slice(i, rows)
+        ends = None if text is None else pc.cumulative_sum(pc.fill_null(pc.cast(pc.binary_length(batch.column(text)), pa.int64()), 0)).to_numpy()
+        i = 0
+        while i < batch.num_rows:
+            stop = min(i + rows, batch.num_rows)
+            if ends is not None:
+                before = ends[i - 1] if i else 0
+                stop = max(i + 1, min(stop, int(np.searchsorted(ends, before + most, "right"))))
+            yield batch.slice(i, stop - i)
+            i = stop
+
+
+def unused(name: str, df: DataFrame) -> str:
+    """``name``, with as many underscores in front as it takes to clash with no column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
