@@ -11,12 +11,16 @@ containment of the item's shingles in the whole document.
 Shingles are five words (of fewer words: the whole sequence), words the runs of
 letters and digits with A-Z lower-cased, so case and punctuation don't hide a copy.
 
-Scale: one narrow pass over the documents a block of items; blocks hold at most
-``block_shingles`` item shingles on average, which bounds what is broadcast.
-Only found pairs leave a task.
+Scale: one narrow pass over the documents a block of items; distinct item texts
+are dealt to blocks by a running total of their shingles, which bounds what is
+broadcast whatever copies or huge items the benchmark holds. Only found pairs
+leave a task; the items' ids join them after that.
 
 Defined cases: null texts have no shingles and match nothing; items without words
-are left out. Repeated items or documents give repeated pairs.
+are left out. Repeated items or documents give repeated pairs. Null and repeated
+ids are reported as they stand; ``decontaminate`` judges each row by its own text
+and passes all columns. Empty tables give empty results (an empty benchmark finds
+nothing); texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -26,10 +30,10 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.llm.shared import ALNUM, in_slices
+from foliospark.llm.shared import ALNUM, in_slices, stored
 
 SIZE, PERMUTATIONS = 5, 48
 #: Runs of ASCII letters and digits and of bytes beyond ASCII.
@@ -134,41 +138,75 @@ class ItemIndex:
         return out
 
 
+def _blocks(benchmark: DataFrame, block_shingles: int) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """Distinct item texts (key, text) by block, and the blocks: each holds about ``block_shingles`` item shingles at most, or one text.
+
+    A hash deals texts to buckets of about a block's size; in a bucket the running total of shingles cuts blocks.
+    """
+    texts = benchmark.filter(F.lower("text").rlike(ALNUM)).select("text").distinct().select(F.xxhash64("text").alias("key"), "text", (F.length("text") / 5 + 1).cast("long").alias("size"))
+    texts = stored(texts, "items")
+    buckets = 1 + (texts.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] // block_shingles)
+    so_far = F.sum("size").over(Window.partitionBy("bucket").orderBy("size", "key"))  # by size: a huge text comes last, on its own
+    dealt = texts.withColumn("bucket", F.pmod("key", F.lit(buckets)).cast("int")).withColumn("part", F.floor((so_far - 1) / block_shingles).cast("int"))
+    dealt = stored(dealt, "item-blocks")
+    return dealt, [(r.bucket, r.part) for r in dealt.groupBy("bucket", "part").count().select("bucket", "part").orderBy("bucket", "part").collect()]  # a row a block
+
+
+def _held(spark, dealt: DataFrame, block: tuple[int, int]):
+    """A block of items for the workers; its size is bounded by how blocks are cut."""
+    rows = dealt.filter((F.col("bucket") == block[0]) & (F.col("part") == block[1])).select("key", "text").toLocalIterator()
+    return spark.sparkContext.broadcast([(r.key, r.text) for r in rows])
+
+
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, block_shingles: int = 2_000_000) -> DataFrame:
     """(doc_id, item_id, n_shared, n_item) for documents (doc_id, text) that hold at least ``least`` of an item's (item_id, text) shingles."""
-    spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter(F.lower("text").rlike(ALNUM))
-    total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] // 5
-    blocks = 1 + total // block_shingles
-    out = None
-    for k in range(blocks):
-        block = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k)
-        held = spark.sparkContext.broadcast([(r.item_id, r.text) for r in block.toLocalIterator()])
-        found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_searcher(held, least), "doc_id long, item_id long, n_shared long, n_item long")
-        out = found if out is None else out.unionByName(found)
-    return out
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    dealt, blocks = _blocks(benchmark, block_shingles)
+    found = None
+    for block in blocks:
+        one = own.mapInArrow(_searcher(_held(docs.sparkSession, dealt, block), least), "doc_id long, key long, n_shared long, n_item long")
+        found = one if found is None else found.unionByName(one)
+    if found is None:
+        return own.select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0).cast("long").alias("n_shared"), F.lit(0).cast("long").alias("n_item")).filter("false")
+    ids = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.xxhash64("text").alias("key"))
+    return found.join(ids, "key").select("doc_id", "item_id", "n_shared", "n_item")
 
 
 _INDEX: dict[str, ItemIndex] = {}
 
 
+def _index(token: str, held) -> ItemIndex:
+    """One index a worker."""
+    if token not in _INDEX:
+        _INDEX.clear()
+        _INDEX[token] = ItemIndex(held.value)
+    return _INDEX[token]
+
+
 def _searcher(held, least: float):
     token = uuid.uuid4().hex
 
     def run(batches):
-        if token not in _INDEX:  # one index a worker
-            _INDEX.clear()
-            _INDEX[token] = ItemIndex(held.value)
-        index = _INDEX[token]
-        for b in in_slices(batches):
+        for b in in_slices(batches, 256, 1):
             ids = b.column(0).to_pylist()
-            rows = [(ids[d], *rest) for d, *rest in index.search(b.column(1).to_pylist(), least)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], names=["doc_id", "item_id", "n_shared", "n_item"])
+            rows = [(ids[d], *rest) for d, *rest in _index(token, held).search(b.column(1).to_pylist(), least)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], names=["doc_id", "key", "n_shared", "n_item"])
 
     return run
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFrame:
-    """The rows of docs whose id is in no contaminated pair."""
-    bad = contaminated_pairs(docs, benchmark, least).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, block_shingles: int = 2_000_000) -> DataFrame:
+    """The rows of docs whose text holds no item, whatever their ids: a narrow filter a block of items, no shuffle."""
+    at, schema = docs.columns.index("text"), docs.schema
+    dealt, blocks = _blocks(benchmark, block_shingles)
+    for block in blocks:
+        held, token = _held(docs.sparkSession, dealt, block), uuid.uuid4().hex
+
+        def run(batches, held=held, token=token):
+            for b in in_slices(batches, 256, at):
+                bad = np.zeros(b.num_rows, dtype=bool)
+                bad[[d for d, *_ in _index(token, held).search(b.column(at).to_pylist(), least)]] = True
+                yield b.filter(pa.array(~bad))
+
+        docs = docs.mapInArrow(run, schema)
+    return docs

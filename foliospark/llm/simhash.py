@@ -16,7 +16,8 @@ rounds over tables in the shared folder.
 
 Defined cases: null texts are empty; texts without words have fingerprint 0 and
 link like any other. Null document ids count for nothing in the minimum.
-Repeated rows come out repeated.
+Repeated rows come out repeated. Empty tables give empty results; texts of any
+length are read whole; other columns are left out, but pass ``one_of_each``.
 """
 
 from __future__ import annotations
@@ -26,9 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.shared import in_slices, stored
+from foliospark.llm.shared import in_slices, stored, unused
 
 BITS = 4
+#: Keys of rows to leave out that are broadcast at most, some 30 MB.
+BROADCAST_KEYS = 1_000_000
 #: (lowest bit, width) of the segments; BITS // len(SEGMENTS) is the threshold in one, 1.
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 
@@ -56,7 +59,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long) of each row."""
 
     def run(batches):
-        for b in in_slices(batches):
+        for b in in_slices(batches, 256, 1):
             fps = np.array([fingerprint(t) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["doc_id", "fp"])
 
@@ -203,13 +206,19 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def _grouped(fps: DataFrame) -> DataFrame:
+    """fps: fp and others. (fp, root) of each distinct fingerprint: root is the same all over a component."""
+    each = stored(fps.select("fp").distinct(), "distinct-fingerprints")
+    roots = components(fingerprint_links(each))
+    return each.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, fp, component_id."""
     fps = stored(fingerprints(docs), "fingerprints")
-    each = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct-fingerprints")
-    roots = components(fingerprint_links(each))
-    rooted = each.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    rooted = stored(_grouped(fps), "roots")
+    low = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    lowest = low.join(rooted, "fp").groupBy("root").agg(F.min("low").alias("component_id"))
     return fps.join(rooted.join(lowest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
@@ -217,7 +226,24 @@ def as_hex(fp) -> F.Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs, less those whose group has a smaller document id. Rows without an id stay."""
-    gone = near_duplicates(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+def one_of_each(docs: DataFrame, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+    """One row of each group of near-duplicates: that of the smallest id, or of a null one if no row has any.
+
+    Rows are told apart by id and text (a 64-bit hash of both), so rows that share an id but not a group are judged each
+    on its own. Of rows that repeat an id and text one stays. No text is shuffled up to ``broadcast_keys`` rows to leave out.
+    """
+    key = unused("_key", docs)
+    keyed = docs.select("*", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias(key))
+    fps = stored(fingerprints(keyed.select(F.col(key).alias("doc_id"), "text")), "fingerprints").withColumnRenamed("doc_id", "key")
+    ids = keyed.select(F.col(key).alias("key"), F.col("doc_id").cast("long").alias("doc_id"))
+    rows = stored(fps.groupBy("key", "fp").agg(F.count("*").alias("n")).join(ids.groupBy("key").agg(F.min("doc_id").alias("doc_id")), "key"), "rows")
+    rooted = stored(_grouped(rows), "roots")
+    order = F.struct(F.col("doc_id").isNull().alias("a"), "doc_id", "key")
+    first = rows.groupBy("fp").agg(F.min(order).alias("first")).join(rooted, "fp").groupBy("root").agg(F.min("first").alias("first"))
+    judged = stored(rows.join(rooted.join(first, "root").select("fp", F.col("first.key").alias("stays")), "fp").filter("key <> stays or n > 1").select(F.col("key").alias(key), (F.col("key") == F.col("stays")).alias("again")), "judged")
+    n, again = judged.agg(F.count("*"), F.count_if("again")).first()
+    held = (lambda df: F.broadcast(df)) if n <= broadcast_keys else (lambda df: df)
+    kept = keyed.join(held(judged.select(key)), key, "left_anti").drop(key)
+    if again:
+        kept = kept.unionByName(keyed.join(held(judged.filter("again").select(key)), key, "left_semi").dropDuplicates([key]).drop(key))
+    return kept

@@ -210,8 +210,26 @@ def test_contamination(spark, sf, docs, local, empty):
     same(decontamination.contaminated_pairs(docs, bench, block_shingles=100), expected)
     assert decontamination.contaminated_pairs(empty, bench).count() == 0
     assert decontamination.contaminated_pairs(docs, bench.limit(0)).count() == 0
-    bad = {i for i, *_ in expected}
-    assert sorted((r.doc_id for r in decontamination.decontaminate(docs, bench).select("doc_id").collect()), key=repr) == sorted((i for i, *_ in local if i is None or i not in bad), key=repr)
+    huge = bench.unionByName(spark.createDataFrame([(950 + i, " ".join(f"w{j}" for j in range(4000))) for i in range(3)], "item_id long, text string"), allowMissingColumns=True)
+    _, blocks = decontamination._blocks(huge, 300)
+    assert len(blocks) > 3
+    same(decontamination.contaminated_pairs(docs, huge, block_shingles=300), expected)
+
+
+def test_decontamination_goes_by_row(spark, sf, docs, empty):
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    item = bench.first().text
+    texts = [(None, f"so {item} it"), (None, "a clean text"), (7, f"so {item} it"), (7, "a clean text with a shared id"), (8, None), (9, "")]
+    rows = spark.createDataFrame(texts, "doc_id long, text string").withColumn("bad", F.lit("clash")).withColumn("key", F.array(F.lit(1)))
+    for block_shingles in (2_000_000, 50):
+        kept = decontamination.decontaminate(rows, bench, block_shingles=block_shingles)
+        assert kept.columns == rows.columns
+        same(kept.select("doc_id", "text"), [t for t in texts if item not in (t[1] or "")])
+    sets = [plain_shingles(r.text) for r in bench.collect()]
+    clean = lambda t: not any(s and len(s & plain_shingles(t)) >= 0.8 * len(s) for s in sets)
+    same(decontamination.decontaminate(docs, bench).select("doc_id", "text"), [(r.doc_id, r.text) for r in docs.collect() if clean(r.text)])
+    assert decontamination.decontaminate(empty, bench).count() == 0
+    assert decontamination.decontaminate(rows, bench.limit(0)).count() == len(texts)
 
 
 # -- op5
@@ -444,8 +462,28 @@ def test_simhash(docs, local, empty):
     found = simhash.near_duplicates(docs).select("doc_id", simhash.as_hex(F.col("fp")), "component_id")
     same(found, [(i, f"{f:016x}", least.get(root[f])) for (i, *_), f in zip(local, fps, strict=True)])
     assert simhash.near_duplicates(empty).count() == 0
-    kept = sorted((r.doc_id for r in simhash.one_of_each(docs).collect()), key=repr)
-    assert kept == sorted((i for (i, *_), f in zip(local, fps, strict=True) if i is None or i == least[root[f]]), key=repr)
+
+
+@pytest.mark.parametrize("broadcast_keys", [simhash.BROADCAST_KEYS, 0])
+def test_dedup_goes_by_row(spark, docs, empty, broadcast_keys):
+    one = " ".join(f"word{i}" for i in range(60))
+    two = " ".join(f"other{i}" for i in range(60))
+    texts = [(None, one), (None, one), (5, one), (5, one), (5, two), (3, one), (None, two), (None, "alone with no id"), (None, "alone with no id"), (6, "shares an id"), (6, "but not its text at all")]
+    rows = spark.createDataFrame(texts, "doc_id long, text string").withColumn("_key", F.lit("clash")).withColumn("fp", F.lit(0))
+    kept = simhash.one_of_each(rows, broadcast_keys)
+    assert kept.columns == rows.columns
+    same(kept.select("doc_id", "text"), [(3, one), (5, two), (None, "alone with no id"), (6, "shares an id"), (6, "but not its text at all")])
+    local = [(r.doc_id, r.text) for r in docs.collect()]
+    fps = [plain_fp(t) for _, t in local]
+    root, groups = plain_components(fps), defaultdict(list)
+    for row, f in zip(local, fps, strict=True):
+        groups[root[f]].append(row)
+    got = [tuple(r) for r in simhash.one_of_each(docs, broadcast_keys).select("doc_id", "text").collect()]
+    assert sorted(root[plain_fp(t)] for _, t in got) == sorted(groups)
+    for i, t in got:
+        ids = [j for j, _ in groups[root[plain_fp(t)]] if j is not None]
+        assert i == min(ids, default=None)
+    assert simhash.one_of_each(empty, broadcast_keys).count() == 0
 
 
 @pytest.mark.parametrize("crowd", [20_000, 40])
