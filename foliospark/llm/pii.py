@@ -1,18 +1,26 @@
 """PII surrogates: keyed, type-consistent replacements of detected entities.
 
-Each kind of entity has a finite domain of its own format (digits stay digits,
-vowels vowels, capitals capitals, each in its script; card numbers keep a valid
-or an invalid check digit; addresses stay addresses; first names stay in their
-gender). In it x becomes P^-1(P(x) + 1) for a keyed permutation P: one cycle
-over the domain. So the same entity has the same surrogate everywhere
-(coreference), two entities never share one (distinctness), and none is its own
-surrogate, without any table of entities. Each text is checked for collisions,
-and ``collisions`` checks a whole corpus.
-
-Scale: row by row, no shuffle; a worker caches recent entities.
+An entity has a normal form: emails and names without case, phones, cards and
+ibans without separators. Each kind of entity has a finite domain of its own
+format (digits stay digits, vowels vowels, each in its script; card numbers keep
+a valid or an invalid check digit; addresses stay addresses; first names stay in
+their gender). In it a normal form x becomes P^-1(P(x) + 1) for a keyed
+permutation P: one cycle over the domain. So the same entity has the same
+surrogate everywhere (coreference), two entities never share one (distinctness),
+and none is its own surrogate, without any table of entities. The surface's case
+and separators are put back. What has a domain of one value becomes a keyed mask.
+
+Who knows the key can undo surrogates, so it is an argument without a default.
+``checked_surrogates`` holds the whole corpus against both promises: pairs of
+normal form and surrogate are gathered from all texts and any clash is an error.
+
+Scale: row by row, no shuffle; a worker caches recent entities. The check shuffles
+distinct pairs alone, summed up before, so a frequent entity is no hot group.
 
 Defined cases: a null text stays null. Other columns pass through as they are
-(n_chars, if there, is counted anew). Every row counts on its own.
+(n_chars, if there, is counted anew). Every row counts on its own, ids may be null
+or repeated. An empty table stays empty; texts of any length are read whole, in
+time linear in their length.
 """
 
 from __future__ import annotations
@@ -26,22 +34,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.shared import in_slices
+from foliospark.llm.shared import in_slices, stored, unused
 
 #: First names by gender and script.
 FIRST_NAMES = {
-    ("f", "latin"): "Anna Maria Julia Laura Sarah Emma Sophie Marie Claire Camille Lucia Carmen Elena Isabel Petra Sabine Ursula Heike Alice Emily Jane Mary Susan Linda Karen Nancy".split(),
-    ("m", "latin"): "John James Robert Michael William David Thomas Peter Paul Mark Hans Klaus Jürgen Wolfgang Stefan Pierre Jean Louis Antoine Michel Carlos José Juan Miguel Pedro Luis".split(),
+    ("f", "latin"): "Anna Maria Julia Laura Sarah Emma Sophie Marie Claire Camille Lucia Carmen Elena Isabel Petra Sabine Ursula Heike Alice Emily Jane Mary Susan Linda Karen Nancy Agnieszka Katarzyna Małgorzata".split(),
+    ("m", "latin"): "John James Robert Michael William David Thomas Peter Paul Mark Hans Klaus Jürgen Wolfgang Stefan Pierre Jean Louis Antoine Michel Carlos José Juan Miguel Pedro Luis Łukasz Krzysztof Tomasz".split(),
     ("f", "cyrillic"): "Анна Мария Елена Ольга Наталья Ирина Татьяна Светлана".split(),
     ("m", "cyrillic"): "Иван Алексей Дмитрий Сергей Андрей Николай Михаил Пётр".split(),
+    ("f", "greek"): "Μαρία Ελένη Κατερίνα Σοφία".split(),
+    ("m", "greek"): "Γιώργος Δημήτρης Νίκος Κώστας".split(),
 }
 _TITLES = r"(?:Mrs?|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señora|Señor|Sra|Sr|Don|Doña)\.?"
 _LETTERS = r"[^\W\d_]"
-_ALL_FIRST = frozenset(n for names in FIRST_NAMES.values() for n in names)
-_FIRST = "|".join(sorted(_ALL_FIRST, key=lambda n: (-len(n), n)))
-#: Kind and regex, in order of precedence; a group n, if any, is what is replaced.
+_ALL_FIRST = frozenset(n.lower() for names in FIRST_NAMES.values() for n in names)
+_FIRST = "|".join(sorted({w for names in FIRST_NAMES.values() for n in names for w in (n, n.upper())}, key=lambda n: (-len(n), n)))
+#: Kind and regex, in order of precedence. No character may stand before a match that could be part of it, so a run is tried once.
 KINDS = (
-    ("email", r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w-])"),
+    ("email", r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w-])"),
     ("iban", r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?!\w)"),
     ("card", r"(?<![\w.])[3-6][0-9]{3}(?:[0-9]{9,12}|(?:[ -][0-9]{4}){3})(?![\w]|\.[0-9])"),
     ("ssn", r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"),
@@ -126,7 +136,7 @@ def _permute(key: bytes, domain: str, text: str, ok=None, fixed: int = 0, first:
     for _, a in spots:
         n *= len(a)
     if n == 1:
-        return text
+        return _mask(key, domain, text)
     shape = "".join("." if i >= fixed and _alphabet(c) else c for i, c in enumerate(text)) + "|" + "".join(a[0] for _, a in spots)
     p, x = Permutation(key, f"{domain}|{shape}", n), 0
     for i, a in spots:
@@ -137,8 +147,14 @@ def _permute(key: bytes, domain: str, text: str, ok=None, fixed: int = 0, first:
         for i, a in reversed(spots):
             y, r = divmod(y, len(a))
             out[i] = a[r]
-        if ok is None or ok(made := "".join(out)):
-            return "".join(out)
+        if (made := "".join(out)) == text:  # nothing else in the domain will do
+            return _mask(key, domain, text)
+        if ok is None or ok(made):
+            return made
+
+
+def _mask(key: bytes, domain: str, text: str) -> str:
+    return f"[{domain}-{hashlib.blake2b(text.encode(), key=key[:64], digest_size=10).hexdigest()}]"
 
 
 def luhn(text: str) -> bool:
@@ -146,26 +162,51 @@ def luhn(text: str) -> bool:
     return sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(digits)) % 10 == 0
 
 
-def _next_name(key: bytes, name: str) -> str:
-    """The next first name of the same gender and script on a keyed cycle; other words move within their letters."""
-    for kind, names in FIRST_NAMES.items():
-        if name in names:
-            order = sorted(names, key=lambda n: hashlib.blake2b(n.encode(), key=key[:64]).digest())
-            return order[(order.index(name) + 1) % len(order)]
-    return _permute(key, "surname", name, lambda s: s not in _ALL_FIRST)
+def _next_word(key: bytes, word: str) -> str:
+    """The next first name of the same gender and script on a keyed cycle; other words move within their letters. Lower case."""
+    for names in FIRST_NAMES.values():
+        known = [n.lower() for n in names]
+        if word in known:
+            order = sorted(known, key=lambda n: hashlib.blake2b(n.encode(), key=key[:64]).digest())
+            return order[(order.index(word) + 1) % len(order)]
+    return _permute(key, "surname", word, lambda s: s not in _ALL_FIRST)
 
 
 def _iban_ok(text: str) -> bool:
-    s = text.replace(" ", "")
-    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+    return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97 == 1
+
+
+#: What a phone number may hold besides its digits and plus; "(0)" is not dialled from abroad.
+_TRUNK = re.compile(r"\(0\)")
+
+
+def _lower(text: str) -> str:
+    low = text.lower()
+    return low if len(low) == len(text) else text
+
+
+def normal(kind: str, text: str) -> str:
+    """What spellings of one entity have in common."""
+    if kind == "email":
+        return text.lower()
+    if kind == "iban":
+        return text.replace(" ", "")
+    if kind == "card":
+        return re.sub("[ -]", "", text)
+    if kind == "phone":
+        return re.sub(r"[^0-9+]", "", _TRUNK.sub("", text) if text.startswith("+") else text)
+    if kind in ("name", "titled"):
+        words = text.split()
+        return " ".join(map(_lower, words[kind == "titled" :]))
+    return text
 
 
 @lru_cache(maxsize=50_000)
-def surrogate(key: bytes, kind: str, text: str) -> str:
+def next_normal(key: bytes, kind: str, text: str) -> str:
+    """The normal form that stands for another one."""
     if kind == "email":
-        local, _, host = text.rpartition("@")
-        name, _, top = host.rpartition(".")
-        return f"{_permute(key, 'email', f'{local}@{name}')}.{top}"
+        address, _, top = text.rpartition(".")
+        return f"{_permute(key, 'email', address)}.{top}"
     if kind == "iban":
         good = _iban_ok(text)
         return _permute(key, f"iban{good}", text, lambda s: _iban_ok(s) == good, fixed=2)
@@ -176,15 +217,43 @@ def surrogate(key: bytes, kind: str, text: str) -> str:
         n = int.from_bytes(bytes(map(int, text.split("."))), "big")
         return ".".join(map(str, Permutation(key, "ip", 2**32).next(n).to_bytes(4, "big")))
     if kind == "phone":
-        head = re.match(r"\+[0-9]{1,3}(?=[^0-9])", text)
-        return _permute(key, "phone", text, fixed=head.end() if head else 0)
+        return _permute(key, "phone", text, fixed=2 if text.startswith("+") else 0)
     if kind in ("name", "titled"):
-        words = re.split(r"( +)", text)
-        at = 2 if kind == "titled" else 0
-        return "".join(w if i < at or i % 2 else _next_name(key, w) for i, w in enumerate(words))
+        return " ".join(_next_word(key, w) for w in text.split(" "))
     return _permute(key, kind, text)
 
 
+def _cased(word: str, like: str) -> str:
+    """A lower-case word in the case of another."""
+    if len(word) == len(like):
+        return "".join(u if b.isupper() and len(u := a.upper()) == 1 and u.lower() == a else a for a, b in zip(word, like, strict=True))
+    return word.upper() if len(like) > 1 and like.isupper() else word[:1].upper() + word[1:] if like[:1].isupper() else word
+
+
+def _spaced(made: str, like: str) -> str:
+    """The characters of a normal form where those of a spelling stand, with its separators."""
+    out, rest = [], iter(made)
+    skip = {i for m in _TRUNK.finditer(like) for i in range(*m.span())} if like.startswith("+") else ()
+    for i, c in enumerate(like):
+        out.append(c if i in skip or not (c.isalnum() or c == "+") else next(rest))
+    return "".join(out)
+
+
+def surrogate(key: bytes, kind: str, text: str) -> str:
+    made = next_normal(key, kind, normal(kind, text))
+    if made.startswith("["):
+        return made
+    if kind == "email":
+        return _cased(made, text)
+    if kind in ("iban", "card", "phone"):
+        return _spaced(made, text)
+    if kind in ("name", "titled"):
+        words, new = re.split(r"(\s+)", text), iter(made.split(" "))
+        at = 2 if kind == "titled" else 0
+        return "".join(w if i < at or i % 2 else _cased(next(new), w) for i, w in enumerate(words))
+    return made
+
+
 _ANY = re.compile("|".join(f"(?P<{kind}>{regex})" for kind, regex in KINDS))
 #: A text without any of these has no entity.
 _HINT = re.compile(rf"@|[0-9]{{3}}|[0-9]\.[0-9]|\+[0-9]|[A-Z]{{2}}[0-9]{{2}}|{_TITLES} |(?:{_FIRST}) ")
@@ -204,26 +273,26 @@ def replace(text: str, key: bytes) -> tuple[str, list[tuple[str, str, str, int]]
     return ("".join([*out, text[last:]]), found) if found else (text, [])
 
 
-def with_surrogates(docs: DataFrame, key: bytes = b"foliospark", audit: bool = False) -> DataFrame:
-    """docs with ``text`` replaced. With audit also entities array<struct<kind, original, surrogate, start>>."""
+_AUDIT = (("kind", pa.string()), ("original", pa.string()), ("surrogate", pa.string()), ("start", pa.int32()), ("normal", pa.string()), ("becomes", pa.string()))
+
+
+def with_surrogates(docs: DataFrame, key: bytes, audit: str | None = None) -> DataFrame:
+    """docs with ``text`` replaced. audit names a further column, of entities array<struct<kind, original, surrogate, start, normal, becomes>>."""
     schema = docs.schema
     at = schema.names.index("text")
-    kinds = "array<struct<kind:string,original:string,surrogate:string,start:int>>"
-    said = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + f", `_entities` {kinds}" * audit
-    row = pa.list_(pa.struct([("kind", pa.string()), ("original", pa.string()), ("surrogate", pa.string()), ("start", pa.int32())]))
+    kinds = "array<struct<kind:string,original:string,surrogate:string,start:int,normal:string,becomes:string>>"
+    said = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + (f", `{audit}` {kinds}" if audit else "")
 
     def run(batches):
-        for b in in_slices(batches):
+        for b in in_slices(batches, 256, at):
             made = [replace(t, key) if t is not None else (None, []) for t in b.column(at).to_pylist()]
-            for _, found in made:
-                if len({(k, o) for k, o, _, _ in found}) != len({(k, s) for k, _, s, _ in found}):
-                    raise ValueError("two entities of a text have one surrogate")
             columns = list(b.columns)
             columns[at] = pa.array([m[0] for m in made], pa.string())
             names = list(b.schema.names)
             if audit:
-                columns.append(pa.array([[dict(zip(("kind", "original", "surrogate", "start"), f, strict=True)) for f in m[1]] for m in made], row))
-                names.append("_entities")
+                rows = [[dict(zip((n for n, _ in _AUDIT), (*f, x := normal(f[0], f[1]), next_normal(key, f[0], x)), strict=True)) for f in m[1]] for m in made]
+                columns.append(pa.array(rows, pa.list_(pa.struct(_AUDIT))))
+                names.append(audit)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     out = docs.mapInArrow(run, said)
@@ -232,8 +301,18 @@ def with_surrogates(docs: DataFrame, key: bytes = b"foliospark", audit: bool = F
     return out
 
 
-def collisions(audited: DataFrame) -> DataFrame:
-    """Surrogates that stand for several originals, or originals with several surrogates, over a whole corpus: none, if all is well."""
-    pairs = audited.select(F.explode("_entities").alias("e")).select("e.kind", "e.original", "e.surrogate").distinct()
+def collisions(audited: DataFrame, column: str) -> DataFrame:
+    """Surrogates that stand for several entities, entities with several surrogates, and ones that are their own, over a whole corpus."""
+    kind = F.when(F.col("e.kind") == "titled", "name").otherwise(F.col("e.kind")).alias("kind")
+    pairs = audited.select(F.explode(column).alias("e")).select(kind, "e.normal", "e.becomes").distinct()
     by = lambda one, other: pairs.groupBy("kind", F.col(one).alias("value")).agg(F.count(other).alias("n")).filter("n > 1")
-    return by("surrogate", "original").unionByName(by("original", "surrogate"))
+    return by("becomes", "normal").unionByName(by("normal", "becomes")).unionByName(pairs.filter("normal = becomes").select("kind", F.col("normal").alias("value"), F.lit(1).cast("long").alias("n")))
+
+
+def checked_surrogates(docs: DataFrame, key: bytes) -> tuple[DataFrame, str]:
+    """with_surrogates, written and held against ``collisions``; and the name of the column of entities."""
+    column = unused("_entities", docs)
+    made = stored(with_surrogates(docs, key, column), "surrogates")
+    if bad := collisions(made, column).take(5):
+        raise ValueError(f"surrogates clash: {[r.kind for r in bad]}")
+    return made, column

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from foliospark.llm import bpe, chat_formatting, decontamination, license_scans, pii, quality_rules, secret_scans, simhash, url_filters, warc
 from foliospark.llm.oracles import ORACLES  # noqa: F401
 
+#: A key for these made-up tables, so that results repeat. For real data pass a secret one.
+DEMO_KEY = b"key of the made-up tables"
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -56,9 +59,9 @@ def op8_secret_scans(spark, sf_dir):
 
 
 def op9_pii(spark, sf_dir):
-    made = pii.with_surrogates(_table(spark, sf_dir, "documents").select("doc_id", "text"), audit=True)
-    kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("_entities", lambda e: e.kind))), ",")
-    return made.select("doc_id", "text", F.size("_entities").cast("long").alias("n_entities"), kinds.alias("kinds"))
+    made, entities = pii.checked_surrogates(_table(spark, sf_dir, "documents").select("doc_id", "text"), DEMO_KEY)
+    kinds = F.array_join(F.array_sort(F.array_distinct(F.transform(entities, lambda e: e.kind))), ",")
+    return made.select("doc_id", "text", F.size(entities).cast("long").alias("n_entities"), kinds.alias("kinds"))
 
 
 def op10_bpe(spark, sf_dir):
