@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from foliospark.llm import bpe, decontamination, pii, quality_rules, simhash
-from foliospark.llm.queries import vocabulary
+from foliospark.llm.queries import DEMO_KEY, vocabulary
 from foliospark.llm.shared import fresh_path
 
 
@@ -22,7 +22,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.with_surrogates(docs)
+    made, entities = pii.checked_surrogates(docs, DEMO_KEY)
+    return made.drop(entities)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
