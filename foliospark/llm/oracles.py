@@ -1,6 +1,7 @@
 """DuckDB SQL for the queries that SQL can express: the contract's rules and each method's definition, without its search structures."""
 
 from foliospark.llm.license_scans import GATE, rules
+from foliospark.llm.url_filters import REGISTRY, SHARED_SUFFIXES
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -9,19 +10,21 @@ with seen as (select doc_id page_id, count(*) n, sum((coalesce(toxic,0)=1 or coa
 p as (select page_id, translate(coalesce(regexp_extract(url,'^.*?://([^/?#]*)',1,'s'),''),'{_UP}','{_LOW}') host, coalesce(regexp_extract(url,'^.*?://[^/?#]*([^?#]*)',1,'s'),'') path from pages),
 h0 as (select host, coalesce(sum(n),0) n, coalesce(sum(k),0) k from p left join seen using (page_id) group by host),
 h1 as (select *, regexp_replace(host,'^.*@|:[0-9]*$','','g') name from h0),
-h as (select host, n, k, split_part(name,'.',-1) suffix, case when regexp_matches(name,'^[0-9.]+$') then name when contains(name,'.') then split_part(name,'.',-2)||'.'||split_part(name,'.',-1) else name end as domain from h1),
+h2_ as (select *, string_split(name,'.') ls, array_to_string(string_split(name,'.')[-2:],'.') two from h1),
+h3_ as (select *, case when regexp_matches(two,'^({REGISTRY})\.[a-z][a-z]$') or two in {SHARED_SUFFIXES} then two else ls[-1] end suffix from h2_),
+h as (select host, n, k, suffix, case when regexp_matches(name,'^[0-9.]+$') then name when contains(suffix,'.') then array_to_string(ls[-3:],'.') else two end as domain from h3_),
 d as (select suffix, domain, sum(n) n, sum(k) k from h group by suffix, domain),
 s as (select suffix, sum(n) n, sum(k) k from d group by suffix),
 s1 as (select *, (select coalesce(sum(k)/nullif(sum(n),0)::double,0) from s) m from s),
-c0 as (select (1-r)/r c from (select greatest(0.001,least(0.5,coalesce(case when sum(n*(n-1)*m*(1-m))>0 then sum((k-n*m)**2-n*m*(1-m))/sum(n*(n-1)*m*(1-m)) end,0.1))) r from s1)),
+c0 as (select (1-r)/r c from (select greatest(0.001,least(0.5,coalesce(case when sum((n-1)*m*(1-m)) filter (n>0)>0 then sum((k-n*m)**2/n-m*(1-m)) filter (n>0)/sum((n-1)*m*(1-m)) filter (n>0) end,0.1))) r from s1)),
 s2 as (select suffix, (k+c*m)/(n+c) m from s1, c0),
 d1 as (select d.*, m from d join s2 using (suffix)),
-c1 as (select (1-r)/r c from (select greatest(0.001,least(0.5,coalesce(case when sum(n*(n-1)*m*(1-m))>0 then sum((k-n*m)**2-n*m*(1-m))/sum(n*(n-1)*m*(1-m)) end,0.1))) r from d1)),
+c1 as (select (1-r)/r c from (select greatest(0.001,least(0.5,coalesce(case when sum((n-1)*m*(1-m)) filter (n>0)>0 then sum((k-n*m)**2/n-m*(1-m)) filter (n>0)/sum((n-1)*m*(1-m)) filter (n>0) end,0.1))) r from d1)),
 d2 as (select suffix, domain, (k+c*m)/(n+c) m from d1, c1),
 h2 as (select h.*, m from h join d2 using (suffix, domain)),
-c2 as (select (1-r)/r c from (select greatest(0.001,least(0.5,coalesce(case when sum(n*(n-1)*m*(1-m))>0 then sum((k-n*m)**2-n*m*(1-m))/sum(n*(n-1)*m*(1-m)) end,0.1))) r from h2)),
+c2 as (select (1-r)/r c from (select greatest(0.001,least(0.5,coalesce(case when sum((n-1)*m*(1-m)) filter (n>0)>0 then sum((k-n*m)**2/n-m*(1-m)) filter (n>0)/sum((n-1)*m*(1-m)) filter (n>0) end,0.1))) r from h2)),
 h3 as (select host, n, k, c, (k+c*m)/(n+c) m from h2, c2),
-rep as (select host, n, k, m-1.645*sqrt(m*(1-m)/(n+c+1)) b from h3),
+rep as (select host, n, k, sin(greatest(0,asin(sqrt(m))-1.645/(2*sqrt(n+c+1))))**2 b from h3),
 rules(verdict, rule) as (values ('allow','org/'), ('block','example.org/es/'), ('block','example.org/en/1'), ('allow','com/fr/'), ('block','com/de/')),
 r as (select verdict, rule, split_part(rule,'/',1) rh, rule[len(split_part(rule,'/',1))+1:] rp from rules),
 u as (select distinct host, path from p),

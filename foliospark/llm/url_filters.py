@@ -2,8 +2,15 @@
 
 Labelled page outcomes are counted by host, and shrunk through beta-binomial
 priors from host to registered domain to suffix to the whole corpus. The
-concentration of each level's prior is fitted by moments. A host is blocked
-when the lower posterior bound of its rate of bad pages reaches a threshold.
+concentration of each level's prior is fitted by moments, in which a group weighs
+by its pages less one, so one hot host doesn't decide alone. A host is blocked
+when the lower posterior bound of its rate of bad pages reaches a threshold: the
+beta posterior's quantile, on the arcsine scale, where its spread hardly depends
+on the rate, and so never outside 0 to 1.
+
+Suffixes: the last label, or the last two where a registry's word stands before a
+country's two letters (co.uk, com.cn, gov.br), or a suffix that is given, such as
+that of a hosting site under which anyone may register names.
 
 Scale: two narrow columns of pages are shuffled once by page id, then only
 counts per host, domain and suffix. Hot hosts are summed before the shuffle;
@@ -11,7 +18,8 @@ the last join sends one row a host to the pages, and AQE can split its skew.
 
 Defined cases: null or schemeless urls have empty host and path; they form the
 host "". A page id found twice is judged twice; labels of a page are summed.
-Empty labels leave the prior mean 0, so nothing is blocked but by rule.
+Empty labels leave the prior mean 0, so nothing is blocked but by rule. Labels of
+no page and other columns are left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,8 +31,10 @@ from pyspark.sql import functions as F
 
 from foliospark.llm.shared import lower_ascii, stored
 
-#: Suffixes of two labels that are registries themselves.
-TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "co.nz", "com.br", "co.za", "com.mx", "co.in")
+#: Second-level words of registries, before two letters.
+REGISTRY = "ac|asn|co|com|edu|gob|gov|gouv|id|info|ltd|me|mil|ne|net|nhs|nom|or|org|plc|police|sch"
+#: Suffixes under which strangers register names.
+SHARED_SUFFIXES = ("github.io", "gitlab.io", "blogspot.com", "wordpress.com", "netlify.app", "herokuapp.com", "appspot.com", "web.app")
 #: (verdict, host and path); the longest that fits wins.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
@@ -47,9 +57,9 @@ def match_rules(host: Column, path: Column, rules: Sequence[tuple[str, str]]) ->
     return rule, verdict
 
 
-def _suffix(name: Column) -> Column:
+def _suffix(name: Column, shared: Sequence[str]) -> Column:
     two = F.substring_index(name, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(F.substring_index(name, ".", -1))
+    return F.when(two.rlike(rf"^(?:{REGISTRY})\.[a-z][a-z]$") | two.isin(*shared), two).otherwise(F.substring_index(name, ".", -1))
 
 
 def _domain(name: Column, suffix: Column) -> Column:
@@ -58,10 +68,10 @@ def _domain(name: Column, suffix: Column) -> Column:
 
 
 def _concentration(level: DataFrame) -> float:
-    """Prior strength of a level with n, k and the parent's mean m: moments of the beta-binomial. At least one page's worth."""
-    n, k, m = F.col("n"), F.col("k"), F.col("m")
-    extra = F.sum(F.pow(k - n * m, 2) - n * m * (1 - m))
-    room = F.sum(n * (n - 1) * m * (1 - m))
+    """Prior strength of a level with n, k and the parent's mean m: moments of the beta-binomial, divided by n. At least one page's worth."""
+    n, k, m = F.nullif("n", F.lit(0)), F.col("k"), F.col("m")
+    extra = F.sum(F.pow(k - n * m, 2) / n - m * (1 - m))
+    room = F.sum((n - 1) * m * (1 - m))
     rho = F.greatest(F.lit(0.001), F.least(F.lit(0.5), F.coalesce(F.when(room > 0, extra / room), F.lit(0.1))))
     return level.agg(((1 - rho) / rho).alias("c")).first().c
 
@@ -72,17 +82,22 @@ def _shrunk(level: DataFrame) -> tuple[DataFrame, float]:
     return level.withColumn("m", (F.col("k") + c * F.col("m")) / (F.col("n") + c)), c
 
 
-def host_reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
+def posterior_bound(mean: Column, pages: Column, z: float = 1.645) -> Column:
+    """Lower quantile of a beta with this mean whose two parameters sum to ``pages``."""
+    return F.pow(F.sin(F.greatest(F.lit(0.0), F.asin(F.sqrt(mean)) - z / (2 * F.sqrt(pages + 1)))), 2)
+
+
+def host_reputation(outcomes: DataFrame, shared: Sequence[str] = SHARED_SUFFIXES) -> DataFrame:
     """outcomes: host, n (labelled pages), k (bad ones); one row a host. Returns host, n, k, posterior_mean, posterior_bound."""
     name = F.regexp_replace("host", r"^.*@|:[0-9]*$", "")
-    hosts = outcomes.select("host", "n", "k", _suffix(name).alias("suffix"), _domain(name, _suffix(name)).alias("domain"))
+    hosts = outcomes.select("host", "n", "k", _suffix(name, shared).alias("suffix"), _domain(name, _suffix(name, shared)).alias("domain"))
     domains = stored(hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "domains")
     suffixes = stored(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "suffixes")
     overall = suffixes.agg(F.coalesce(F.sum("k") / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.0)).alias("m")).first().m
     above, _ = _shrunk(suffixes.withColumn("m", F.lit(overall)))
     above, _ = _shrunk(domains.join(above.select("suffix", "m"), "suffix"))
     level, c = _shrunk(hosts.join(above.select("suffix", "domain", "m"), ["suffix", "domain"]))
-    return level.select("host", "n", "k", F.col("m").alias("posterior_mean"), (F.col("m") - z * F.sqrt(F.col("m") * (1 - F.col("m")) / (F.col("n") + c + 1))).alias("posterior_bound"))
+    return level.select("host", "n", "k", F.col("m").alias("posterior_mean"), posterior_bound(F.col("m"), F.col("n") + c).alias("posterior_bound"))
 
 
 def judge_pages(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]] = RULES, block_at: float = 0.5) -> DataFrame:

@@ -13,12 +13,14 @@ leads to a record, which is read by range again.
 Scale: payloads are shuffled once, by id, to meet the revisit decision; digests
 are counted in narrow rows with map-side combining, so a payload that a third of
 all pages share is no hot group. Index keys hold the capture id, so that a hot
-url or host splits over ranges. Only the list of index files is broadcast;
-``index_files`` bounds it. Workers reach the shared folder by pyarrow.fs.
+url or host splits over ranges. Index files follow the captures, about FILE_LINES
+lines a file; only their list is broadcast, a row for so many captures. Workers
+reach the shared folder by pyarrow.fs.
 
 Defined cases: null html is the empty payload, null urls have the key ")/".
 Rows that repeat an id and payload are all responses if that id is the smallest.
-Null ids are never the smallest and never revisits.
+Null ids are never the smallest and never revisits. Payloads of any length are
+stored whole; other columns are left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 
 from foliospark.llm.shared import fresh_path, in_slices, lower_ascii, stored
 
-LEAST_BYTES, BLOCK_LINES = 100, 512
+LEAST_BYTES, BLOCK_LINES, FILE_LINES = 100, 512, 1_000_000
 _DATE = "2024-01-01T00:00:00Z"  # captures carry no time of their own; a fixed one keeps files reproducible
 
 
@@ -127,7 +129,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     return stored(marked.mapInArrow(run, "key string, page_id long, file string, offset long, length long"), "manifest")
 
 
-def write_index(manifest: DataFrame, folder: str, index_files: int = 256) -> DataFrame:
+def write_index(manifest: DataFrame, folder: str, file_lines: int = FILE_LINES) -> DataFrame:
     """Sorted index files of compressed blocks with a block directory at their end; returns their list: first_key, file, offset, length of the directory."""
 
     def run(batches):
@@ -156,7 +158,7 @@ def write_index(manifest: DataFrame, folder: str, index_files: int = 256) -> Dat
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([directory[0].split("\t")[0]]), pa.array([uri]), pa.array([at], pa.int64()), pa.array([len(data)], pa.int64())], names=["first_key", "file", "offset", "length"])
 
-    n = min(index_files, max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    n = max(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-manifest.count() // file_lines))
     spread = manifest.select("key", "file", "offset", "length").repartitionByRange(n, "key").sortWithinPartitions("key")
     return stored(spread.mapInArrow(run, "first_key string, file string, offset long, length long"), "index-files")
 
@@ -194,7 +196,7 @@ def find(index: list[tuple[str, str, int, int]], key: str) -> list[tuple[str, in
 
 def look_up(keys: DataFrame, index_files: DataFrame, folder: str) -> DataFrame:
     """keys: distinct key. One row a capture found: page_id, url, payload_bytes, payload_digest (of what was read), record_type, refers_to, whole."""
-    held = keys.sparkSession.sparkContext.broadcast(sorted(tuple(r) for r in index_files.collect()))  # a row an index file: at most index_files
+    held = keys.sparkSession.sparkContext.broadcast(sorted(tuple(r) for r in index_files.collect()))  # a row an index file, so one for FILE_LINES captures or a shuffle partition
 
     def run(batches):
         index = held.value

@@ -100,6 +100,39 @@ def test_bad_host_is_blocked_and_rare_one_is_shrunk(spark):
     assert got["bad.site.example"] == "block" and got["rare.site.example"] == "allow"
 
 
+def test_suffixes_and_domains(spark):
+    hosts = {"a.b.example.co.uk": ("co.uk", "example.co.uk"), "x.gov.uk": ("gov.uk", "x.gov.uk"), "shop.com.cn": ("com.cn", "shop.com.cn"), "www.me.github.io": ("github.io", "me.github.io"), "www.example.com": ("com", "example.com"), "co.uk": ("co.uk", "co.uk"), "localhost": ("localhost", "localhost"), "10.0.0.1": ("1", "10.0.0.1"), "": ("", "")}
+    suffix = url_filters._suffix(F.col("h"), url_filters.SHARED_SUFFIXES)
+    got = spark.createDataFrame([(h,) for h in hosts], "h string").select("h", suffix.alias("s"), url_filters._domain(F.col("h"), suffix).alias("d")).collect()
+    assert {r.h: (r.s, r.d) for r in got} == hosts
+
+
+def test_bound_is_near_the_beta_quantile(spark):
+    import numpy as np
+
+    cases = [(m, n) for m in (0.02, 0.1, 0.3, 0.5, 0.8, 0.97) for n in (5.0, 20.0, 200.0)]
+    got = {(r.m, r.n): r.b for r in spark.createDataFrame(cases, "m double, n double").select("m", "n", url_filters.posterior_bound(F.col("m"), F.col("n")).alias("b")).collect()}
+    for m, n in cases:
+        sample = np.random.RandomState(1).beta(m * n, (1 - m) * n, 400_000)
+        assert abs(got[m, n] - np.quantile(sample, 0.05)) < 0.16 / n**0.5 and 0 <= got[m, n] <= m
+
+
+def test_hot_neutral_host_does_not_hide_a_bad_one(spark):
+    pages = spark.createDataFrame([(i, f"http://{'hot' if i % 3 == 0 else 'farm' if i < 60 else f'h{i % 200}'}.site{i % 3}.example/x") for i in range(6000)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i % 3 != 0 and i >= 60 and i % 10 > 0 or i % 3 == 0 and i % 2), 0) for i in range(6000)], "doc_id long, quality int, toxic int")
+    got = {r.host: r.verdict for r in url_filters.judge_pages(pages, labels).collect()}
+    assert got["farm.site1.example"] == "block" and got["hot.site0.example"] == "allow" and got["h100.site1.example"] == "allow"
+
+
+def test_page_contracts(spark, sf):
+    types = {"op1_url_filters": "page_id host path rule:string verdict:string", "op5_warc": "page_id payload_bytes:bigint payload_digest:string record_type:string refers_to:bigint", "op4_benchmark_decontamination": "doc_id:bigint item_id:bigint", "op7_simhash_near_dedup": "doc_id:bigint fingerprint:string component_id:bigint", "op6_quality_rules": "doc_id:bigint n_words:bigint word_chars:bigint n_symbols:bigint n_dup_lines:bigint n_repeat_words:bigint base_failed:boolean kept:boolean"}
+    for name, said in types.items():
+        have = dict(QUERIES[name](spark, sf).dtypes)
+        for column in said.split():
+            c, _, t = column.partition(":")
+            assert c in have and (not t or have[c] == t)
+
+
 # -- op2
 
 
