@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 #: Which detector labels are text, and their categories.
 TEXT_LABELS = ("text", "document_title", "paragraph_title", "image_caption", "aside_text")
 TITLE_LABELS, HEADER_LABELS = ("document_title", "paragraph_title"), ("header", "page_number")
+#: Thresholds and sizes of the page steps.
 LEAST_SCORE, MOST_OVERLAP, STRIP_HEIGHT, STRIP_GAP, MOST_STRIP = 0.20, 0.6, 384, 40, 15_000
 LEAST_LINE_H, LEAST_LINE_W = 8, 20
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Suffixes of image files, and names of edge stages.
 IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png", ".bmp", ".tiff", ".tif", ".webp")
+EDGE_STAGE, EDGE_LAST = "_Edges_Stg", "_Edges_Stg5-Denoise.png"
 #: Folder names that stand for punctuation.
 FOLDER_REMAP = {"punct_exclaim_0305": "punct_!_0305", "punct_question_0306": "punct_?_0306", "punct_slash_0307": "punct_/_0307", "punct_openCurly_0308": "punct_{_0308", "punct_closeCurly_0309": "punct_}_0309"}
 
@@ -43,6 +45,20 @@ def is_strip_file(name: Column, prefix: Column | None = None) -> Column:
     return kept & name.startswith(F.concat(prefix, F.lit("_"))) if prefix is not None else kept
 
 
+def is_edge_input(name: Column) -> Column:
+    """Images that no edge stage has made."""
+    return ext(name).isin(*IMAGE_SUFFIXES) & ~name.contains(EDGE_STAGE)
+
+
+def is_axis_input(name: Column) -> Column:
+    """What the last edge stage has made."""
+    return name.endswith(EDGE_LAST)
+
+
+def axis_stem(name: Column) -> Column:
+    return F.replace(name, F.lit(EDGE_LAST), F.lit(""))
+
+
 def strip_text(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 

@@ -2,52 +2,50 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-MOST_TOKENS = 120
 
 
 def cer(truth: Column, said: Column) -> Column:
     return F.levenshtein(truth, said) / F.length(truth)
 
 
-@F.pandas_udf(T.IntegerType())
-def _token_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    def distance(x, y):
-        row = list(range(len(y) + 1))
-        for i, s in enumerate(x, 1):
-            last, row[0] = row[0], i
-            for j, t in enumerate(y, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (s != t))
-        return row[-1]
-
-    return pd.Series([distance(x, y) for x, y in zip(a, b, strict=True)])
+def word_distance(truth: Column, said: Column) -> Column:
+    """Edit distance of token arrays: each distinct token becomes one code point beyond U+FFFF, so that the built-in distance counts tokens."""
+    letter = lambda place: F.decode(F.unhex(F.lpad(F.hex(place + 0xFFFF), 8, "0")), "UTF-32")
+    letters = lambda ts, known: F.array_join(F.transform(ts, lambda t: letter(F.array_position(known, t))), "")
+    coded = lambda known: F.levenshtein(letters(truth, known), letters(said, known))
+    return F.get(F.transform(F.array(F.array_distinct(F.concat(truth, said))), coded), F.lit(0))
 
 
-def word_distance(truth: Column, said: Column) -> Column:
-    """Edit distance of token arrays: each distinct token becomes one letter of a private alphabet, so that the built-in distance counts tokens."""
-    codes = F.array_distinct(F.concat(truth, said))
-    letters = lambda ts, known: F.array_join(F.transform(ts, lambda t: F.char((F.array_position(known, t) + 7).cast("bigint"))), "")
-    coded = F.get(F.transform(F.array(codes), lambda known: F.levenshtein(letters(truth, known), letters(said, known))), F.lit(0))
-    return F.when(F.size(codes) <= MOST_TOKENS, coded).otherwise(_token_distance(truth, said))
+def tokens(text: Column) -> Column:
+    return F.split(text, r"\s+")
 
 
 def wer(truth: Column, said: Column) -> Column:
     """Over white-space tokens; the truth has at least one."""
-    return word_distance(F.split(truth, r"\s+"), F.split(said, r"\s+")) / F.size(F.split(truth, r"\s+"))
+    return word_distance(tokens(truth), tokens(said)) / F.size(tokens(truth))
+
+
+def _pooled(distance: Column, size: Column) -> Column:
+    return F.round(F.sum(distance) / F.sum(size), 9)
 
 
 def error_rates(pairs: DataFrame) -> DataFrame:
-    """doc_id, truth, mat, raw -> character error rate of both."""
-    return pairs.select("doc_id", F.round(cer(F.col("truth"), F.col("mat")), 9).alias("cer_mat"), F.round(cer(F.col("truth"), F.col("raw")), 9).alias("cer_raw"))
+    """pairs: doc_id, truth, mat, raw, a row a line. Character error rate of both by document, over all its lines."""
+    rate = lambda c: _pooled(F.levenshtein("truth", c), F.length("truth")).alias(f"cer_{c}")
+    return pairs.groupBy("doc_id").agg(rate("mat"), rate("raw"), F.count("*").alias("n_lines"))
+
+
+def word_error_rates(pairs: DataFrame) -> DataFrame:
+    """Word error rate of both by document, over all its lines."""
+    rate = lambda c: _pooled(word_distance(tokens(F.col("truth")), tokens(F.col(c))), F.size(tokens(F.col("truth")))).alias(f"wer_{c}")
+    return pairs.groupBy("doc_id").agg(rate("mat"), rate("raw"))
 
 
 def pooled_error_rates(pairs: DataFrame) -> DataFrame:
-    pooled = lambda c: F.round(F.sum(F.levenshtein("truth", c)) / F.sum(F.length("truth")), 9)
-    return pairs.groupBy("source").agg(pooled("mat").alias("cer_mat"), pooled("raw").alias("cer_raw"), F.count("*").alias("n"))
+    rate = lambda c: _pooled(F.levenshtein("truth", c), F.length("truth")).alias(f"cer_{c}")
+    return pairs.groupBy("source").agg(rate("mat"), rate("raw"), F.count("*").alias("n"))
 
 
 def agreement(pairs: DataFrame) -> DataFrame:

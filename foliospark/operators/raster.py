@@ -33,10 +33,11 @@ def smoothed_histogram(px: DataFrame, taps: int = 15) -> DataFrame:
     return dense.join(histogram(px), ["img_id", "v"], "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("window", F.sum("n").over(near)).withColumn("smooth", F.col("window") / float(taps))
 
 
-def polarity_vote(px: DataFrame, patch: int = 2) -> DataFrame:
-    """Dark background when two of three agree: corners, border strips (corners twice), smoothed histogram."""
+def polarity_vote(px: DataFrame, patch: int | None = None) -> DataFrame:
+    """Dark background when two of three agree: corners, border strips (corners twice), smoothed histogram. The patch is a twentieth of the smaller side, five at least, if not given."""
     size = px.groupBy("img_id").agg((F.max("r") + 1).alias("h"), (F.max("c") + 1).alias("w"))
     p = px.join(size, "img_id")
+    patch = F.greatest(F.lit(5), F.floor(0.05 * F.least("h", "w"))) if patch is None else F.lit(patch)
     top, bottom, left, right = F.col("r") < patch, F.col("r") >= F.col("h") - patch, F.col("c") < patch, F.col("c") >= F.col("w") - patch
     mean = lambda zone: F.avg(F.when(zone, F.col("v")))
     corners = sum((mean(x & y) for x in (top, bottom) for y in (left, right)), F.lit(0.0)) / 4
@@ -73,6 +74,17 @@ def heat_polarity(px: DataFrame) -> DataFrame:
     return s.select("img_id", "n_text", "n_back", enough.alias("by_heat"), dark.alias("is_dark"), pad.cast("bigint").alias("pad"))
 
 
+def pad_colour(px: DataFrame, channels: list[str]) -> DataFrame:
+    """px: img_id, r, c, v (grey), heat and the channels. By image the pad of each channel: its truncated median over the background, over the border if heat does not decide, or black or white."""
+    size = px.groupBy("img_id").agg((F.max("r") + 1).alias("h"), (F.max("c") + 1).alias("w"))
+    back = F.col("heat") < 64
+    medians = [m for c in channels for m in (F.percentile(F.when(back, F.col(c)), 0.5).alias(f"{c}_back"), F.expr(f"percentile({c}, 0.5, times)").alias(f"{c}_border"))]
+    m = px.join(size, "img_id").withColumn("times", _border()).groupBy("img_id").agg(*medians)
+    p = m.join(heat_polarity(px), "img_id")
+    pad = lambda c: F.when(~F.col("by_heat"), F.floor(f"{c}_border")).when(F.col("n_back") > 10, F.floor(f"{c}_back")).otherwise(F.when(F.col("is_dark"), 0).otherwise(255))
+    return p.select("img_id", *(pad(c).cast("bigint").alias(f"pad_{c}") for c in channels))
+
+
 def sticky_fallback(words: DataFrame) -> DataFrame:
     """words: block, word, by_heat. Once a word falls back, all later words of its block do."""
     so_far = Window.partitionBy("block").orderBy("word").rowsBetween(Window.unboundedPreceding, 0)

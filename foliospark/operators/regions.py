@@ -17,7 +17,7 @@ def explode_detections(df: DataFrame) -> DataFrame:
 
 
 def text_detections(detections: DataFrame, least: float = g.LEAST_SCORE) -> DataFrame:
-    kept = detections.filter((F.coalesce("score", F.lit(0.0)) >= least) & F.col("label").isin(*g.TEXT_LABELS))
+    kept = detections.filter(_read_later(least))
     return kept.withColumn("category", g.label_to_category(F.col("label"))).withColumn("box_id", g.box_id(F.col("category"), F.col("det_idx")))
 
 
@@ -70,17 +70,22 @@ class _Side(_cols):
         return F.col(f"{self.side}.{name}")
 
 
+def _read_later(least: float = g.LEAST_SCORE) -> Column:
+    """Whether later steps read a detection; null scores count 0, null labels are no text."""
+    return (F.coalesce("score", F.lit(0.0)) >= least) & F.coalesce(F.col("label").isin(*g.TEXT_LABELS), F.lit(False))
+
+
 def region_counts(detections: DataFrame) -> DataFrame:
     kept = title_regions(detections).groupBy("page_id").agg(F.count("*").alias("n_kept"))
-    raw = detections.groupBy("page_id").agg(F.count("*").alias("n_raw"), F.count_if((F.col("score") >= g.LEAST_SCORE) & F.col("label").isin(*g.TEXT_LABELS)).alias("n_text"))
+    raw = detections.groupBy("page_id").agg(F.count("*").alias("n_raw"), F.count_if(_read_later()).alias("n_text"))
     return raw.join(kept, "page_id", "left").withColumn("n_kept", F.coalesce("n_kept", F.lit(0)))
 
 
 def rejected_warnings(detections: DataFrame) -> DataFrame:
     """Regions that no later step sees, as warnings a page in order of detection."""
-    gone = detections.filter(~((F.col("score") >= g.LEAST_SCORE) & F.col("label").isin(*g.TEXT_LABELS)))
-    why = F.when(F.col("score") < g.LEAST_SCORE, "low score").otherwise("not text")
-    said = F.format_string("%03d %s: %s", "det_idx", "label", why)
+    gone = detections.filter(~_read_later())
+    why = F.when(F.coalesce("score", F.lit(0.0)) < g.LEAST_SCORE, "low score").otherwise("not text")
+    said = F.format_string("%03d %s: %s", "det_idx", F.coalesce("label", F.lit("no label")), why)
     return gone.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("det_idx", said.alias("s")))), lambda x: x.s), "; ").alias("warnings"), F.count("*").alias("n_rejected"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions import texts as x
@@ -33,14 +33,22 @@ def summaries(pages: DataFrame) -> DataFrame:
 
 
 def attach_artefacts(strips: DataFrame, artefacts: DataFrame) -> DataFrame:
-    """strips: stem, name; artefacts: stem, kind, name, path. Adds binarized, original, block, craft, debug and page; "" where missing."""
-    block = x.block_of(F.col("name"))
-    wanted = {"binarized": x.binarized_name(F.col("name")), "original": x.original_name(F.col("name")), "block": F.concat(block, F.lit("_block.png")), "craft": F.concat(block, F.lit("_craft.png")), "debug": F.concat(x.stem(F.col("name")), F.lit("_mat_debug.png"))}
-    keys = strips.select("stem", "name", F.explode(F.map_from_arrays(F.array(*map(F.lit, wanted)), F.array(*wanted.values()))).alias("kind", "wanted"))
-    a = artefacts.groupBy("stem", "kind", F.col("name").alias("wanted")).agg(F.min("path").alias("path"))
-    found = keys.join(a, ["stem", "kind", "wanted"], "left").groupBy("stem", "name").pivot("kind", list(wanted)).agg(F.coalesce(F.first("path", ignorenulls=True), F.lit("")))
-    layout = artefacts.filter("kind = 'layout'").groupBy("stem").agg(F.min("path").alias("page"))
-    return found.join(layout, "stem", "left").withColumn("page", F.coalesce("page", F.lit("")))
+    """strips: stem, name; artefacts: stem, kind, name, path. Adds binarized, original, block, craft and debug of the strip, page (layout image) and page_image (original) of its page; "" where missing.
+
+    A page's artefacts meet its strips as one array: each side is shuffled once.
+    """
+    name = F.col("name")
+    block = x.block_of(name)
+    wanted = {"binarized": x.binarized_name(name), "original": x.original_name(name), "block": F.concat(block, F.lit("_block.png")), "craft": F.concat(block, F.lit("_craft.png")), "debug": F.concat(x.stem(name), F.lit("_mat_debug.png"))}
+    held = artefacts.groupBy("stem").agg(F.collect_list(F.struct("kind", F.col("name").alias("key"), "path")).alias("_held"))
+
+    def found(kind: str, key: Column | None = None) -> Column:
+        keep = lambda e: (e.kind == kind) & (F.lit(True) if key is None else e.key == key)
+        return F.coalesce(F.array_min(F.transform(F.filter("_held", keep), lambda e: e.path)), F.lit(""))
+
+    own = [found(kind, key).alias(kind) for kind, key in wanted.items()]
+    of_page = [found("layout").alias("page"), found("page").alias("page_image")]
+    return strips.join(held, "stem", "left").select("stem", "name", *own, *of_page)
 
 
 def collect_results(requested: DataFrame, done: DataFrame) -> DataFrame:

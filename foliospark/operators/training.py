@@ -117,13 +117,21 @@ def centroids(vectors: DataFrame) -> DataFrame:
     return vectors.select("label", F.posexplode("embedding").alias("dim", "x")).groupBy("label", "dim").agg(F.avg(F.col("x").cast("double")).alias("mean"))
 
 
-def nearest_centroid(vectors: DataFrame, model: DataFrame) -> DataFrame:
-    """Adds pred, the label of the nearest centroid, the smallest on ties. The model is one row a label: a fixed number of classes."""
+def nearest_centroid(vectors: DataFrame, model: DataFrame, most_bytes: int = 16 * 2**20) -> DataFrame:
+    """Adds pred, the label of the nearest centroid, the smallest on ties. model: label, dim, mean.
+
+    Centroids are broadcast in blocks of labels of about ``most_bytes``; one block does for some thousand classes.
+    """
+    blocks = 1 + model.count() * 16 // most_bytes
     rows = model.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "mean"))), lambda d: d.mean).alias("mean"))
-    packed = rows.agg(F.array_sort(F.collect_list(F.struct("label", "mean"))).alias("model"))
     square = lambda m: F.round(F.aggregate(F.zip_with("embedding", m, lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, v: s + v), 9)
-    ranked = F.array_min(F.transform("model", lambda m: F.struct(square(m.mean).alias("d"), m.label.alias("label"))))
-    return vectors.crossJoin(F.broadcast(packed)).withColumn("pred", ranked.label).drop("model")
+    found = vectors
+    for k in range(blocks):
+        block = rows if blocks == 1 else rows.filter(F.pmod(F.hash("label"), F.lit(blocks)) == k)
+        packed = block.agg(F.collect_list(F.struct("label", "mean")).alias("_model"))
+        best = F.array_min(F.transform("_model", lambda m: F.struct(square(m.mean).alias("d"), m.label.alias("label"))))
+        found = found.crossJoin(F.broadcast(packed)).withColumn("_best", F.least("_best", best) if k else best).drop("_model")
+    return found.withColumn("pred", F.col("_best.label")).drop("_best")
 
 
 def logistic_regression(vectors: DataFrame, seed: int = 7) -> DataFrame:

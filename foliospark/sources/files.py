@@ -50,12 +50,19 @@ def read_summaries(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(SUMMARY).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("multiLine", True).json(folder).filter("stem is not null").orderBy("stem")
 
 
-def write_page_meta(pages: DataFrame, path: str) -> None:
-    pages.write.mode("overwrite").partitionBy("page_id").json(path)
+def with_bucket(df: DataFrame, buckets: int) -> DataFrame:
+    """A folder for each page would be a billion folders; a hash deals pages to a fixed number."""
+    return df.withColumn("bucket", F.pmod(F.xxhash64("page_id"), F.lit(buckets)).cast("int"))
 
 
-def write_block_meta(blocks: DataFrame, path: str) -> None:
-    blocks.write.mode("overwrite").partitionBy("page_id").json(path)
+def write_page_meta(pages: DataFrame, path: str, buckets: int = 64) -> None:
+    """A JSON record a page, in folders bucket=0..; the record holds its page_id."""
+    with_bucket(pages, buckets).repartition("bucket").write.mode("overwrite").partitionBy("bucket").json(path)
+
+
+def write_block_meta(blocks: DataFrame, path: str, buckets: int = 64) -> None:
+    """A JSON record a block, in folders as those of pages."""
+    with_bucket(blocks, buckets).repartition("bucket").write.mode("overwrite").partitionBy("bucket").json(path)
 
 
 def write_summaries(pages: DataFrame, path: str) -> None:

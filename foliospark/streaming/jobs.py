@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from foliospark.functions import texts as x
 from foliospark.operators.regions import title_regions
 from foliospark.operators.report import TERMINAL
+from foliospark.sources.files import with_bucket
 
 _EVENT = "job_id long, seq_id long, ts timestamp_ntz, status string, msg string"
 
@@ -22,15 +23,33 @@ def new_uploads(spark: SparkSession, folder: str, files_per_trigger: int = 1000)
     return files.withColumn("name", x.base_name(F.col("path"))).withColumn("ext", x.ext(F.col("name"))).filter(F.col("ext").isin(*x.IMAGE_SUFFIXES))
 
 
-def run_titles(detections: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """The title regions of each micro-batch, written by page; a page that comes again replaces what it had."""
+def run_titles(detections: DataFrame, path: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """The title regions of pages as their detections arrive, a page's detections maybe in several micro-batches.
 
-    def write(batch: DataFrame, _: int) -> None:
-        title_regions(batch).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("page_id").parquet(path)
+    Below path, ``detections`` keeps what came, by batch and bucket; ``titles`` gets the regions of each batch's pages
+    from all that is known of them. A batch that runs again writes over itself. Read with ``read_titles``.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        save = lambda df, name, *by: df.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{path}/{name}")
+        dealt = with_bucket(batch, buckets)
+        save(dealt, "detections", "batch", "bucket")
+        touched = [r.bucket for r in dealt.select("bucket").distinct().collect()]  # buckets at most
+        known = spark.read.parquet(f"{path}/detections").filter(F.col("bucket").isin(touched)).join(batch.select("page_id").distinct(), "page_id", "left_semi")
+        last = known.groupBy("page_id", "det_idx").agg(F.max_by(F.struct(*(c for c in batch.columns if c not in ("page_id", "det_idx"))), "batch").alias("d")).select("page_id", "det_idx", "d.*")
+        save(title_regions(last), "titles", "batch")
 
     return detections.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def read_titles(spark: SparkSession, path: str) -> DataFrame:
+    """The latest title regions of each page."""
+    titles = spark.read.parquet(f"{path}/titles")
+    latest = titles.groupBy("page_id").agg(F.max("batch").alias("batch"))
+    return titles.join(latest, ["page_id", "batch"]).drop("batch")
+
+
 def until_terminal_stream(events: DataFrame) -> DataFrame:
     """A stream of events less what comes after a job's first terminal state. State: whether the job is over."""
 

@@ -130,8 +130,8 @@ def test_summary_round_trip(spark, tmp_path):
     assert [r.stem for r in files.read_summaries(spark, str(tmp_path / "many")).collect()] == ["p1"]
     meta = regions.page_metadata(regions.title_regions(spark.createDataFrame([(1, 0, "document_title", 0.9, 0, 0, 10, 10)], DET)), 80, 90)
     files.write_page_meta(meta, str(tmp_path / "meta"))
-    back = json.loads(next((tmp_path / "meta" / "page_id=1").glob("*.json")).read_text())
-    assert back["image_size"] == {"width": 80, "height": 90} and back["boxes"][0]["polygon"] == [[0, 0], [10, 0], [10, 10], [0, 10]]
+    back = json.loads(next((tmp_path / "meta").glob("bucket=*/*.json")).read_text())
+    assert back["page_id"] == 1 and back["image_size"] == {"width": 80, "height": 90} and back["boxes"][0]["polygon"] == [[0, 0], [10, 0], [10, 10], [0, 10]]
     again = spark.createDataFrame([(1, json.dumps([{"label": "text", "score": 0.5, "coordinate": [1.9, 2, 3, 4]}, {"label": "x", "coordinate": [0, 0, 1, 1]}]))], "page_id long, boxes string")
     assert [(r.det_idx, r.score, r.x1) for r in regions.explode_detections(again).collect()] == [(0, 0.5, 1), (1, 0.0, 0)]
 
@@ -184,12 +184,13 @@ def test_streams_equal_batch(spark, sf, tmp_path):
 
 def test_title_stream_and_uploads(spark, sf, tmp_path):
     det = table(spark, sf, "detections")
-    det.repartition(2, "page_id").write.parquet(str(tmp_path / "det"))
+    det.repartition(3, "page_id", "det_idx").write.parquet(str(tmp_path / "det"))  # a page's detections lie in several files
+    assert spark.read.parquet(str(tmp_path / "det")).withColumn("f", F.input_file_name()).groupBy("page_id").agg(F.countDistinct("f").alias("n")).filter("n > 1").count() > 10
     expected = sorted((r.page_id, r.position, r.box_id) for r in regions.title_regions(det).collect())
     for run in range(2):  # a rerun from the start replaces pages
         live = spark.readStream.schema(det.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "det"))
         jobs.run_titles(live, str(tmp_path / "titles"), str(tmp_path / f"check{run}")).awaitTermination(200)
-        assert sorted((r.page_id, r.position, r.box_id) for r in spark.read.parquet(str(tmp_path / "titles")).collect()) == expected
+        assert sorted((r.page_id, r.position, r.box_id) for r in jobs.read_titles(spark, str(tmp_path / "titles")).collect()) == expected
     (tmp_path / "up").mkdir()
     png(tmp_path / "up" / "a.PNG", 2, 2, 0)
     (tmp_path / "up" / "b.txt").write_text("x")
@@ -214,3 +215,41 @@ def test_every_query_has_a_schema(spark, sf):
         if name not in ("logistic_regression", "scored_partitions"):
             assert f(spark, sf).columns, name
     assert set(registry.ORACLES) <= set(registry.QUERIES)
+
+
+def test_block_records_lie_in_few_folders(spark, sf, tmp_path):
+    made = lines.block_metadata(lines.block_words(registry._blocks(table(spark, sf, "polygons")), table(spark, sf, "polygons")))
+    files.write_block_meta(made, str(tmp_path / "blocks"), buckets=4)
+    assert len(list((tmp_path / "blocks").glob("bucket=*"))) == 4
+    back = spark.read.schema("page_id long, block_no long, words array<struct<word_no:long,word_id:string,bbox_in_full_image:array<double>>>").json(str(tmp_path / "blocks"))
+    count = lambda df: sorted((r.page_id, r.block_no, len(r.words)) for r in df.collect())
+    assert count(back) == count(made)
+
+
+def test_null_scores_and_labels_are_warned_about(spark):
+    rows = spark.createDataFrame([(1, 0, "text", None, 0, 0, 9, 9), (1, 1, None, 0.9, 0, 0, 9, 9), (1, 2, "image", 0.9, 0, 0, 9, 9), (1, 3, "text", 0.9, 0, 0, 9, 9)], DET)
+    r = regions.rejected_warnings(rows).first()
+    assert (r.warnings, r.n_rejected) == ("000 text: low score; 001 no label: not text; 002 image: not text", 3)
+    assert regions.region_counts(rows).first().n_text == 1
+
+
+def test_centroids_in_blocks_give_the_same(spark, sf):
+    v = registry._split_vectors(table(spark, sf, "embeddings"))
+    model = training.centroids(v.filter("split = 'train'"))
+    pred = lambda **k: sorted((r.vec_id, r.pred) for r in training.nearest_centroid(v.filter("split = 'val'"), model, **k).collect())
+    assert pred() == pred(most_bytes=2000)
+
+
+def test_logistic_regression_learns(spark):
+    random.seed(3)
+    rows = [(i, i % 3, [random.gauss(2.0 * (i % 3 == d), 0.3) for d in range(4)], "val" if i % 5 == 0 else "train") for i in range(300)]
+    v = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>, split string")
+    got = training.logistic_regression(v).collect()
+    assert len(got) == 60 and sum(r.pred == r.label for r in got) >= 58
+
+
+def test_fix_pad_and_half_even(spark):
+    b = spark.createDataFrame([(100, 50, 1, 2, 3, 4, 15, 768)], "bx long, by long, a long, b long, c long, d long, w long, h long")
+    box = lines.g.absolute_bbox(F.col("bx"), F.col("by"), [F.col(c) for c in "abcd"], fix_pad=True)
+    assert tuple(b.select(*box).first()) == (91, 42, 93, 44)
+    assert b.select(lines.g.scaled_width(F.col("w"), F.col("h"), half_even=True).alias("w"), lines.g.scaled_width(F.col("w"), F.col("h")).alias("v")).first().asDict() == {"w": 8, "v": 7}
