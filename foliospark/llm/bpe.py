@@ -11,7 +11,9 @@ cache of encoded pieces. Python stays within a task; texts are never cut.
 
 Defined cases: a null text is empty and has no tokens. The added token's string
 in a text is that one token, as in the tokenizer file. Null or repeated ids and
-other columns don't matter. Ids outside the table are an error when decoding.
+other columns don't matter: each row is encoded on its own and only its id and
+results come out. An empty table gives an empty result; texts of any length are
+encoded whole. Ids outside the table are an error when decoding.
 """
 
 from __future__ import annotations
@@ -30,6 +32,9 @@ from foliospark.llm.shared import in_slices
 #: Fixed value: the pre-tokenizer's pattern of byte-level BPE files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: Where the pattern surely cuts: a run without white space, with the space before it, and the white space between.
+CHUNKS = r""" ?\S+|\s+(?!\S)|\s+"""
+
 
 def byte_letters() -> dict[str, int]:
     """The letters that stand for bytes in a byte-level vocabulary: printable Latin-1 is itself, the rest follows from U+0100."""
@@ -41,7 +46,7 @@ def byte_letters() -> dict[str, int]:
 class Tokenizer:
     """A vocabulary file with its automaton, pair table and offset table."""
 
-    def __init__(self, path: str, cache: int = 200_000):
+    def __init__(self, path: str, cache: int = 300_000):
         import ahocorasick
         import regex
 
@@ -66,17 +71,18 @@ class Tokenizer:
         ids = [i for i in vocab.values() if len(self.tokens[i]) == 1 or i in self.split]
         auto = ahocorasick.Automaton()
         for i in ids:
-            auto.add_word(self.tokens[i].decode("latin-1"), i)
+            auto.add_word(self.tokens[i].decode("latin-1"), (len(self.tokens[i]) - 1, i))
         auto.make_automaton()
         self.auto, self.of = auto, {self.tokens[i]: i for i in ids}
         self.prefix: dict[int, int] = {}
-        self.pattern = regex.compile(PATTERN)
+        self.pattern, self.chunks = regex.compile(PATTERN), regex.compile(CHUNKS)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        self.size, self.said = [len(t) for t in self.tokens], [str(i) for i in range(len(self.tokens))]
         self.lengths = np.array([len(t) for t in self.tokens], dtype=np.int64)
         self.offsets = np.r_[0, np.cumsum(self.lengths)[:-1]]
         self.blob = np.frombuffer(b"".join(self.tokens), dtype=np.uint8)
         self.cache: dict[str, tuple[int, ...]] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.most = cache
 
     def shorter(self, token: int) -> int:
@@ -88,7 +94,7 @@ class Tokenizer:
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging the bytes of both gives just these two tokens: no merge across the seam comes first."""
-        key = (left, right)
+        key = left << 32 | right
         if key not in self.fits:
             if len(self.fits) > 4 * self.most:
                 self.fits.clear()
@@ -116,34 +122,35 @@ class Tokenizer:
                 return True
 
     def longest(self, data: bytes) -> list[int]:
-        """The longest token that starts at each position, from one pass of the automaton."""
+        """The longest token that starts at each position, from one pass of the automaton: of those with one start the longest ends last."""
         best = [-1] * len(data)
-        size = [0] * len(data)
-        for end, token in self.auto.iter(data.decode("latin-1")):
-            n = len(self.tokens[token])
-            if n > size[end + 1 - n]:
-                size[end + 1 - n], best[end + 1 - n] = n, token
+        for end, (back, token) in self.auto.iter(data.decode("latin-1")):
+            best[end - back] = token
         return best
 
     def encode_piece(self, data: bytes) -> tuple[int, ...]:
         whole = self.of.get(data)
         if whole is not None and self._alone(whole):
             return (whole,)
-        best, n = self.longest(data), len(data)
-        alive, out, at = bytearray(b"\1" * (n + 1)), [], 0
+        best, n, size, fits = self.longest(data), len(data), self.size, self.fits
+        out, at, last = [], 0, -1
+        dead: set[int] = set()
         token = best[0] if n else -1
         while token >= 0:
-            end = at + len(self.tokens[token])
-            if alive[end] and (not out or self.compatible(out[-1], token)):
+            end = at + size[token]
+            fit = last < 0 or fits.get(last << 32 | token)
+            if end not in dead and (self.compatible(last, token) if fit is None else fit):
                 out.append(token)
-                at, token = end, best[end] if end < n else -1
-                continue
-            token = self.shorter(token)
+                if end == n:
+                    break
+                at, last, token = end, token, best[end]
+            else:
+                token = self.shorter(token)
             while token < 0 and out:  # nothing fits here: this place is dead
-                alive[at] = 0
-                last = out.pop()
-                at -= len(self.tokens[last])
-                token = self.shorter(last)
+                dead.add(at)
+                gone = out.pop()
+                at -= size[gone]
+                last, token = out[-1] if out else -1, self.shorter(gone)
         return tuple(out)
 
     @lru_cache(maxsize=100_000)  # noqa: B019  one object a worker
@@ -163,22 +170,31 @@ class Tokenizer:
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
-        cache = self.cache
+        known = self.cache.get
         for part in self.cut.split(text) if self.cut else [text]:
             if part in self.added:
                 out.append(self.added[part])
                 continue
-            for piece in self.pattern.findall(part):
-                ids = cache.get(piece)
-                if ids is None:
-                    ids = self.encode_piece(piece.encode())
-                    if len(piece) <= 64:
-                        if len(cache) >= self.most:
-                            cache.clear()
-                        cache[piece] = ids
-                out += ids
+            for chunk in self.chunks.findall(part):
+                out += known(chunk) or self._chunk(chunk)
         return out
 
+    def _chunk(self, chunk: str) -> tuple[int, ...]:
+        pieces = self.pattern.findall(chunk)
+        if len(pieces) == 1:
+            return self._kept(chunk, self.encode_piece(chunk.encode()))
+        ids: list[int] = []
+        for piece in pieces:
+            ids += self.cache.get(piece) or self._kept(piece, self.encode_piece(piece.encode()))
+        return self._kept(chunk, tuple(ids))
+
+    def _kept(self, text: str, ids: tuple[int, ...]) -> tuple[int, ...]:
+        if len(text) <= 64:
+            if len(self.cache) >= self.most:
+                self.cache.clear()
+            self.cache[text] = ids
+        return ids
+
     def decode(self, ids) -> bytes:
         """The tokens' bytes, gathered from the blob through the offset table."""
         ids = np.asarray(ids, dtype=np.int64)
@@ -201,12 +217,13 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = False) -> Data
 
     def run(batches):
         t, sha = tokenizer(path), hashlib.sha256
-        for b in in_slices(batches):
+        said = t.said.__getitem__
+        for b in in_slices(batches, 256, 1):
             n, digests, back, kept = [], [], [], []
             for text in b.column(1).to_pylist():
                 ids = t.encode(text or "")
                 n.append(len(ids))
-                digests.append(sha(",".join(map(str, ids)).encode()).hexdigest())
+                digests.append(sha(",".join(map(said, ids)).encode()).hexdigest())
                 decoded = t.decode(ids).decode("utf-8", "replace")
                 back.append(sha(decoded.encode()).hexdigest())
                 if keep_ids:
