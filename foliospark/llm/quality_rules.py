@@ -2,8 +2,8 @@
 
 The model is a modified Kneser-Ney model of characters, order 5, one for each
 language, counted by Spark over all texts, each distinct text of a language once. Characters and not words: a word model
-of this corpus has nearly as many n-grams as words, more than the disk it is
-allowed. Its log probabilities and back-off weights are stored as whole multiples
+of this corpus has a distinct bigram for every two words and a distinct trigram
+for four in five, by estimate more than the disk it is allowed. Its log probabilities and back-off weights are stored as whole multiples
 of 1 / UNIT in a table in the shared folder, sorted by the 64-bit hash of the
 n-gram; a worker reads it into sorted hash arrays with a directory by the leading
 bits. If the arrays would be over ``model_bytes``, scoring joins each document's
