@@ -125,4 +125,23 @@ d as (select rid, count(*) filter (where rk=0) n_assign, count(*) filter (where
 select doc_id, coalesce(n_assign,0) n_assign, coalesce(n_access,0) n_access, coalesce(n_hex,0) n_hex, sha256(coalesce(base,'')) base_sha256, coalesce(spans,'') spans from t left join d using (rid)
 """
 
-ORACLES: dict[str, str] = {"op1_url_filters": OP1, "op2_chat_formatting": OP2, "op4_benchmark_decontamination": OP4, "op3_license_scans": OP3, "op5_warc": OP5, "op8_secret_scans": OP8}
+OP11 = rf"""
+with w as (select doc_id, rid, unnest(ts) t, len(ts) n from (select doc_id, row_number() over () rid, regexp_extract_all(translate(coalesce(text,''),'{_UP}','{_LOW}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ts from documents)),
+g as (select count(distinct rid) n_docs, count(*) total from w),
+q as (select iid, item_id, t, count(*) times from (select iid, item_id, unnest(regexp_extract_all(translate(coalesce(text,''),'{_UP}','{_LOW}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) t from (select row_number() over () iid, item_id, text from (select distinct item_id, text from benchmark))) group by iid, item_id, t),
+p as (select rid, any_value(doc_id) doc_id, t, any_value(n) n, count(*) tf from w where t in (select t from q) group by rid, t),
+f as (select t, cast(floor(1000*ln((2*n_docs+2)/(2*count(*)+1)::double)) as bigint) weight from p, g group by t, n_docs),
+s as (select iid, item_id, rid, any_value(doc_id) doc_id, cast(sum(times*weight*((1000000000*tf)//(1000*tf+12*(75+(25*n*n_docs)//total)))) as bigint) score from q join p using (t) join f using (t), g group by iid, item_id, rid),
+r as (select *, row_number() over (partition by iid order by score desc, doc_id nulls last) as rank from s where score>0)
+select item_id, cast(rank as int) as rank, doc_id, score from r where rank<=20
+"""
+
+OP12 = rf"""
+with d as (select row_number() over () rid, doc_id, coalesce(text,'') x from documents),
+l as (select rid, coalesce('i'||doc_id, 't'||md5(x)) doc, unnest(string_split(x,chr(10))) line, unnest(range(len(string_split(x,chr(10))))) i from d),
+k as (select *, translate(regexp_replace(line,'^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$','','g'),'{_UP}','{_LOW}') key from l),
+c as (select key, true gone from k where length(key)>=1 group by key having count(distinct doc)>=10)
+select any_value(d.doc_id) doc_id, count(*) n_lines, count(gone) n_dropped, sha256(coalesce(string_agg(line, chr(10) order by i) filter (where gone is null),'')) kept_sha256 from k left join c using (key) join d using (rid) group by rid
+"""
+
+ORACLES: dict[str, str] = {"op1_url_filters": OP1, "op2_chat_formatting": OP2, "op4_benchmark_decontamination": OP4, "op3_license_scans": OP3, "op5_warc": OP5, "op8_secret_scans": OP8, "op11_ranked_search": OP11, "op12_line_dedup": OP12}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import bpe, chat_formatting, decontamination, license_scans, pii, quality_rules, secret_scans, simhash, url_filters, warc
+from foliospark.llm import bpe, chat_formatting, decontamination, license_scans, line_dedup, pii, quality_rules, ranked_search, secret_scans, simhash, token_alignment, url_filters, warc
 from foliospark.llm.oracles import ORACLES  # noqa: F401
 
 #: A key for these made-up tables, so that results repeat. For real data pass a secret one.
@@ -16,10 +16,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def vocabulary() -> str:
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_url_filters(spark, sf_dir):
@@ -68,4 +68,17 @@ def op10_bpe(spark, sf_dir):
     return bpe.encode_documents(_table(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_chat_formatting, op3_license_scans, op4_benchmark_decontamination, op5_warc, op6_quality_rules, op7_simhash_near_dedup, op8_secret_scans, op9_pii, op10_bpe)}
+def op11_ranked_search(spark, sf_dir):
+    return ranked_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_line_dedup(spark, sf_dir):
+    kept = line_dedup.drop_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op13_token_alignment(spark, sf_dir):
+    return token_alignment.align_documents(_table(spark, sf_dir, "documents"), vocabulary(), vocabulary("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_chat_formatting, op3_license_scans, op4_benchmark_decontamination, op5_warc, op6_quality_rules, op7_simhash_near_dedup, op8_secret_scans, op9_pii, op10_bpe, op11_ranked_search, op12_line_dedup, op13_token_alignment)}

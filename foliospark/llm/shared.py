@@ -53,6 +53,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def uri_of(table: DataFrame) -> str:
+    """Where a stored table is written, for workers that read it by pyarrow.fs."""
+    return table.inputFiles()[0].rpartition("/")[0]
+
+
+def read_back(uri: str, columns: list[str] | None = None, where=None) -> pa.Table:
+    """A stored table, or the rows of it that ``where`` (a pyarrow expression) selects, inside a worker."""
+    from pyarrow import dataset, fs
+
+    system, path = fs.FileSystem.from_uri(uri)
+    return dataset.dataset(path, filesystem=system, format="parquet", exclude_invalid_files=True).to_table(columns=columns, filter=where)
+
+
 def in_slices(batches, rows: int = 256, text: int | None = None, most: int = 2**21):
     """Arrow batches in slices of at most ``rows``, so that long texts don't pile up in a worker. text: a column of which a slice holds ``most`` bytes at most, or one row."""
     for batch in batches:
