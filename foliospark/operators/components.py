@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HARD_MIN, TOP_N, ANCHOR, NEAR_AREA, NEAR_FACTOR = 0.00003, 10, 0.20, 0.010, 0.8
@@ -23,17 +23,63 @@ def classify(components: DataFrame, pixels: int) -> DataFrame:
     sized = ranked.withColumn("median_area", median)
     anchor = F.coalesce(F.col("valid") & (F.col("area") >= ANCHOR * F.col("median_area")), F.lit(False))
     marked = sized.withColumn("anchor", anchor).withColumn("median_h", F.percentile(F.when(F.col("anchor"), F.col("hgt")), 0.5).over(image))
+    extent = F.avg(F.when(F.col("anchor"), F.greatest("wid", "hgt"))).over(image)
+    marked = marked.withColumn("reach", NEAR_FACTOR * F.col("median_h")).withColumn("side", extent)
     candidates = marked.filter("valid and not anchor").filter(F.col("area") >= NEAR_AREA * F.col("median_area"))
-    near = nearest_anchor(candidates, marked.filter("anchor")).join(marked.select("img_id", "comp_id", "median_h"), ["img_id", "comp_id"]).filter(F.col("distance") <= NEAR_FACTOR * F.col("median_h")).select("img_id", "comp_id", F.lit(True).alias("near"))
+    near = within_reach(candidates, marked.filter("anchor")).select("img_id", "comp_id", F.lit(True).alias("near"))
     return marked.join(near, ["img_id", "comp_id"], "left").withColumn("class", F.when(F.col("anchor"), "anchor").when(F.col("near"), "near").otherwise("removed")).select(*components.columns, "class")
 
 
-def nearest_anchor(candidates: DataFrame, anchors: DataFrame) -> DataFrame:
-    """img_id, comp_id, distance from a component's centre to the nearest anchor box of its image (0 inside)."""
-    c = candidates.select("img_id", "comp_id", (F.col("lft") + F.floor(F.col("wid") / 2)).alias("cx"), (F.col("tp") + F.floor(F.col("hgt") / 2)).alias("cy"))
-    a = anchors.select("img_id", F.col("lft").alias("ax1"), F.col("tp").alias("ay1"), (F.col("lft") + F.col("wid")).alias("ax2"), (F.col("tp") + F.col("hgt")).alias("ay2"))
+def _centres(components: DataFrame, *more: str) -> DataFrame:
+    return components.select("img_id", "comp_id", (F.col("lft") + F.floor(F.col("wid") / 2)).alias("cx"), (F.col("tp") + F.floor(F.col("hgt") / 2)).alias("cy"), *more)
+
+
+def _boxes(anchors: DataFrame, *more: str) -> DataFrame:
+    return anchors.select("img_id", F.col("lft").alias("ax1"), F.col("tp").alias("ay1"), (F.col("lft") + F.col("wid")).alias("ax2"), (F.col("tp") + F.col("hgt")).alias("ay2"), *more)
+
+
+def _met(centres: DataFrame, boxes: DataFrame, keys: tuple[str, ...], side: Column, reach: Column) -> DataFrame:
+    """The keys of a centre, comp_id, and the distance to the nearest box (0 inside) of those that share a cell of the grid: boxes, widened by reach, are in each cell they touch, a centre is in one."""
+    cell = lambda v: F.floor(v / side)
+    span = lambda low, high: F.explode(F.sequence(cell(F.col(low) - reach), cell(F.col(high) + reach)))
+    spread = boxes.withColumn("gx", span("ax1", "ax2")).withColumn("gy", span("ay1", "ay2")).select(*keys, "gx", "gy", "ax1", "ay1", "ax2", "ay2")
+    placed = centres.withColumn("gx", cell(F.col("cx"))).withColumn("gy", cell(F.col("cy")))
     dx, dy = F.greatest(F.col("ax1") - F.col("cx"), F.lit(0), F.col("cx") - F.col("ax2")), F.greatest(F.col("ay1") - F.col("cy"), F.lit(0), F.col("cy") - F.col("ay2"))
-    return c.join(a, "img_id").groupBy("img_id", "comp_id").agg(F.sqrt(F.min(dx * dx + dy * dy).cast("double")).alias("distance"))
+    return placed.join(spread, [*keys, "gx", "gy"]).groupBy(*keys, "comp_id").agg(F.sqrt(F.min(dx * dx + dy * dy).cast("double")).alias("distance"))
+
+
+def within_reach(candidates: DataFrame, anchors: DataFrame) -> DataFrame:
+    """img_id, comp_id, distance from a component's centre to the nearest anchor box of its image (0 inside), for those no farther than ``reach``; both sides have that column and ``side``, one value an image.
+
+    The grid's cells are as wide as the reach, or as ``side`` (the boxes' usual extent) if that is more, so one equi-join
+    on (image, cell) meets all boxes that can be near enough and few others.
+    """
+    side = F.greatest(F.col("reach").cast("double"), F.col("side").cast("double"), F.lit(1.0))
+    near = _met(_centres(candidates, "reach", "side"), _boxes(anchors, "reach", "side").filter("reach >= 0"), ("img_id",), side, F.col("reach"))
+    return near.join(candidates.select("img_id", "comp_id", "reach"), ["img_id", "comp_id"]).filter("distance <= reach").drop("reach")
+
+
+def nearest_anchor(candidates: DataFrame, anchors: DataFrame) -> DataFrame:
+    """img_id, comp_id, distance from a component's centre to the nearest anchor box of its image (0 inside), however far; components of images without anchors are left out.
+
+    Grids of doubling cells, from the spacing of an image's anchors up to the image. The first whose cell around a centre some box
+    touches, widened by a cell, bounds the distance by three cells; two grids on, boxes are widened by four, so
+    the search there has the nearest and stops. Most components settle in the first grids, where a cell holds few boxes.
+    """
+    own, boxes = _centres(candidates), _boxes(anchors)
+    size = boxes.groupBy("img_id").agg(F.min("ax1").alias("x1"), F.min("ay1").alias("y1"), F.max("ax2").alias("x2"), F.max("ay2").alias("y2"), F.avg(F.greatest(F.col("ax2") - F.col("ax1"), F.col("ay2") - F.col("ay1"))).alias("extent"), F.count("*").alias("n"))
+    both = own.groupBy("img_id").agg(F.min("cx").alias("cx1"), F.min("cy").alias("cy1"), F.max("cx").alias("cx2"), F.max("cy").alias("cy2")).join(size, "img_id")
+    wide = F.greatest("cx2", "x2") - F.least("cx1", "x1") + F.greatest("cy2", "y2") - F.least("cy1", "y1") + 1.0
+    first = F.greatest(F.lit(1.0), "extent", F.sqrt((F.col("x2") - F.col("x1") + 1.0) * (F.col("y2") - F.col("y1") + 1.0) / F.col("n")))
+    grids = both.select("img_id", first.alias("first"), F.greatest(F.lit(0), F.ceil(F.log2(wide / first))).cast("int").alias("last"))
+    at_each = lambda df, upto: df.join(grids, "img_id").withColumn("grid", F.explode(F.sequence(F.lit(0), upto))).withColumn("side", F.col("first") * F.pow(F.lit(2.0), F.col("grid")))
+    cell = lambda v: F.floor(v / F.col("side"))
+    span = lambda low, high: F.explode(F.sequence(cell(F.col(low) - F.col("side")), cell(F.col(high) + F.col("side"))))
+    touched = at_each(boxes, F.col("last")).withColumn("gx", span("ax1", "ax2")).withColumn("gy", span("ay1", "ay2")).select("img_id", "grid", "gx", "gy").distinct()
+    seen = at_each(own, F.col("last")).withColumn("gx", cell(F.col("cx"))).withColumn("gy", cell(F.col("cy"))).join(touched, ["img_id", "grid", "gx", "gy"], "left_semi")
+    chosen = seen.groupBy("img_id", "comp_id", "cx", "cy", "first", "last").agg(F.least(F.min("grid") + 2, F.col("last") + 2).alias("grid"))
+    placed = chosen.withColumn("side", F.col("first") * F.pow(F.lit(2.0), F.col("grid"))).select("img_id", "grid", "comp_id", "cx", "cy", "side")
+    return _met(placed, at_each(boxes, F.col("last") + 2), ("img_id", "grid"), F.col("side"), F.col("side")).drop("grid")
 
 
 def top_areas(components: DataFrame, n: int = TOP_N) -> DataFrame:

@@ -99,3 +99,11 @@ def thin_points(points: DataFrame, cell: int = 10) -> DataFrame:
 
 def normalise(values: Column, mean: float, std: float) -> Column:
     return F.transform(values, lambda v: (v / 255.0 - mean) / std)
+
+
+def image_thresholds(images: DataFrame) -> DataFrame:
+    """images: img_id, data, nChannels (as the image source decodes them). img_id, threshold, ink, paper, inverted: the grey histogram's threshold and whether paper is the larger part, without rows of pixels or a shuffle."""
+    from foliospark.functions.models import image_threshold
+
+    found = images.select("img_id", image_threshold("data", "nChannels").alias("t")).filter("t.threshold is not null")
+    return found.select("img_id", "t.threshold", "t.ink", "t.paper", (F.col("t.paper") > F.col("t.ink")).alias("inverted"))

@@ -35,20 +35,19 @@ def summaries(pages: DataFrame) -> DataFrame:
 def attach_artefacts(strips: DataFrame, artefacts: DataFrame) -> DataFrame:
     """strips: stem, name; artefacts: stem, kind, name, path. Adds binarized, original, block, craft and debug of the strip, page (layout image) and page_image (original) of its page; "" where missing.
 
-    A page's artefacts meet its strips as one array: each side is shuffled once.
+    A strip's five wanted keys are rows of one equi-join with the artefacts, the first path of each by then, so the work is linear in both. Repeated strips stay as often as they come.
     """
     name = F.col("name")
     block = x.block_of(name)
     wanted = {"binarized": x.binarized_name(name), "original": x.original_name(name), "block": F.concat(block, F.lit("_block.png")), "craft": F.concat(block, F.lit("_craft.png")), "debug": F.concat(x.stem(name), F.lit("_mat_debug.png"))}
-    held = artefacts.groupBy("stem").agg(F.collect_list(F.struct("kind", F.col("name").alias("key"), "path")).alias("_held"))
-
-    def found(kind: str, key: Column | None = None) -> Column:
-        keep = lambda e: (e.kind == kind) & (F.lit(True) if key is None else e.key == key)
-        return F.coalesce(F.array_min(F.transform(F.filter("_held", keep), lambda e: e.path)), F.lit(""))
-
-    own = [found(kind, key).alias(kind) for kind, key in wanted.items()]
-    of_page = [found("layout").alias("page"), found("page").alias("page_image")]
-    return strips.join(held, "stem", "left").select("stem", "name", *own, *of_page)
+    of_page = {"layout": "page", "page": "page_image"}
+    asked = strips.groupBy("stem", "name").agg(F.count("*").alias("_times"))
+    keys = asked.select("stem", "name", "_times", F.inline(F.array(*(F.struct(F.lit(kind).alias("kind"), key.alias("_key")) for kind, key in wanted.items()))))
+    held = artefacts.filter(F.col("kind").isin(*wanted)).groupBy("stem", "kind", F.col("name").alias("_key")).agg(F.min("path").alias("path"))
+    pages = artefacts.filter(F.col("kind").isin(*of_page)).groupBy("stem").agg(*(F.min(F.when(F.col("kind") == kind, F.col("path"))).alias(out) for kind, out in of_page.items()))
+    own = keys.join(held, ["stem", "kind", "_key"], "left").groupBy("stem", "name").agg(F.first("_times").alias("_times"), *(F.max(F.when(F.col("kind") == kind, F.col("path"))).alias(kind) for kind in wanted))
+    found = own.join(pages, "stem", "left").withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return found.select("stem", "name", *(F.coalesce(c, F.lit("")).alias(c) for c in (*wanted, *of_page.values())))
 
 
 def collect_results(requested: DataFrame, done: DataFrame) -> DataFrame:

@@ -16,16 +16,45 @@ def class_indices(samples: DataFrame) -> DataFrame:
     return samples.join(classes, "class_name")
 
 
-def stratified_split(samples: DataFrame, test_share: float = 0.2) -> DataFrame:
-    """Adds split. Validation gets ceil(share * N) rows, in proportion by class, what is left over by largest fraction; by hash within a class."""
+def validation_quotas(samples: DataFrame, test_share: float = 0.2) -> DataFrame:
+    """class_name, n_val: ceil(share * N) validation rows, in proportion by class, what is left over by largest fraction."""
     counts = samples.groupBy("class_name").agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("total"))
     share = counts.crossJoin(total).withColumn("exact", F.col("n") * F.ceil(F.col("total") * test_share) / F.col("total"))
     share = share.withColumn("base", F.floor("exact")).withColumn("left", F.ceil(F.col("total") * test_share) - F.sum("base").over(Window.partitionBy("total")))
     rest = F.row_number().over(Window.partitionBy("total").orderBy(F.round(F.col("exact") - F.col("base"), 9).desc(), "class_name"))
-    quota = share.select("class_name", (F.col("base") + (rest <= F.col("left")).cast("int")).alias("n_val"))
-    place = F.row_number().over(Window.partitionBy("class_name").orderBy(F.md5(F.col("sample_id").cast("string")), "sample_id"))
-    return samples.withColumn("_n", place).join(quota, "class_name").withColumn("split", F.when(F.col("_n") <= F.col("n_val"), "val").otherwise("train")).drop("_n", "n_val")
+    return share.select("class_name", (F.col("base") + (rest <= F.col("left")).cast("int")).alias("n_val"))
+
+
+def kth_hashes(hashed: DataFrame, quotas: DataFrame, by: str, k: str, prefix: int = 5, more: int = 8) -> DataFrame:
+    """hashed: the columns by and _hash (hex); quotas: by and k. The leading digits of each group's k-th smallest hash: by, _low (the first ``prefix``), _high (the next ``more``), and _rest, which of the rows under those digits is the k-th.
+
+    Two counting passes: a histogram of the first digits tells in which bin the k-th lies, and a histogram of that bin's
+    next digits where in it. Counts are summed before the shuffle, so a group has 16 ** prefix rows there at most, however many rows it has.
+    """
+    order = lambda c: Window.partitionBy(by).orderBy(c)
+
+    def bin_of(counts: DataFrame, place: str, left: str) -> DataFrame:
+        upto = counts.withColumn("_upto", F.sum("_n").over(order(place)))
+        return upto.filter((F.col("_upto") >= F.col(left)) & (F.col("_upto") - F.col("_n") < F.col(left))).withColumn("_rest", F.col(left) - F.col("_upto") + F.col("_n"))
+
+    digits = hashed.select(by, F.substring("_hash", 1, prefix).alias("_low"), F.substring("_hash", prefix + 1, more).alias("_high"))
+    first = digits.groupBy(by, "_low").agg(F.count("*").alias("_n")).join(quotas.filter(F.col(k) > 0), by)
+    low = bin_of(first, "_low", k).select(by, "_low", F.col("_rest").alias("_within"))
+    second = digits.join(low, [by, "_low"]).groupBy(by, "_low", "_high").agg(F.count("*").alias("_n"), F.first("_within").alias("_within"))
+    return bin_of(second, "_high", "_within").select(by, "_low", "_high", "_rest")
+
+
+def stratified_split(samples: DataFrame, test_share: float = 0.2) -> DataFrame:
+    """Adds split. A class's first rows by md5 of sample_id are validation, as many as its quota. No class is ranked: only rows under all the digits of its bound are, which are the bound's own but for hashes alike in 52 bits."""
+    quotas = validation_quotas(samples, test_share)
+    hashed = samples.withColumn("_hash", F.md5(F.coalesce(F.col("sample_id").cast("string"), F.lit(""))))
+    bounds = kth_hashes(hashed, quotas, "class_name", "n_val").withColumn("_bound", F.concat("_low", "_high")).select("class_name", "_bound", "_rest")
+    placed = hashed.join(bounds, "class_name", "left").withColumn("_own", F.substring("_hash", 1, 13))
+    tied = Window.partitionBy("class_name", "_own").orderBy("_hash", "sample_id")
+    at_bound = placed.filter("_own = _bound").withColumn("split", F.when(F.row_number().over(tied) <= F.col("_rest"), "val").otherwise("train"))
+    clear = placed.filter("_bound is null or _own <> _bound").withColumn("split", F.when(F.col("_own") < F.col("_bound"), "val").otherwise("train"))
+    return clear.unionByName(at_bound).drop("_hash", "_own", "_bound", "_rest")
 
 
 def sample_images(samples: DataFrame, n: int = 9, seed: str = "42") -> DataFrame:

@@ -20,16 +20,19 @@ JOB_EVENTS = """select user_id job_id, event_id seq_id, ts, case event_type when
  when 'click' then 'running_recognition' when 'purchase' then 'done' else 'failed' end status, props msg from events"""
 BATCH_LOG = """select cast(extract(day from ts) as bigint) epoch, event_id batch_id, case when event_id%5=0 then 'val' else 'train' end phase,
  value loss, 1+event_id%16 n, event_id%(2+event_id%16) correct from events"""
-#: Whole texts, in recognised lines of 80 characters.
-_PAIRS = """select doc_id, source, cast(p+1 as bigint) line_no, truth, replace(truth,'e','c') mat, replace(replace(truth,'th','h'),'o','0') raw from {source}"""
-OCR_PAIRS_SPARK = _PAIRS.format(source="documents lateral view posexplode(regexp_extract_all(text,'(?s)(.{1,80})',1)) t as p, truth".replace("{1,80}", "{{1,80}}"))
-OCR_PAIRS_DUCK = _PAIRS.format(source="(select doc_id, source, unnest(regexp_extract_all(text,'(?s)(.{1,80})',1)) truth, unnest(range(len(regexp_extract_all(text,'(?s)(.{1,80})',1)))) p from documents)")
+#: Whole texts, and the same by line, each a recognised strip.
+OCR_PAIRS = """select doc_id, source, text truth, replace(text,'e','c') mat, replace(replace(text,'th','h'),'o','0') raw from documents"""
+_STRIPS = """select doc_id, source, cast(p+1 as bigint) line_no, truth, replace(truth,'e','c') mat, replace(replace(truth,'th','h'),'o','0') raw from {source}"""
+OCR_STRIPS_SPARK = _STRIPS.format(source="documents lateral view posexplode(split(text, chr(10), -1)) t as p, truth")
+OCR_STRIPS_DUCK = _STRIPS.format(source="(select doc_id, source, unnest(string_split(text,chr(10))) truth, generate_subscripts(string_split(text,chr(10)),1)-1 p from documents)")
 SAMPLES = """select doc_id sample_id, concat(lang,'_',source) class_name, concat(cast(doc_id as varchar(20)),'.png') file_name from documents"""
 _LEVEL = "cast(greatest(0,least(255,floor(({e}{by}+0.5)*255))) as int)"
 PX_SPARK = f"""select vec_id img_id, cast(floor(i/8) as bigint) r, cast(i%8 as bigint) c, {_LEVEL.format(e="cast(e as double)", by="")} v,
  {_LEVEL.format(e="cast(element_at(embedding,64-i) as double)", by="*2")} heat from embeddings lateral view posexplode(embedding) t as i, e"""
 PX_DUCK = f"""select vec_id img_id, cast(floor(i/8) as bigint) r, cast(i%8 as bigint) c, {_LEVEL.format(e="cast(embedding[i+1] as double)", by="")} v,
  {_LEVEL.format(e="cast(embedding[64-i] as double)", by="*2")} heat from embeddings, range(0,64) t(i)"""
+#: The same images as bytes; DuckDB's side of their queries reads px.
+RASTERS = f"""select vec_id img_id, unhex(array_join(transform(embedding, e -> lpad(hex({_LEVEL.format(e="cast(e as double)", by="")}),2,'0')),'')) data, 1 nChannels from embeddings"""
 _WORDS = """select concat('conv',conv_id) stem, concat(case role when 'user' then 'title' else 'body' end,'_',lpad(cast(turn as varchar(20)),3,'0')) block_id,
  cast({p}+1 as bigint) word_idx, case when ({p}+turn)%11=0 then '' else replace(w,'e','c') end word_mat, replace(w,'o','0') word_raw from {source}"""
 WORDS_SPARK = _WORDS.format(p="p", source="conversations lateral view posexplode(split(text,' ')) t as p, w")
@@ -39,7 +42,7 @@ WORDS_DUCK = _WORDS.format(p="p", source="(select *, unnest(string_split(text,'
 FIXTURES = {
     "li": (LI, LI, "lineitem"), "detections": (DETECTIONS, DETECTIONS, "li"), "polygons": (POLYGONS, POLYGONS, "li"), "components": (COMPONENTS, COMPONENTS, "li"),
     "word_sizes": (WORD_SIZES, WORD_SIZES, "li"), "job_events": (JOB_EVENTS, JOB_EVENTS, "events"), "batch_log": (BATCH_LOG, BATCH_LOG, "events"),
-    "ocr_pairs": (OCR_PAIRS_SPARK, OCR_PAIRS_DUCK, "documents"), "samples": (SAMPLES, SAMPLES, "documents"), "px": (PX_SPARK, PX_DUCK, "embeddings"), "ocr_words": (WORDS_SPARK, WORDS_DUCK, "conversations"),
+    "ocr_pairs": (OCR_PAIRS, OCR_PAIRS, "documents"), "ocr_strips": (OCR_STRIPS_SPARK, OCR_STRIPS_DUCK, "documents"), "samples": (SAMPLES, SAMPLES, "documents"), "px": (PX_SPARK, PX_DUCK, "embeddings"), "rasters": (RASTERS, RASTERS, "embeddings"), "ocr_words": (WORDS_SPARK, WORDS_DUCK, "conversations"),
 }
 
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions import geometry as g
@@ -182,6 +183,15 @@ def foreground(p):
     return raster.foreground(p)
 
 
+@query("rasters")
+def image_thresholds(images):
+    """From an image's bytes to its threshold in one pass; the SQL goes by pixels."""
+    return raster.image_thresholds(images)
+
+
+ORACLES["image_thresholds"] = with_fixtures(_HIST + _OTSU + "c as (select p.img_id, t, count(*) filter (where v>t) paper, count(*) filter (where v<=t) ink from px p join otsu using (img_id) group by p.img_id, t) select img_id, t threshold, ink, paper, paper>ink inverted from c", "px")
+
+
 _SMOOTH = "dense as (select img_id, l v from (select distinct img_id from px), range(0,256) t(l)), smooth as (select d.img_id, d.v, cast(sum(coalesce(n,0)) over (partition by d.img_id order by d.v rows between 7 preceding and 7 following) as bigint) win from dense d left join hist h on h.img_id=d.img_id and h.v=d.v), "
 
 
@@ -429,10 +439,10 @@ def job_log_tail(e):
 # -- recogniser quality
 
 
-_RATE = "round(sum(levenshtein(truth,{0}))/sum(length(truth))::double,9) cer_{0}"
+_RATE = "round(sum(levenshtein(truth,{0}))/nullif(sum(length(truth)),0)::double,9) cer_{0}"
 
 
-@query("ocr_pairs", sql=f"select doc_id, {_RATE.format('mat')}, {_RATE.format('raw')}, count(*) n_lines from ocr_pairs group by doc_id")
+@query("ocr_pairs", sql=f"select doc_id, {_RATE.format('mat')}, {_RATE.format('raw')} from ocr_pairs group by doc_id")
 def character_error_rates(p):
     return quality.error_rates(p)
 
@@ -442,18 +452,21 @@ def pooled_error_rates(p):
     return quality.pooled_error_rates(p)
 
 
-@query("ocr_pairs", sql="select source, round(avg((mat=raw)::int),9) equal_rate, round(avg(levenshtein(mat,raw)),9) mean_distance, count(*) filter (where levenshtein(truth,mat)<levenshtein(truth,raw)) mat_nearer, count(*) filter (where levenshtein(truth,mat)>levenshtein(truth,raw)) raw_nearer, count(*) filter (where levenshtein(truth,mat)=levenshtein(truth,raw)) ties from ocr_pairs group by source")
-def recogniser_agreement(p):
-    return quality.agreement(p)
+@query("ocr_pairs")
+def edit_operations(p):
+    """No SQL: a shortest script is not unique. The tests replay scripts and compare their length with a plain matrix."""
+    return quality.operation_counts(p)
 
 
-#: A line of 80 characters has fewer tokens than there are printable ASCII letters to stand for them.
-_CODED = "levenshtein(array_to_string(list_transform(a, lambda t: chr(cast(33+list_position({1},t) as int))),''), array_to_string(list_transform({0}, lambda t: chr(cast(33+list_position({1},t) as int))),''))"
+@query("ocr_strips", sql="""d as (select *, levenshtein(truth,mat) m, levenshtein(truth,raw) r, levenshtein(mat,raw) b from ocr_strips)
+ select source, round(avg((mat=raw)::int),9) equal_rate, round(avg(b),9) mean_distance, count(*) filter (where m<r) mat_nearer, count(*) filter (where m>r) raw_nearer, count(*) filter (where m=r) ties from d group by source""")
+def recogniser_agreement(s):
+    return quality.agreement(s)
 
 
-@query("ocr_pairs", sql=f"""t as (select doc_id, string_split_regex(truth,'\\s+') a, string_split_regex(mat,'\\s+') b, string_split_regex(raw,'\\s+') c from ocr_pairs), k as (select *, list_distinct(list_concat(a,b)) kb, list_distinct(list_concat(a,c)) kc from t)
- select doc_id, round(sum({_CODED.format("b", "kb")})/sum(len(a))::double,9) wer_mat, round(sum({_CODED.format("c", "kc")})/sum(len(a))::double,9) wer_raw from k group by doc_id""")
+@query("ocr_pairs")
 def word_error_rates(p):
+    """No SQL: there is no edit distance of lists. The tests compare with a plain matrix."""
     return quality.word_error_rates(p)
 
 
@@ -543,10 +556,10 @@ def cosine_rates(b):
     return b.select("epoch").distinct().select("epoch", F.round(training.cosine_rate(F.col("epoch") - 1), 12).alias("lr"))
 
 
-@query("embeddings", sql="""l as (select vec_id, label, list_transform(embedding[1:10], lambda v: v::double) z from embeddings), s as (select *, ln(list_sum(list_transform(z, lambda v: exp(v)))) lse from l)
- select vec_id, round(0.92*(lse-z[label+1])+0.08*(lse-list_sum(z)/10),6) loss from s""")
+@query("embeddings", sql="""l as (select vec_id, label, list_transform(embedding, lambda v: v::double) z from embeddings), s as (select *, ln(list_sum(list_transform(z, lambda v: exp(v)))) lse from l)
+ select vec_id, round(0.92*(lse-z[label+1])+0.08*(lse-list_sum(z)/len(z)),6) loss from s""")
 def smoothed_losses(e):
-    return e.select("vec_id", F.round(training.smoothed_loss(F.slice("embedding", 1, 10), F.col("label")), 6).alias("loss"))
+    return e.select("vec_id", F.round(training.smoothed_loss(F.col("embedding"), F.col("label")), 6).alias("loss"))
 
 
 _MODEL = """sm as (select vec_id sample_id, cast(label as varchar) class_name, label, embedding from embeddings), samples as (select sample_id, class_name from sm), """
@@ -586,22 +599,31 @@ def logistic_regression(e):
 
 
 @query("embeddings", also=_MODEL + _SPLIT + _NEAREST, sql="final as (select 1) select vec_id, label, pred, cast(null as varchar) error from nn where k=1")
-def scored_partitions(e):
-    """The centroids as a user's model, held by the workers."""
+def scored_partitions(e, most_cells: int = 2_000_000):
+    """The centroids as a user's model, held by the workers in blocks of classes of about so many numbers; one block does for some ten thousand classes."""
     import numpy as np
     import pandas as pd
 
     v = _split_vectors(e)
-    means = training.centroids(v.filter("split = 'train'"))
-    if means.count() > 2_000_000:
-        raise ValueError("this model is for some ten thousand classes")
-    rows = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "mean"))), lambda d: d.mean).alias("mean")).orderBy("label").collect()  # a row a class
-    labels, means = [r.label for r in rows], np.array([r["mean"] for r in rows], dtype=np.float64)
+    model = training.centroids(v.filter("split = 'train'")).persist()
+    blocks = 1 + model.count() // most_cells
+    asked = v.filter("split = 'val'").select("vec_id", "label", "embedding")
 
     def predict(model, batch):
         own, centres = model
         z = np.stack([np.asarray(a, dtype=np.float64) for a in batch["embedding"]])
-        return pd.Series([own[i] for i in np.round(((z[:, None, :] - centres[None]) ** 2).sum(-1), 9).argmin(1)], index=batch.index)
-
-    name = f"centroids-{abs(hash(means.tobytes()))}"
-    return models.score_partitions(v.filter("split = 'val'").select("vec_id", "label", "embedding"), lambda: (labels, means), predict, "pred int", name).select("vec_id", "label", "pred", "error")
+        away = np.round(((z[:, None, :] - centres[None]) ** 2).sum(-1), 9)
+        best = away.argmin(1)
+        return pd.Series([{"d": float(away[i, k]), "pred": own[k]} for i, k in enumerate(best)], index=batch.index)
+
+    def scored(k: int):
+        rows = model.filter(F.pmod(F.hash("label"), F.lit(blocks)) == k).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "mean"))), lambda d: d.mean).alias("mean")).orderBy("label").collect()  # a row a class of the block
+        if not rows:
+            return None
+        held = [r.label for r in rows], np.array([r["mean"] for r in rows], dtype=np.float64)
+        return models.score_partitions(asked, lambda: held, predict, "best struct<d:double,pred:int>", f"centroids-{abs(hash(held[1].tobytes()))}")
+
+    parts = [p for p in map(scored, range(blocks)) if p is not None]
+    if len(parts) == 1:
+        return parts[0].select("vec_id", "label", F.col("best.pred").alias("pred"), "error")
+    return reduce(DataFrame.unionByName, parts).groupBy("vec_id", "label").agg(F.min("best").alias("best"), F.max("error").alias("error")).select("vec_id", "label", F.col("best.pred").alias("pred"), "error")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions import texts as x
@@ -33,10 +33,63 @@ def read_class_folders(spark: SparkSession, folder: str) -> DataFrame:
     return class_indices(image_manifest(spark, folder).withColumn("class_name", F.element_at(F.split("path", "/"), -2)))
 
 
+def changed_images(spark: SparkSession, folder: str, state: str) -> DataFrame:
+    """What changed below a folder since the last run: path, name, stem, ext, status (added, changed, removed). ``state`` is a folder of listings, one a run.
+
+    A listing holds path, length and modification time; a run meets the last one by a full join on the path, so only what is added or changed has
+    to be decoded. The new listing counts once it is written whole: a run that fails before leaves the old one, and its changes come again.
+    """
+    columns = ["path", "length", "modificationTime"]
+    fs, place = _hadoop(spark, state)
+    runs = sorted(int(s.getPath().getName().partition("=")[2]) for s in fs.listStatus(place) if s.getPath().getName().startswith("run=") and fs.exists(_path(spark, f"{state}/{s.getPath().getName()}/_SUCCESS"))) if fs.exists(place) else []
+    now = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(*columns)
+    this = f"{state}/run={runs[-1] + 1 if runs else 0}"
+    now.filter(x.ext(x.base_name(F.col("path"))).isin(*x.IMAGE_SUFFIXES)).write.mode("overwrite").parquet(this)
+    own = spark.read.parquet(this)
+    was = spark.read.schema(own.schema).parquet(f"{state}/run={runs[-1]}") if runs else own.limit(0)
+    met = own.withColumn("_now", F.lit(True)).join(was.select("path", *(F.col(c).alias(f"_{c}") for c in columns[1:]), F.lit(True).alias("_was")), "path", "full")
+    same = F.col("length").eqNullSafe(F.col("_length")) & F.col("modificationTime").eqNullSafe(F.col("_modificationTime"))
+    status = F.when(F.col("_was").isNull(), "added").when(F.col("_now").isNull(), "removed").when(~same, "changed")
+    name = x.base_name(F.col("path"))
+    return met.withColumn("status", status).filter("status is not null").select("path", name.alias("name"), x.stem(name).alias("stem"), x.ext(name).alias("ext"), "status")
+
+
+def _path(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    place = _path(spark, path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def read_quoted_csv(spark: SparkSession, path: str, schema: str, header: bool = True) -> DataFrame:
+    """Records of CSV files whose quoted fields may hold line breaks, with _file and _record (from 1) in the order of the file.
+
+    A file is read by many tasks, a line a row. Whether a line starts inside quotes follows from how many quotes stand before it: each block of a
+    file is counted first (a row a block), and within a block a running sum goes on from there. A line that starts outside begins a record; only lines
+    of records of several lines meet in a shuffle of their own. Quotes inside fields are doubled.
+    """
+    raw = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"))
+    lines = raw.withColumn("_quotes", F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit(""))))
+    inside = Window.partitionBy("_file", "_block").orderBy("_line")
+    earlier = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = lines.groupBy("_file", "_block").agg(F.sum("_quotes").alias("_n")).withColumn("_open", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    before = F.coalesce(F.sum("_quotes").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    marked = lines.join(blocks.select("_file", "_block", "_open"), ["_file", "_block"]).withColumn("_starts", (F.pmod(F.col("_open") + before, F.lit(2)) == 0).cast("int"))
+    counted = marked.groupBy("_file", "_block").agg(F.sum("_starts").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    numbered = marked.join(counted.select("_file", "_block", "_base"), ["_file", "_block"]).withColumn("_record", F.col("_base") + F.sum("_starts").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    alone = (F.col("_starts") == 1) & (F.col("_quotes") % 2 == 0)
+    several = numbered.filter(~alone).groupBy("_file", "_record").agg(F.array_sort(F.collect_list(F.struct("_block", "_line", "value"))).alias("ls")).select("_file", "_record", F.array_join(F.transform("ls", lambda e: e["value"]), "\n").alias("value"))
+    records = numbered.filter(alone).select("_file", "_record", "value").unionByName(several).withColumn("value", F.regexp_replace("value", "\r$", ""))
+    records = records.filter("value <> ''" + (" and _record > 1" if header else ""))
+    return records.withColumn("r", F.from_csv("value", F.lit(schema), {"escape": '"'})).select("_file", "_record", "r.*")
+
+
 def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
-    """file_name, text; of a repeated name the last row counts. A file with multi-line fields is read in order by one task."""
-    rows = spark.read.csv(path, header=True, multiLine=True, escape='"', schema="file_name string, text string").withColumn("_n", F.monotonically_increasing_id())
-    last = rows.groupBy(F.trim("file_name").alias("file_name")).agg(F.max_by(F.struct("text"), "_n").alias("t"))
+    """file_name, text; of a repeated name the last row counts, files in order of their names. Large files are read by many tasks."""
+    rows = read_quoted_csv(spark, path, "file_name string, text string")
+    last = rows.groupBy(F.trim("file_name").alias("file_name")).agg(F.max_by(F.struct("text"), F.struct("_file", "_record")).alias("t"))
     return last.select("file_name", "t.text")
 
 
