@@ -56,23 +56,25 @@ def line_hashes(docs: DataFrame, min_chars: int = 1) -> DataFrame:
     return each.filter(F.length("key") >= max(min_chars, 0)).select("doc_id", "row", "anon", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
 
 
-def _crowded(lines: DataFrame) -> tuple[DataFrame, Column]:
-    """(head, blocks) of the leading hash patterns that are to be dealt to blocks, twice as many as partitions at most; and the pattern of a line."""
+def hot_keys(lines: DataFrame) -> DataFrame:
+    """(h1, h2, blocks) of the keys with so many lines that they are dealt to blocks: at most four for each partition of the sort.
+
+    A histogram of leading hash bits first tells the few patterns that may hold such a key; only their lines are counted by key.
+    """
     parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    head = F.shiftrightunsigned("h1", 64 - max(10, (_PATTERNS * parts - 1).bit_length()))
-    counts = stored(lines.groupBy(head.alias("head")).agg(F.count("*").alias("n")), "line-heads")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    block = max(_LEAST, total // (4 * parts))
-    return counts.filter(F.col("n") > 2 * block).select("head", F.ceil(F.col("n") / block).cast("long").alias("blocks")), head
+    head = F.shiftrightunsigned("h1", 64 - max(10, (_PATTERNS * parts - 1).bit_length())).alias("head")
+    counts = stored(lines.groupBy(head).agg(F.count("*").alias("n")), "line-heads")
+    block = max(_LEAST, (counts.agg(F.sum("n")).first()[0] or 0) // (4 * parts))
+    crowded = counts.filter(F.col("n") > block).select("head")  # four for each partition at most, too
+    keys = lines.withColumn("head", head).join(F.broadcast(crowded), "head", "left_semi").groupBy("h1", "h2").agg(F.count("*").alias("n"))
+    return stored(keys.filter(F.col("n") > block).select("h1", "h2", F.ceil(F.col("n") / block).cast("long").alias("blocks")), "hot-lines")
 
 
 def shared_lines(docs: DataFrame, min_chars: int = 1, min_docs: int = 10, keep_first: bool = False) -> DataFrame:
     """The lines to drop (doc_id, row, pos): those whose key stands in ``min_docs`` documents or more; with ``keep_first`` all of them but the first by doc_id and position."""
-    lines = line_hashes(docs, min_chars)
-    crowded, head = _crowded(lines)
-    blocks = F.coalesce("blocks", F.lit(1))
-    placed = lines.withColumn("head", head).join(F.broadcast(crowded), "head", "left").withColumn("blocks", blocks)
-    placed = placed.withColumn("block", F.when(F.col("blocks") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id", "anon"), "blocks"))).drop("head")
+    lines = stored(line_hashes(docs, min_chars), "lines")
+    placed = lines.join(F.broadcast(hot_keys(lines)), ["h1", "h2"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = placed.withColumn("block", F.when(F.col("blocks") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id", "anon"), "blocks")))
     key = ["h1", "h2", "block"]
     order = ["doc_id", "anon", "row", "pos"]
     group = Window.partitionBy(*key)
@@ -84,7 +86,7 @@ def shared_lines(docs: DataFrame, min_chars: int = 1, min_docs: int = 10, keep_f
     plain, dealt = found.filter("blocks = 1"), found.filter("blocks > 1")
     place = F.struct(*order)
     totals = dealt.filter("at = 1").groupBy("h1", "h2").agg(F.sum("n").alias("total"), F.min(place).alias("first")).filter(F.col("total") >= min_docs)
-    dealt = dealt.join(totals, ["h1", "h2"])
+    dealt = dealt.join(F.broadcast(totals), ["h1", "h2"])  # a row a hot key
     if keep_first:
         plain, dealt = plain.filter("at > 1"), dealt.filter(~place.eqNullSafe(F.col("first")))
     return plain.select("doc_id", "row", "pos").unionByName(dealt.select("doc_id", "row", "pos"))
