@@ -23,6 +23,7 @@ An empty table gives an empty result; texts of any length are read whole.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from functools import lru_cache
 
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.bpe import byte_letters
+from foliospark.llm.bpe import PATTERN, byte_letters
 from foliospark.llm.shared import in_slices, read_back, stored, uri_of
 
 #: Pair counts that a worker holds, 16 bytes each.
@@ -47,19 +48,16 @@ class Vocabularies:
     """Both tokenizers with the bytes of their tokens, and ``same``: the B id with the bytes of an A id, -1 if none."""
 
     def __init__(self, a_path: str, b_path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import sentencepiece
-        from tokenizers import Tokenizer
-
-        self.a, self.b = Tokenizer.from_file(a_path), sentencepiece.SentencePieceProcessor(model_file=b_path)
-        self.a.encode_special_tokens = True
-        self.a.no_padding()
-        self.a.no_truncation()
-        letters = byte_letters()
-        vocab = self.a.get_vocab(with_added_tokens=False)
+
+        with open(a_path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        letters, vocab = byte_letters(), model["vocab"]
         self.a_bytes = [b""] * (1 + max(vocab.values()))
         for said, i in vocab.items():
             self.a_bytes[i] = bytes(letters[c] for c in said) if all(c in letters for c in said) else said.encode()
+        self.encode_a = _encoder(a_path, {self.a_bytes[i]: i for said, i in vocab.items() if all(c in letters for c in said)}, model["merges"], vocab)
+        self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i in range(self.b.get_piece_size()) for p in [self.b.id_to_piece(i)]]
         of = {}
         for i in range(len(self.b_bytes) - 1, -1, -1):
@@ -72,15 +70,32 @@ class Vocabularies:
 
     def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
         """Ids of both sides; none for a text that a side doesn't give back."""
-        spaced = [f" {t}" for t in texts]
-        out = []
-        for text, a, b in zip(spaced, self.a.encode_batch(spaced, add_special_tokens=False), self.b.encode(texts, num_threads=1), strict=True):
-            data, ids = text.encode(), a.ids
-            whole = len(data) > 1 and b"".join(map(self.a_bytes.__getitem__, ids)) == data and b"".join(map(self.b_bytes.__getitem__, b)) == data
-            out.append((ids, b) if whole else ([], []))
+        spaced, out = [f" {t}" for t in texts], []
+        for text, a, b in zip(spaced, self.encode_a(spaced), self.b.encode(texts, num_threads=1), strict=True):
+            data = text.encode()
+            whole = len(data) > 1 and b"".join(map(self.a_bytes.__getitem__, a)) == data and b"".join(map(self.b_bytes.__getitem__, b)) == data
+            out.append((a, b) if whole else ([], []))
         return out
 
 
+def _encoder(path: str, ranks: dict[bytes, int], merges: list, vocab: dict[str, int]):
+    """Texts to lists of ids. Where merges come in the order of the ids they make, as in byte-level files of this kind, ids are ranks and the faster library reads them; else the file's own does."""
+    made = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in merges]
+    if all(i < j for i, j in zip(made, made[1:], strict=False)) and len(ranks) == 256 + len(made):
+        import tiktoken
+
+        one = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        return lambda texts: [one(t) for t in texts]
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(path)
+    whole.encode_special_tokens = True
+    whole.no_padding()
+    whole.no_truncation()
+    return lambda texts: [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+
+
 @lru_cache(maxsize=1)
 def vocabularies(a_path: str, b_path: str) -> Vocabularies:
     return Vocabularies(a_path, b_path)
@@ -129,7 +144,8 @@ def align(v: Vocabularies, texts: list[str | None]) -> tuple[list[pa.Array], np.
     size = len(texts)
     ids = v.encode([t or "" for t in texts])
     n_a, n_b = (np.array([len(x[k]) for x in ids], dtype=np.int64) for k in (0, 1))
-    a, b = (np.array([i for x in ids for i in x[k]], dtype=np.int64) for k in (0, 1))
+    all_a, all_b = ([i for x in ids for i in x[k]] for k in (0, 1))
+    a, b = np.array(all_a, dtype=np.int64), np.array(all_b, dtype=np.int64)
     a_end, b_end = np.cumsum(v.a_size[a]), np.cumsum(v.b_size[b])
     ends = np.intersect1d(a_end, b_end, assume_unique=True)
     a_to, b_to = np.searchsorted(a_end, ends) + 1, np.searchsorted(b_end, ends) + 1
@@ -144,8 +160,9 @@ def align(v: Vocabularies, texts: list[str | None]) -> tuple[list[pa.Array], np.
     same_key, same_n = _summed((np.r_[doc[plain], pair_doc[on_map]], np.r_[a[a_from[plain]], pair[on_map] >> 32]), np.r_[np.ones(plain.sum(), np.int64), pair_n[on_map]])
     pair_doc, pair, pair_n = pair_doc[~on_map], pair[~on_map], pair_n[~on_map]
     said = [v.said_same[i] for i in a[a_from].tolist()] if len(a) else []
+    said_a, said_b = v.said_a, v.said_b
     for g, i, j, k, m in zip(rest.tolist(), a_from[rest].tolist(), a_to[rest].tolist(), b_from[rest].tolist(), b_to[rest].tolist(), strict=True):
-        said[g] = f"{','.join([v.said_a[t] for t in a[i:j].tolist()])}|{','.join([v.said_b[t] for t in b[k:m].tolist()])}"
+        said[g] = f"{','.join([said_a[t] for t in all_a[i:j]])}|{','.join([said_b[t] for t in all_b[k:m]])}"
     cuts = np.searchsorted(doc, np.arange(size + 1)).tolist()
     digests = [hashlib.sha256(";".join(said[i:j]).encode()).hexdigest() if j > i else "" for i, j in zip(cuts, cuts[1:], strict=False)]
     links = np.zeros(size, dtype=np.int64)
