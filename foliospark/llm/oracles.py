@@ -25,25 +25,31 @@ h2 as (select h.*, m from h join d2 using (suffix, domain)),
 c2 as (select (1-r)/r c from (select greatest(0.001,least(0.5,coalesce(case when sum((n-1)*m*(1-m)) filter (n>0)>0 then sum((k-n*m)**2/n-m*(1-m)) filter (n>0)/sum((n-1)*m*(1-m)) filter (n>0) end,0.1))) r from h2)),
 h3 as (select host, n, k, c, (k+c*m)/(n+c) m from h2, c2),
 rep as (select host, n, k, sin(greatest(0,asin(sqrt(m))-1.645/(2*sqrt(n+c+1))))**2 b from h3),
+size as (select host, count(*) pages from p group by host), corpus as (select sum(k)/nullif(sum(n),0)::double rate from rep),
+worst as (select cast(floor(b*10000) as bigint) bin, sum(pages) pages from rep join size using (host), corpus where n>=3 and k>n*rate group by bin),
+upto as (select bin, sum(pages) over (order by bin desc) pages from worst),
+cut as (select min(bin) bin from upto where pages<=0.15*(select count(*) from p)),
 rules(verdict, rule) as (values ('allow','org/'), ('block','example.org/es/'), ('block','example.org/en/1'), ('allow','com/fr/'), ('block','com/de/')),
 r as (select verdict, rule, split_part(rule,'/',1) rh, rule[len(split_part(rule,'/',1))+1:] rp from rules),
 u as (select distinct host, path from p),
 fit as (select host, path, arg_max(rule,len(rule)) rule, arg_max(verdict,len(rule)) verdict from u join r on (host=rh or suffix(host,'.'||rh)) and starts_with(path,rp) group by host, path)
-select page_id, p.host, p.path, fit.rule, coalesce(fit.verdict, case when b>=0.5 then 'block' else 'allow' end) verdict, cast(n as bigint) n_labelled, cast(k as bigint) n_bad, round(b,4) posterior_bound
-from p join rep on rep.host=p.host left join fit on fit.host=p.host and fit.path=p.path
+select page_id, p.host, p.path, fit.rule, coalesce(fit.verdict, case when b>=0.5 or (n>=3 and k>n*rate and floor(b*10000)>=cut.bin) then 'block' else 'allow' end) verdict, cast(n as bigint) n_labelled, cast(k as bigint) n_bad, round(b,4) posterior_bound
+from corpus, cut, p join rep on rep.host=p.host left join fit on fit.host=p.host and fit.path=p.path
 """
 
 OP2 = """
-with t as (select conv_id, cast(floor(conv_id/2) as bigint) pair_id, conv_id%2 side, coalesce(role,'') as role, coalesce(text,'') as text, row_number() over (partition by conv_id order by turn nulls first, role, text) i from conversations where conv_id is not null),
-sides as (select pair_id, max(case when side=0 then conv_id end) chosen_conv, max(case when side=1 then conv_id end) rejected_conv from t group by pair_id having count(distinct side)=2),
-eq as (select s.pair_id, a.i, coalesce(a.role=b.role and a.text=b.text, false) same from sides s join t a on a.conv_id=s.chosen_conv left join t b on b.conv_id=s.rejected_conv and b.i=a.i),
-lcp as (select pair_id, coalesce(min(case when not same then i end)-1, count(*)) n from eq group by pair_id),
-shown as (select pair_id, conv_id, side, i, '<|'||role||'|>'||chr(10)||text||'<|end|>'||chr(10) said, (length(role)+5)||':0,'||length(text)||':'||(case when role='assistant' then 1 else 0 end)||',8:0' mask from t)
-select s.pair_id, chosen_conv, rejected_conv, cast(n as bigint) n_common,
- coalesce(string_agg(said,'' order by i) filter (where side=0 and i<=n),'') prompt,
- coalesce(string_agg(said,'' order by i) filter (where side=0 and i>n),'') chosen, coalesce(string_agg(mask,',' order by i) filter (where side=0 and i>n),'') chosen_mask,
- coalesce(string_agg(said,'' order by i) filter (where side=1 and i>n),'') rejected, coalesce(string_agg(mask,',' order by i) filter (where side=1 and i>n),'') rejected_mask
-from sides s join lcp using (pair_id) join shown on shown.pair_id=s.pair_id group by s.pair_id, chosen_conv, rejected_conv, n
+with t as (select conv_id, turn, coalesce(role,'') as role, coalesce(text,'') as text, row_number() over (partition by conv_id order by turn nulls first, role, text) i from conversations where conv_id is not null),
+l as (select * from (select *, row_number() over (partition by conv_id order by turn desc nulls last, text desc) k from t where role='assistant') where k=1),
+p as (select a.conv_id, b.conv_id rejected_conv, a.turn, a.text as text, b.text lent from l a join l b on b.conv_id=a.conv_id+1),
+b as (select t.conv_id, rejected_conv, i, role, t.text as said, case when role='assistant' and t.turn is not distinct from p.turn and t.text=p.text then lent else t.text end other from t join p using (conv_id)),
+n as (select conv_id, coalesce(min(case when said<>other then i end)-1, count(*)) n from b group by conv_id),
+s as (select conv_id, rejected_conv, i, 0 side, role, said from b union all select conv_id, rejected_conv, i, 1, role, other from b),
+shown as (select *, '<|'||role||'|>'||chr(10)||said||'<|end|>'||chr(10) line, (length(role)+5)||':0,'||length(said)||':'||(case when role='assistant' then 1 else 0 end)||',8:0' mask from s)
+select conv_id pair_id, conv_id chosen_conv, rejected_conv, cast(n as bigint) n_common,
+ coalesce(string_agg(line,'' order by i) filter (where side=0 and i<=n),'') prompt,
+ coalesce(string_agg(line,'' order by i) filter (where side=0 and i>n),'') chosen, coalesce(string_agg(mask,',' order by i) filter (where side=0 and i>n),'') chosen_mask,
+ coalesce(string_agg(line,'' order by i) filter (where side=1 and i>n),'') rejected, coalesce(string_agg(mask,',' order by i) filter (where side=1 and i>n),'') rejected_mask
+from shown join n using (conv_id) group by conv_id, rejected_conv, n
 """
 
 _SHINGLES = rf"""select {{id}}, unnest(case when len(w)<=5 then case when len(w)=0 then [] else [array_to_string(w,' ')] end else list_distinct(list_transform(range(1,len(w)-3), lambda i: array_to_string(w[i:i+4],' '))) end) s

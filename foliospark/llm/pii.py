@@ -33,8 +33,9 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from foliospark.llm.shared import in_slices, stored, unused
+from foliospark.llm.shared import by_place, in_slices, stored, unused
 
 #: First names by gender and script.
 FIRST_NAMES = {
@@ -280,22 +281,20 @@ def with_surrogates(docs: DataFrame, key: bytes, audit: str | None = None) -> Da
     """docs with ``text`` replaced. audit names a further column, of entities array<struct<kind, original, surrogate, start, normal, becomes>>."""
     schema = docs.schema
     at = schema.names.index("text")
-    kinds = "array<struct<kind:string,original:string,surrogate:string,start:int,normal:string,becomes:string>>"
-    said = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + (f", `{audit}` {kinds}" if audit else "")
+    kinds = T.ArrayType(T.StructType.fromDDL("kind string, original string, surrogate string, start int, normal string, becomes string"))
+    made_of = T.StructType([*schema, *([T.StructField(audit, kinds)] if audit else [])])
 
     def run(batches):
         for b in in_slices(batches, 256, at):
             made = [replace(t, key) if t is not None else (None, []) for t in b.column(at).to_pylist()]
             columns = list(b.columns)
             columns[at] = pa.array([m[0] for m in made], pa.string())
-            names = list(b.schema.names)
             if audit:
                 rows = [[dict(zip((n for n, _ in _AUDIT), (*f, x := normal(f[0], f[1]), next_normal(key, f[0], x)), strict=True)) for f in m[1]] for m in made]
                 columns.append(pa.array(rows, pa.list_(pa.struct(_AUDIT))))
-                names.append(audit)
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            yield pa.RecordBatch.from_arrays(columns, names=[str(i) for i in range(len(columns))])
 
-    out = docs.mapInArrow(run, said)
+    out = by_place(docs, run, made_of)
     if "n_chars" in schema.names:
         out = out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType))
     return out

@@ -1,7 +1,9 @@
 """Quality rules: plain counts, then n-gram perplexity in bands by language.
 
-The model is a modified Kneser-Ney model of characters, order 5, one for each
-language, counted by Spark over all texts, each distinct text of a language once. Characters and not words: a word model
+The model is a modified Kneser-Ney model of characters, order 5, counted by Spark over
+all texts, each distinct text of a language once. A language's texts fall into two
+folds by hash, copies together; each fold has a model of its own and scores the
+other's texts, so no text is judged by a model that it taught. Characters and not words: a word model
 of this corpus has a distinct bigram for every two words and a distinct trigram
 for four in five, by estimate more than the disk it is allowed. Its log probabilities and back-off weights are stored as whole multiples
 of 1 / UNIT in a table in the shared folder, sorted by the 64-bit hash of the
@@ -12,7 +14,7 @@ order, so both ways give the same log probabilities to the last bit.
 
 Bands: a language's centre and spread are the median and the scaled median
 deviation of its documents' mean log probabilities, over the distinct texts that
-pass the plain counts. A document's mean may differ by WIDTH spreads and by Z
+pass the plain counts; a language with fewer than LEAST of them has no band. A document's mean may differ by WIDTH spreads and by Z
 standard errors of its length; beyond that its perplexity is too high (noise) or
 too low (repetition) and it is rejected. Copies move neither model nor band.
 
@@ -22,7 +24,8 @@ n copies counts 1/n in each, so none must be picked), one scores. No text is
 shuffled, unless the repeated hashes are over ``repeat_bytes``: then distinct
 texts are made by a shuffle, with the same result.
 
-Defined cases: null text is empty, null lang is the language "". Every row counts
+Defined cases: null text is empty, null lang is the language "". A text whose language
+has no text in the other fold is not scored (log_prob null) and kept if it passes the plain counts. Every row counts
 on its own; ids may be null or repeated; columns named like own ones pass ``keep_good``.
 An empty table gives an empty result. Texts of any length are read whole.
 """
@@ -35,10 +38,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from foliospark.llm.shared import in_slices, stored, unused
+from foliospark.llm.shared import by_place, in_slices, stored, unused
 
-ORDER, WIDTH, Z = 5, 3.0, 4.0
+ORDER, WIDTH, Z = 5, 3.0, 2.0
 #: Steps of a unit of log probability in which medians are taken.
 GRID = 4096
 #: Steps of a unit of log probability in which the model is stored.
@@ -47,6 +51,10 @@ UNIT = 2**20
 REPEAT_BYTES = 128 * 2**20
 #: A row a language is broadcast up to so many, some hundred kB.
 BROADCAST_LANGS, SALTS = 5000, 64
+#: Distinct texts that pass the plain counts, from which on a language has bands.
+LEAST = 20
+#: Stands between a language and the number of its fold in the name of a model.
+_FOLD = "\x1f"
 _PAD, _END = "\x02", "\x03"
 _SPACES = b" \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -128,9 +136,20 @@ def row_key() -> Column:
     return F.xxhash64(F.coalesce("lang", F.lit("")), F.coalesce("text", F.lit("")))
 
 
+def _other(name: str) -> str:
+    """The model of a language's other fold."""
+    return name[:-1] + ("0" if name[-1] == "1" else "1")
+
+
+def _scored_by(lang: str | None, key: int) -> str:
+    """The model that scores a row: that of the fold it is not in."""
+    return f"{lang or ''}{_FOLD}{1 - key % 2}"
+
+
 def distinct_rows(docs: DataFrame, repeat_bytes: int | None = None) -> tuple[DataFrame, str | None]:
-    """(key, lang, text) and where the copies of each repeated key are written; None if every row counts whole."""
-    rows = docs.select(row_key().alias("key"), "lang", "text")
+    """(key, lang, text) and where the copies of each repeated key are written; None if every row counts whole. lang is the name of the model that the text teaches: language and fold."""
+    fold = F.concat(F.coalesce("lang", F.lit("")), F.lit(_FOLD), F.pmod(row_key(), F.lit(2)).cast("string"))
+    rows = docs.select(row_key().alias("key"), fold.alias("lang"), "text")
     repeats = stored(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "repeats")
     n = repeats.count()
     if 16 * n > (REPEAT_BYTES if repeat_bytes is None else repeat_bytes):
@@ -211,14 +230,15 @@ def _level(table: DataFrame, langs: int) -> tuple[DataFrame, DataFrame]:
     return shares, total.select("lang", "ctx", (F.col("left") / F.col("tot")).alias("weight"))
 
 
-def train(docs: DataFrame, distinct: tuple[DataFrame, str | None] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """distinct: distinct_rows(docs), if known. The stored model (h, v) in order of h; bands (lang, mean, deviation, unknown); and values (lang, gram, v) of the highest order."""
+def train(docs: DataFrame, distinct: tuple[DataFrame, str | None] | None = None) -> tuple[DataFrame, DataFrame, dict[int, DataFrame]]:
+    """distinct: distinct_rows(docs), if known. The stored model (h, v) in order of h; bands (lang, mean, deviation, unknown); and by order what the model holds: (kind, lang, gram, v), n-grams as kind 0, contexts as kind 1. lang is the name of a model."""
     levels = {ORDER: stored(count_ngrams(*(distinct or distinct_rows(docs))), "ngrams")}
     for k in range(ORDER - 1, 0, -1):  # lower orders count the characters seen before an n-gram
         levels[k] = stored(levels[k + 1].groupBy("lang", F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("c")), "ngrams")
     langs = levels[1].select("lang").distinct().count()
-    rows, unknown, lower = [], None, None
+    held, unknown, lower = {}, None, None
     for k in range(1, ORDER + 1):
+        rows = []
         shares, weights = _level(levels[k], langs)
         if k == 1:
             size = levels[1].groupBy("lang").agg((1.0 / (F.count("*") + 1)).alias("uniform"))
@@ -230,6 +250,7 @@ def train(docs: DataFrame, distinct: tuple[DataFrame, str | None] | None = None)
             rows.append(weights.select(F.lit(1).alias("kind"), "lang", F.col("ctx").alias("gram"), _whole_units(F.log("weight")).alias("v")))
         lower = stored(under.select("lang", "gram", "c", F.log(F.col("part") + F.col("weight") * F.col("below")).alias("logp")), "logp")
         rows.append(lower.select(F.lit(0).alias("kind"), "lang", "gram", _whole_units(F.col("logp")).alias("v")))
+        held[k] = reduce(DataFrame.unionByName, rows)
     n, mean = F.sum("c"), F.sum(F.col("c") * F.col("logp")) / F.sum("c")
     square = F.sum(F.col("c") * F.col("logp") * F.col("logp")) / n
     bands = stored(lower.groupBy("lang").agg(mean.alias("mean"), F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias("deviation")).join(unknown, "lang").coalesce(1), "bands")
@@ -239,8 +260,27 @@ def train(docs: DataFrame, distinct: tuple[DataFrame, str | None] | None = None)
             h = _row_hashes(*(b.column(i).to_pylist() for i in range(3)))
             yield pa.RecordBatch.from_arrays([pa.array((h ^ np.uint64(1 << 63)).view(np.int64)), b.column(3)], names=["h", "v"])
 
-    table = reduce(DataFrame.unionByName, rows).mapInArrow(hashed, "h long, v int")
-    return stored(table.repartitionByRange("h").sortWithinPartitions("h"), "model"), bands, rows[-1].select("lang", "gram", "v")
+    table = reduce(DataFrame.unionByName, held.values()).mapInArrow(hashed, "h long, v int")
+    return stored(table.repartitionByRange("h").sortWithinPartitions("h"), "model"), bands, held
+
+
+def held_out_values(held: dict[int, DataFrame], bands: DataFrame) -> DataFrame:
+    """(lang, gram, v): what each n-gram of a fold is worth to the other fold's model, backing off as a worker does. For models too large for a worker."""
+    seen = held[ORDER].filter("kind = 0")
+    flipped = F.concat(F.expr("substring(lang, 1, length(lang) - 1)"), F.when(F.col("lang").endswith("1"), "0").otherwise("1"))
+    langs = bands.select("lang", "unknown")
+    todo = _with_language(seen.select(flipped.alias("lang"), "gram"), langs, langs.count()).withColumn("v", F.lit(0)).select("lang", "gram", "unknown", "v")
+    found = []
+    for k in range(ORDER, 0, -1):
+        own = held[k].filter("kind = 0").select("lang", F.col("gram").alias("part"), F.col("v").alias("own"))
+        at = stored(todo.withColumn("part", F.expr(f"right(gram, {k})")).join(own, ["lang", "part"], "left"), "held-out")
+        found.append(at.filter("own is not null").select("lang", "gram", (F.col("v") + F.col("own")).alias("v")))
+        todo = at.filter("own is null").select("lang", "gram", "unknown", "v", "part")
+        if k > 1:
+            weight = held[k].filter("kind = 1").select("lang", F.col("gram").alias("ctx"), F.col("v").alias("off"))
+            todo = todo.withColumn("ctx", F.expr(f"left(part, {k - 1})")).join(weight, ["lang", "ctx"], "left").select("lang", "gram", "unknown", (F.col("v") + F.coalesce("off", F.lit(0))).alias("v"))
+    found.append(todo.select("lang", "gram", (F.col("v") + F.col("unknown")).alias("v")))
+    return stored(reduce(DataFrame.unionByName, found), "held-out-values")
 
 
 def _row_hashes(kinds: list[int], langs: list[str], grams: list[str]) -> np.ndarray:
@@ -309,7 +349,7 @@ class Model:
             if k > 1:
                 v, ok = self.find(_hash(codes, k - 1, _seed(lang, 1))[todo + ORDER - k])
                 out[todo] += np.where(ok, v, 0)
-        out[todo] += self.bands[lang]["unknown"] if lang in self.bands else -20 * UNIT
+        out[todo] += self.bands[lang]["unknown"]
         return out
 
     def means(self, lang: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -349,18 +389,22 @@ def _uri(df: DataFrame) -> str:
 
 
 def _scores(batch: pa.RecordBatch, model_uri: str, bands_uri: str) -> list[tuple]:
-    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, log_prob, size) a row; batch: lang, text first."""
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, log_prob, size) a row; batch: lang, text, key first."""
     model = _model(model_uri, bands_uri)
     texts = [t or "" for t in batch.column(1).to_pylist()]
     counts = [base_counts(t) for t in texts]
-    means, sizes = np.zeros(len(texts)), np.ones(len(texts), dtype=np.int64)
-    for lang, rows in _by_lang(batch).items():
-        means[rows], sizes[rows] = model.means(lang, [_clean(texts[i]) for i in rows])
-    return [(*c, c[0] < 50 or 100 * c[4] > 50 * c[0], float(m), int(n)) for c, m, n in zip(counts, means, sizes, strict=True)]
+    means, sizes = np.full(len(texts), np.nan), np.ones(len(texts), dtype=np.int64)
+    by: dict[str, list[int]] = {}
+    for i, (lang, key) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+        by.setdefault(_scored_by(lang, key), []).append(i)
+    for name, rows in by.items():
+        if name in model.bands:
+            means[rows], sizes[rows] = model.means(name, [_clean(texts[i]) for i in rows])
+    return [(*c, c[0] < 50 or 100 * c[4] > 50 * c[0], None if np.isnan(m) else float(m), int(n)) for c, m, n in zip(counts, means, sizes, strict=True)]
 
 
 def _joined_means(distinct: tuple[DataFrame, str | None], values: DataFrame) -> DataFrame:
-    """(key, log_prob, size) of each distinct row by joining n-gram counts with the model's values: for models too large for a worker."""
+    """(key, log_prob, size) of each distinct row that has a model, by joining n-gram counts with held_out_values: for models too large for a worker."""
     rows, repeats = distinct
 
     def run(batches):
@@ -369,7 +413,7 @@ def _joined_means(distinct: tuple[DataFrame, str | None], values: DataFrame) ->
                 joined = f"{_PAD * (ORDER - 1)}{_clean(text)}{_END}"
                 codes = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)
                 _, first, n = np.unique(_hash(codes, ORDER, 1), return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(first)), pa.array([lang or ""] * len(first)), pa.array([joined[i : i + ORDER] for i in first.tolist()]), pa.array(n)], names=["key", "lang", "gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(first)), pa.array([_other(lang)] * len(first)), pa.array([joined[i : i + ORDER] for i in first.tolist()]), pa.array(n)], names=["key", "lang", "gram", "n"])
 
     grams = rows.select("key", "lang", "text").mapInArrow(run, "key long, lang string, gram string, n long")
     each = F.sum(F.col("n").cast("decimal(20,0)") * F.col("v"))  # exact; each copy adds the same
@@ -392,11 +436,12 @@ def _names(fields: str) -> list[str]:
 
 def _centres(scored: DataFrame, bands: DataFrame) -> DataFrame:
     """scored: key, lang, base_failed, log_prob. (lang, deviation, centre, spread): each distinct text that passes the plain counts once; medians of rounded values, so that a language is no large group."""
-    good = scored.filter("not base_failed").select("key", "lang", "log_prob").dropDuplicates(["key"])
+    good = scored.filter("not base_failed and log_prob is not null").select("key", "lang", "log_prob").dropDuplicates(["key"])
     at = stored(good.groupBy("lang", (F.round(F.col("log_prob") * GRID) / GRID).alias("at")).agg(F.count("*").alias("n")), "histogram")
-    centre = at.groupBy("lang").agg(F.percentile("at", 0.5, F.col("n")).alias("centre"))
+    centre = at.groupBy("lang").agg(F.percentile("at", 0.5, F.col("n")).alias("centre"), F.sum("n").alias("texts")).filter(F.col("texts") >= LEAST).drop("texts")
     away = at.join(centre, "lang").groupBy("lang", "centre").agg((1.4826 * F.percentile(F.abs(F.col("at") - F.col("centre")), 0.5, F.col("n"))).alias("spread"))
-    return stored(bands.select("lang", "deviation").join(away, "lang", "left").coalesce(1), "centres")
+    language = F.expr("substring(lang, 1, length(lang) - 2)")
+    return stored(bands.groupBy(language.alias("lang")).agg(F.avg("deviation").alias("deviation")).join(away, "lang", "left").coalesce(1), "centres")
 
 
 def _banded(scored: DataFrame, bands: DataFrame) -> DataFrame:
@@ -411,7 +456,8 @@ def _scored(docs: DataFrame, model: DataFrame, bands: DataFrame) -> DataFrame:
     """docs: key, lang, text. (key, lang, *_SCORED, *other columns), stored."""
     uris = _uri(model), _uri(bands)
     others = [f for f in docs.schema if f.name not in ("key", "lang", "text")]
-    names = ["key", "lang", *_names(_SCORED), *(f.name for f in others)]
+    schema = T.StructType([*T.StructType.fromDDL(f"key long, lang string, {_SCORED}"), *others])
+    names = schema.fieldNames()
 
     def run(batches):
         for b in in_slices(batches, 256, 1):
@@ -419,21 +465,20 @@ def _scored(docs: DataFrame, model: DataFrame, bands: DataFrame) -> DataFrame:
             lang = pa.array([x or "" for x in b.column(0).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([b.column(2), lang, *(pa.array([r[i] for r in rows], t) for i, t in enumerate(_TYPES)), *b.columns[3:]], names=names)
 
-    own = docs.select("lang", "text", "key", *(f"`{f.name}`" for f in others))
-    said = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in others)
-    return stored(own.mapInArrow(run, f"key long, lang string, {_SCORED}{said}"), "scores")
+    own = docs.select("lang", "text", "key", *(f.name for f in others))
+    return stored(own.mapInArrow(run, schema), "scores")
 
 
 def judge(docs: DataFrame, model_bytes: int = 256 * 2**20, repeat_bytes: int | None = None) -> DataFrame:
     """docs: doc_id, lang, text. doc_id with the counts, base_failed, kept, and log_prob, the mean of a character."""
     own = docs.select(F.col("lang").cast("string").alias("lang"), "text", F.col("doc_id").cast("long").alias("doc_id"))
     distinct = distinct_rows(own, repeat_bytes)
-    model, bands, values = train(own, distinct)
+    model, bands, held = train(own, distinct)
     size = model.count()
     if not size:
         return own.select("doc_id").mapInArrow(lambda batches: iter(()), f"doc_id long, {_FIELDS}")
     own = own.withColumn("key", row_key())
-    scored = _scored_by_join(own, distinct, values) if 12 * size > model_bytes else _scored(own, model, bands)
+    scored = _scored_by_join(own, distinct, held_out_values(held, bands)) if 12 * size > model_bytes else _scored(own, model, bands)
     return _banded(scored, bands).select("doc_id", *_names(_FIELDS))
 
 
@@ -447,19 +492,19 @@ def _scored_by_join(own: DataFrame, distinct: tuple[DataFrame, str | None], valu
 
     counts = own.select("lang", "text", "doc_id", "key").mapInArrow(run, f"doc_id long, key long, lang string, {_COUNTS}")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return stored(counts.withColumn("lang", F.coalesce("lang", F.lit(""))).withColumn("base_failed", failed).join(_joined_means(distinct, values), "key"), "scores")
+    return stored(counts.withColumn("lang", F.coalesce("lang", F.lit(""))).withColumn("base_failed", failed).join(_joined_means(distinct, values), "key", "left"), "scores")
 
 
 def keep_good(docs: DataFrame, model_bytes: int = 256 * 2**20, repeat_bytes: int | None = None) -> DataFrame:
     """The rows of docs that judge() keeps, in the same passes. Scores are stored by the hash of a row, and the hashes of those to leave out are joined or, up to repeat_bytes, loaded by the workers."""
     own = docs.select(F.col("lang").cast("string").alias("lang"), "text")
     distinct = distinct_rows(own, repeat_bytes)
-    model, bands, values = train(own, distinct)
+    model, bands, held = train(own, distinct)
     size = model.count()
     if not size:
         return docs
     own = own.withColumn("key", row_key())
-    scored = _scored_by_join(own.withColumn("doc_id", F.col("key")), distinct, values) if 12 * size > model_bytes else _scored(own, model, bands)
+    scored = _scored_by_join(own.withColumn("doc_id", F.col("key")), distinct, held_out_values(held, bands)) if 12 * size > model_bytes else _scored(own, model, bands)
     bad = stored(_banded(scored, bands).filter("not kept").select("key").distinct(), "rejected")
     n = bad.count()
     if not n:
@@ -477,7 +522,7 @@ def keep_good(docs: DataFrame, model_bytes: int = 256 * 2**20, repeat_bytes: int
             found = known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own
             yield b.select(range(at)).filter(pa.array(~found))
 
-    return keyed.mapInArrow(run, docs.schema)
+    return by_place(keyed, run, docs.schema)
 
 
 @lru_cache(maxsize=1)

@@ -27,9 +27,8 @@ def op1_url_filters(spark, sf_dir):
 
 
 def op2_chat_formatting(spark, sf_dir):
-    """Neighbouring conversations are a pair: the even one chosen, the odd one rejected."""
-    turns = _table(spark, sf_dir, "conversations")
-    return chat_formatting.format_preferences(turns, F.floor(F.col("conv_id") / 2).cast("long"), F.col("conv_id") % 2 == 0)
+    """A conversation is chosen; rejected is the same with its last assistant turn borrowed from the next one, so a pair shares the turns before."""
+    return chat_formatting.borrowed_endings(_table(spark, sf_dir, "conversations"), F.col("conv_id") + 1)
 
 
 def op3_license_scans(spark, sf_dir):

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII letters, as the contracts lower-case A-Z only.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -66,6 +67,17 @@ def read_back(uri: str, columns: list[str] | None = None, where=None) -> pa.Tabl
     return dataset.dataset(path, filesystem=system, format="parquet", exclude_invalid_files=True).to_table(columns=columns, filter=where)
 
 
+def by_place(df: DataFrame, run, schema: T.StructType) -> DataFrame:
+    """df.mapInArrow(run, schema) for columns of any names: inside they are numbered, as Spark can't say some names there."""
+    places = T.StructType([T.StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(schema)])
+
+    def numbered(batches):
+        for b in run(batches):
+            yield pa.RecordBatch.from_arrays(b.columns, names=places.fieldNames())
+
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(numbered, places).toDF(*schema.fieldNames())
+
+
 def in_slices(batches, rows: int = 256, text: int | None = None, most: int = 2**21):
     """Arrow batches in slices of at most ``rows``, so that long texts don't pile up in a worker. text: a column of which a slice holds ``most`` bytes at most, or one row."""
     for batch in batches:

@@ -186,12 +186,12 @@ def fingerprint_links(distinct: DataFrame, crowd: int = 20_000) -> DataFrame:
     return dealt.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j").mapInArrow(_links, "u long, v long").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root): the smallest node reachable, for nodes that have an edge. edges: u, v."""
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root): the smallest node reachable, for nodes that have an edge. edges: u, v. Rounds go on until none changes an edge."""
     now = stored(edges.select("u", "v").filter("u <> v").distinct(), "edges")
     mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     was = mark(now)
-    for _ in range(rounds):
+    while True:
         both = now.select("u", "v").union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).filter("u <> v").distinct()
@@ -203,7 +203,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if got == was:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         was = got
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def _grouped(fps: DataFrame) -> DataFrame:

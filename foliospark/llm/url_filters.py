@@ -3,10 +3,11 @@
 Labelled page outcomes are counted by host, and shrunk through beta-binomial
 priors from host to registered domain to suffix to the whole corpus. The
 concentration of each level's prior is fitted by moments, in which a group weighs
-by its pages less one, so one hot host doesn't decide alone. A host is blocked
-when the lower posterior bound of its rate of bad pages reaches a threshold: the
-beta posterior's quantile, on the arcsine scale, where its spread hardly depends
-on the rate, and so never outside 0 to 1.
+by its pages less one, so one hot host doesn't decide alone. A host is blocked by
+the lower posterior bound of its rate of bad pages: the beta posterior's quantile, on the
+arcsine scale, where its spread hardly depends on the rate, and so never outside 0 to 1.
+It is blocked where the bound reaches a fixed threshold, or one from the data: the
+worst hosts by bound, up to a share of all pages.
 
 Suffixes: the last label, or the last two where a registry's word stands before a
 country's two letters (co.uk, com.cn, gov.br), or a suffix that is given, such as
@@ -26,11 +27,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.llm.shared import lower_ascii, stored
 
+#: Bounds are compared in steps of 1 / STEPS where hosts are ranked.
+STEPS = 10_000
 #: Second-level words of registries, before two letters.
 REGISTRY = "ac|asn|co|com|edu|gob|gov|gouv|id|info|ltd|me|mil|ne|net|nhs|nom|or|org|plc|police|sch"
 #: Suffixes under which strangers register names.
@@ -100,16 +103,43 @@ def host_reputation(outcomes: DataFrame, shared: Sequence[str] = SHARED_SUFFIXES
     return level.select("host", "n", "k", F.col("m").alias("posterior_mean"), posterior_bound(F.col("m"), F.col("n") + c).alias("posterior_bound"))
 
 
-def judge_pages(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]] = RULES, block_at: float = 0.5) -> DataFrame:
-    """pages: page_id, url; labels: doc_id (the page's id), quality, toxic. A page is bad if toxic is 1 or quality 0."""
+def worst_bound(known: DataFrame, rate: float, budget: float, least: int) -> int | None:
+    """known: host, n, k, pages, posterior_bound. The lowest bound, in steps of 1 / STEPS, that hosts worse than the corpus may have so that those from it on hold ``budget`` of all pages at most; None if no bound is so high.
+
+    A histogram of bounds has STEPS + 1 rows at most, however many hosts there are.
+    """
+    all_pages = known.agg(F.coalesce(F.sum("pages"), F.lit(0))).first()[0]
+    bins = known.filter(_stands_out(rate, least)).groupBy(_step().alias("step")).agg(F.sum("pages").alias("pages"))
+    upto = bins.withColumn("pages", F.sum("pages").over(Window.partitionBy(F.lit(1)).orderBy(F.desc("step"))))
+    return upto.filter(F.col("pages") <= budget * all_pages).agg(F.min("step")).first()[0]
+
+
+def _step() -> Column:
+    return F.floor(F.col("posterior_bound") * STEPS)
+
+
+def _stands_out(rate: float, least: int) -> Column:
+    """Enough labelled pages, and more of them bad than in the corpus."""
+    return (F.col("n") >= least) & (F.col("k") > F.col("n") * rate)
+
+
+def judge_pages(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]] = RULES, block_at: float = 0.5, budget: float = 0.15, least: int = 3) -> DataFrame:
+    """pages: page_id, url; labels: doc_id (the page's id), quality, toxic. A page is bad if toxic is 1 or quality 0.
+
+    Pages without a rule are blocked if their host's bound reaches block_at, or is among the worst: hosts with at least ``least`` labelled pages
+    and a rate above the corpus', by falling bound, as long as they hold ``budget`` of all pages at most; equal bounds go together.
+    """
     bad = (F.coalesce(F.col("toxic"), F.lit(0)) == 1) | (F.coalesce(F.col("quality"), F.lit(1)) == 0)
     seen = labels.groupBy(F.col("doc_id").alias("page_id")).agg(F.count("*").alias("n"), F.sum(bad.cast("long")).alias("k"))
     parsed = pages.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
-    outcomes = parsed.select("page_id", "host").join(seen, "page_id", "left").groupBy("host").agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("n", "k")))
-    known = host_reputation(stored(outcomes, "host-outcomes"))
+    outcomes = stored(parsed.select("page_id", "host").join(seen, "page_id", "left").groupBy("host").agg(F.count("*").alias("pages"), *(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("n", "k"))), "host-outcomes")
+    known = stored(host_reputation(outcomes).join(outcomes.select("host", "pages"), "host"), "reputation")
+    rate = known.agg(F.coalesce(F.sum("k") / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.0))).first()[0]
+    cut = worst_bound(known, rate, budget, least)
     rule, verdict = match_rules(F.col("host"), F.col("path"), rules)
+    blocked = (F.col("posterior_bound") >= block_at) | (F.lit(False) if cut is None else _stands_out(rate, least) & (_step() >= cut))
     return parsed.join(known, "host").select(
         "page_id", "host", "path", rule.alias("rule"),
-        F.coalesce(verdict, F.when(F.col("posterior_bound") >= block_at, "block").otherwise("allow")).alias("verdict"),
+        F.coalesce(verdict, F.when(blocked, "block").otherwise("allow")).alias("verdict"),
         F.col("n").alias("n_labelled"), F.col("k").alias("n_bad"), F.round("posterior_bound", 4).alias("posterior_bound"),
     )

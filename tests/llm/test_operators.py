@@ -100,6 +100,19 @@ def test_bad_host_is_blocked_and_rare_one_is_shrunk(spark):
     assert got["bad.site.example"] == "block" and got["rare.site.example"] == "allow"
 
 
+def test_query_blocks_by_reputation(spark, sf):
+    got = QUERIES["op1_url_filters"](spark, sf).filter("rule is null")
+    assert {r.verdict for r in got.collect()} == {"allow", "block"}
+
+
+def test_worst_hosts_fit_the_budget(spark):
+    rows = [("a", 10, 9, 10, 0.6), ("b", 10, 8, 20, 0.5), ("c", 10, 8, 30, 0.5), ("d", 10, 7, 40, 0.4), ("few", 2, 2, 1, 0.9), ("good", 10, 0, 899, 0.7)]
+    known = spark.createDataFrame(rows, "host string, n long, k long, pages long, posterior_bound double")
+    cut = lambda budget: url_filters.worst_bound(known, 0.1, budget, 3)
+    assert [cut(b) for b in (0.001, 0.01, 0.03, 0.06, 0.1, 1.0)] == [None, 6000, 6000, 5000, 4000, 4000]  # equal bounds go together
+    assert url_filters.worst_bound(known.limit(0), 0.0, 0.1, 3) is None
+
+
 def test_suffixes_and_domains(spark):
     hosts = {"a.b.example.co.uk": ("co.uk", "example.co.uk"), "x.gov.uk": ("gov.uk", "x.gov.uk"), "shop.com.cn": ("com.cn", "shop.com.cn"), "www.me.github.io": ("github.io", "me.github.io"), "www.example.com": ("com", "example.com"), "co.uk": ("co.uk", "co.uk"), "localhost": ("localhost", "localhost"), "10.0.0.1": ("1", "10.0.0.1"), "": ("", "")}
     suffix = url_filters._suffix(F.col("h"), url_filters.SHARED_SUFFIXES)
@@ -164,6 +177,37 @@ def test_preferences(spark, sf):
     assert chat_formatting.format_preferences(turns.limit(0), F.col("conv_id"), F.lit(True)).count() == 0
 
 
+def plain_borrowed(turns):
+    convs = defaultdict(list)
+    for conv, turn, role, text in turns:
+        if conv is not None:
+            convs[conv].append(((turn is not None, turn or 0), role or "", text or ""))
+    last = {c: max(((t, x) for t, r, x in ts if r == "assistant"), default=None) for c, ts in convs.items()}
+    both = []
+    for c, ts in convs.items():
+        if last[c] and last.get(c + 1):
+            both += [(2 * c, t[1] if t[0] else None, r, x) for t, r, x in ts]
+            both += [(2 * c + 1, t[1] if t[0] else None, r, last[c + 1][1] if r == "assistant" and (t, x) == last[c] else x) for t, r, x in sorted(ts)]
+    rows = list(plain_pairs([r for r in both if r[0] % 2 == 0] + [r for r in both if r[0] % 2]))
+    return [(p, p, p + 1, *rest) for p, _, _, *rest in rows]
+
+
+def test_borrowed_endings(spark, sf):
+    turns = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    more = [(10**6, 0, "user", "hi"), (10**6, 1, "assistant", "yes"), (10**6 + 1, 0, "user", "hi"), (10**6 + 1, None, "assistant", "first"), (10**6 + 1, 3, "assistant", "no"), (10**6 + 1, 3, "assistant", "no"), (10**6 + 2, 0, "user", "alone"), (10**6 + 3, 1, "assistant", "x"), (None, 0, "assistant", "x"), (10**6 + 4, None, "assistant", None)]
+    turns = turns.unionByName(spark.createDataFrame(more, turns.schema)).withColumn("last", F.lit("clash"))
+    made = chat_formatting.borrowed_endings(turns, F.col("conv_id") + 1)
+    same(made, plain_borrowed([(r.conv_id, r.turn, r.role, r.text) for r in turns.collect()]))
+    r = made.filter("pair_id = 1000000").first()
+    assert (r.n_common, r.prompt, r.chosen, r.rejected) == (1, "<|user|>\nhi<|end|>\n", "<|assistant|>\nyes<|end|>\n", "<|assistant|>\nno<|end|>\n")
+    assert chat_formatting.borrowed_endings(turns.limit(0), F.col("conv_id") + 1).count() == 0
+
+
+def test_query_pairs_share_turns(spark, sf):
+    got = QUERIES["op2_chat_formatting"](spark, sf)
+    assert got.count() > 0 and got.filter("n_common = 0 or prompt = ''").count() < 0.1 * got.count()
+
+
 # -- op3
 
 
@@ -346,8 +390,9 @@ def plain_model(texts, order=5):
 
     def p(g):
         if g not in known:
-            c, ctx = levels[len(g)][g], g[:-1]
-            known[g] = (c - cut[len(g)][min(c, 3) - 1]) / total[ctx] + left[ctx] / total[ctx] * p(g[1:])
+            c, ctx = levels[len(g)].get(g, 0), g[:-1]
+            own = (c - cut[len(g)][min(c, 3) - 1]) / total[ctx] if c else 0
+            known[g] = own + (left[ctx] / total[ctx] if ctx in total else 1) * p(g[1:])
         return known[g]
 
     def mean(t):
@@ -360,6 +405,12 @@ def plain_model(texts, order=5):
     return mean, sqrt(sum(c[g] * v * v for g, v in every.items()) / n - middle * middle)
 
 
+def fold_of(lang, text):
+    import xxhash
+
+    return xxhash.xxh64_intdigest(text.encode(), xxhash.xxh64_intdigest(lang.encode(), 42)) % 2
+
+
 def plain_verdicts(rows):
     """doc_id, kept (None within rounding of a band's edge), log probability of each of rows: doc_id, text, lang."""
     from statistics import median
@@ -369,15 +420,17 @@ def plain_verdicts(rows):
         texts[x or ""].add(t or "")
     failed = {t: (c := plain_counts(t))[0] < 50 or 100 * c[4] > 50 * c[0] for group in texts.values() for t in group}
     for x, group in texts.items():
-        mean, deviation = plain_model(group)
-        means = {t: mean(t) for t in group}
-        at = [round(means[t] * 4096) / 4096 for t in group if not failed[t]]
-        centre = median(at) if at else None
-        spread = 1.4826 * median(abs(a - centre) for a in at) if at else None
+        folds = [{t for t in group if fold_of(x, t) == k} for k in (0, 1)]
+        models = [plain_model(f) if f else None for f in folds]
+        deviation = sum(m[1] for m in models if m) / sum(map(bool, models))
+        means = {t: models[1 - k][0](t) if models[1 - k] else None for k in (0, 1) for t in folds[k]}
+        at = [round(means[t] * 4096) / 4096 for t in group if not failed[t] and means[t] is not None]
+        centre = median(at) if len(at) >= 20 else None
+        spread = 1.4826 * median(abs(a - centre) for a in at) if centre is not None else None
         for i, t, y in rows:
             if (y or "") == x:
                 t = t or ""
-                room = None if centre is None else 3 * spread + 4 * deviation / (len(t) + 1) ** 0.5 - abs(means[t] - centre)
+                room = None if centre is None or means[t] is None else 3 * spread + 2 * deviation / (len(t) + 1) ** 0.5 - abs(means[t] - centre)
                 out.append((i, False if failed[t] else True if room is None else None if abs(room) < 1e-3 else room > 0, means[t]))
     return out
 
@@ -393,7 +446,7 @@ def test_quality(docs, local, empty):
     of = {r.doc_id: (r.kept, r.log_prob) for r in got}
     verdicts = plain_verdicts(local)
     for i, kept, mean in verdicts:
-        assert of[i][1] == pytest.approx(mean, abs=1e-5)
+        assert of[i][1] is None if mean is None else of[i][1] == pytest.approx(mean, abs=1e-5)
         assert kept is None or of[i][0] == kept
     assert {k for _, k, _ in verdicts} >= {True, False} and sum(k is None for _, k, _ in verdicts) < 5
     assert quality_rules.judge(empty).count() == 0 and quality_rules.keep_good(empty).count() == 0
@@ -413,7 +466,7 @@ def test_quality_by_join_is_the_same(docs):
 def test_quality_of_many_languages_is_the_same(docs, monkeypatch):
     a = {r.doc_id: r.log_prob for r in quality_rules.judge(docs).collect()}
     monkeypatch.setattr(quality_rules, "BROADCAST_LANGS", 0)
-    assert {r.doc_id: pytest.approx(r.log_prob, abs=1e-6) for r in quality_rules.judge(docs).collect()} == a
+    assert {r.doc_id: r.log_prob and pytest.approx(r.log_prob, abs=1e-6) for r in quality_rules.judge(docs).collect()} == a
 
 
 def test_copies_move_neither_model_nor_band(spark, local):
@@ -438,12 +491,37 @@ def test_thousand_copies_are_judged_alike_on_all_paths(spark, local):
         assert len(got) == len(base) + 1000 and {(r.doc_id, r.kept, r.log_prob) for r in got} == a
         assert quality_rules.keep_good(copies, **options).count() == sum(r.kept for r in got)
     distinct = quality_rules.distinct_rows(copies)
-    _, _, values = quality_rules.train(copies, distinct)
-    sizes = {r.key: r.size for r in quality_rules._joined_means(distinct, values).collect()}
+    _, bands, held = quality_rules.train(copies, distinct)
+    sizes = {r.key: r.size for r in quality_rules._joined_means(distinct, quality_rules.held_out_values(held, bands)).collect()}
     keys = {r.text: r.key for r in copies.select("text", quality_rules.row_key().alias("key")).distinct().collect()}
     assert sizes == {keys[t]: len(t) + 1 for t in base}
 
 
+def planted(local):
+    """Texts of sf0.01's kind and what does not belong among them: keyboard noise, shuffled words, texts under another language's label."""
+    rng = random.Random(11)
+    clean = [(t, x) for t, x in local if len(WORDS.findall(t)) >= 60]
+    pick = rng.sample(clean, 150)
+    noise = [(" ".join("".join(rng.choice("qwertyuiopasdfghjklzxcvbnm;") for _ in range(rng.randint(2, 9))) for _ in range(120)), x) for _, x in pick[:50]]
+    wrong = [(t, next(y for y in ("en", "fr", "de", "es") if y != x)) for t, x in pick[50:100]]
+    mixed = [(" ".join(rng.sample(w := WORDS.findall(t), len(w))), x) for t, x in pick[100:]]
+    return clean, {"noise": noise, "wrong language": wrong, "shuffled": mixed}
+
+
+def test_bands_reject_what_is_planted(spark):
+    local = [(r.text, r.lang) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect() if r.text]
+    clean, more = planted(local)
+    rows = [(i, t, x) for i, (t, x) in enumerate([*local, *(r for rs in more.values() for r in rs)])]
+    kept = {r.doc_id: r.kept for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    at, share = len(local), {}
+    for kind, rs in more.items():
+        past = [i for i, (t, _) in enumerate(rs, at) if not (c := plain_counts(t))[0] < 50 and 100 * c[4] <= 50 * c[0]]
+        share[kind], at = sum(not kept[i] for i in past) / len(past), at + len(rs)
+    own = [kept[i] for i, (t, _) in enumerate(local) if not (c := plain_counts(t))[0] < 50 and 100 * c[4] <= 50 * c[0]]
+    print("rejected of planted", share, "own texts kept", sum(own) / len(own))
+    assert share["noise"] >= 0.9 and share["wrong language"] >= 0.75 and sum(own) / len(own) >= 0.95
+
+
 def test_unseen_text_backs_off(spark):
     import numpy as np
 
@@ -451,7 +529,9 @@ def test_unseen_text_backs_off(spark):
     train = spark.createDataFrame([("en", base)] * 3, "lang string, text string")
     model, bands, _ = quality_rules.train(train)
     m = quality_rules.Model(quality_rules._uri(model), quality_rules._uri(bands))
-    seen, unseen, noise = m.means("en", ["the cat sat on the mat", "a cat hat sat dog", "qzxj #### vvkw"])[0]
+    (name,) = m.bands  # copies fall into one fold
+    assert name in ("en\x1f0", "en\x1f1")
+    seen, unseen, noise = m.means(name, ["the cat sat on the mat", "a cat hat sat dog", "qzxj #### vvkw"])[0]
     assert seen > unseen > noise and np.isfinite(noise)
 
 
@@ -626,6 +706,20 @@ def test_surrogates(docs, local, empty):
     assert pii.luhn(re.search(r"card (\d+)", text)[1])
 
 
+ODD_NAMES = "doc_id long, text string, `content type` string, `it's``q` struct<`content type`:long,`x,y`:string>, `a.b` array<int>, `c0` int, `_key` int"
+
+
+def test_columns_of_any_name_pass(spark):
+    rows = [(1, "Mail anna.b@mail.example.com", "t", (3, "z"), [1], 5, 6), (2, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, ODD_NAMES)
+    made, column = pii.checked_surrogates(df, KEY)
+    assert made.columns == [*df.columns, column] and made.schema[3].dataType == df.schema[3].dataType
+    first = made.filter("doc_id = 1").first()
+    assert first["it's`q"]["content type"] == 3 and first["a.b"] == [1] and "anna.b@" not in first.text
+    kept = quality_rules.keep_good(df.withColumn("lang", F.lit("en")))
+    assert kept.columns == [*df.columns, "lang"] and kept.count() == 0
+
+
 def test_clashes_are_errors(docs, monkeypatch):
     monkeypatch.setattr(pii, "collisions", lambda made, column: made.select(F.lit("email").alias("kind")))
     with pytest.raises(ValueError):
