@@ -3,8 +3,10 @@
 An entity has a normal form: emails and names without case, phones, cards and
 ibans without separators. Each kind of entity has a finite domain of its own
 format (digits stay digits, vowels vowels, each in its script; card numbers keep
-a valid or an invalid check digit; addresses stay addresses; first names stay in
-their gender). In it a normal form x becomes P^-1(P(x) + 1) for a keyed
+a valid or an invalid check digit; phones keep their country, addresses the block
+that says their purpose; first names stay in their gender). Names are known by a title,
+by a listed first name, or by what stands before them ("my name is"); a name
+found so is found again where it stands alone in that text. In it a normal form x becomes P^-1(P(x) + 1) for a keyed
 permutation P: one cycle over the domain. So the same entity has the same
 surrogate everywhere (coreference), two entities never share one (distinctness),
 and none is its own surrogate, without any table of entities. The surface's case
@@ -26,6 +28,7 @@ time linear in their length.
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 import unicodedata
 from functools import lru_cache
@@ -48,18 +51,29 @@ FIRST_NAMES = {
 }
 _TITLES = r"(?:Mrs?|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señora|Señor|Sra|Sr|Don|Doña)\.?"
 _LETTERS = r"[^\W\d_]"
+#: What stands before somebody's own name.
+CUES = ("my name is", "name is", "Name:", "Author:", "signed by", "Signed:", "je m'appelle", "mon nom est", "Nom:", "ich heiße", "mein Name ist", "me llamo", "mi nombre es", "Nombre:", "меня зовут", "Имя:", "με λένε", "Όνομα:", "我叫", "姓名:", "姓名：")
+#: Calling codes of one and of two digits; all others have three.
+CODES = (*"17", *"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+#: Address blocks of a purpose of their own, (first, bits).
+BLOCKS = (("0.0.0.0", 8), ("10.0.0.0", 8), ("100.64.0.0", 10), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.168.0.0", 16), ("224.0.0.0", 4), ("240.0.0.0", 4))
+_SURNAME = rf"[^\W\d_a-z]{_LETTERS}*(?:['’-]{_LETTERS}+)+|[^\W\d_a-z]{_LETTERS}+"
+_CUE = "(?:" + "|".join(sorted({w for c in CUES for w in (c, c[:1].upper() + c[1:])}, key=lambda c: (-len(c), c))) + ") *"
+_NAMED = rf"[\u4e00-\u9fff]{{2,3}}(?![\u4e00-\u9fff])|(?:{_SURNAME})(?: (?:{_SURNAME})){{1,3}}"
 _ALL_FIRST = frozenset(n.lower() for names in FIRST_NAMES.values() for n in names)
 _FIRST = "|".join(sorted({w for names in FIRST_NAMES.values() for n in names for w in (n, n.upper())}, key=lambda n: (-len(n), n)))
 #: Kind and regex, in order of precedence. No character may stand before a match that could be part of it, so a run is tried once.
 KINDS = (
-    ("email", r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w-])"),
+    ("email", r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[^\W_]|-)+(?:\.(?:[^\W_]|-)+)*\.[A-Za-z]{2,}(?![\w-])"),
     ("iban", r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?!\w)"),
     ("card", r"(?<![\w.])[3-6][0-9]{3}(?:[0-9]{9,12}|(?:[ -][0-9]{4}){3})(?![\w]|\.[0-9])"),
     ("ssn", r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"),
-    ("phone", r"(?<![\w+])\+[0-9]{1,3}(?:(?:[ .-]?(?:\([0-9]\)|[0-9](?=[ .-]))){0,2}[ .-]?\(?[0-9]{2,4}\)?){2,5}(?!\w)|(?<![\w+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![\w-])"),
+    ("phone", r"(?<![\w+])\+[0-9]{1,3}(?:(?:[ .-]?(?:\([0-9]\)|[0-9](?=[ .-]))){0,2}[ .-]?\(?[0-9]{2,4}\)?){2,5}(?!\w)|(?<![\w+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![\w-])|(?<![\w+.-])0[0-9]{1,4}[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![\w-])"),
+    ("ipv6", r"(?<![\w:.])(?:[23][0-9A-Fa-f]{3}|[Ff][CcDdEe][0-9A-Fa-f]{2})(?::[0-9A-Fa-f]{1,4}){7}(?![\w:])|(?<![\w:.])(?:[23][0-9A-Fa-f]{3}|[Ff][CcDdEe][0-9A-Fa-f]{2})(?::[0-9A-Fa-f]{1,4}){0,6}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?(?![\w:])"),
     ("ip", r"(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?!\w|\.[0-9])"),
-    ("titled", rf"(?<!\w){_TITLES} +(?:(?:{_FIRST}) +)?[^\W\d_a-z]{_LETTERS}+(?!\w)"),
-    ("name", rf"(?<!\w)(?:{_FIRST}) +[^\W\d_a-z]{_LETTERS}+(?!\w)"),
+    ("titled", rf"(?<!\w){_TITLES} +(?:(?:{_FIRST}) +)?(?:{_SURNAME})(?!\w)"),
+    ("named", rf"(?<!\w){_CUE}(?:{_NAMED})(?![^\W\u4e00-\u9fff])"),
+    ("name", rf"(?<!\w)(?:{_FIRST}) +(?:{_SURNAME})(?!\w)"),
 )
 
 
@@ -105,7 +119,7 @@ def _isqrt(n: int) -> int:
 
 
 #: Alphabets within which letters may change: no vowel becomes a consonant, no script another.
-_ALPHABETS = ("0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "àáâäèéêëìíîïòóôöùúûü", "ÀÁÂÄÈÉÊËÌÍÎÏÒÓÔÖÙÚÛÜ", "çñß", "ÇÑ", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "АЕИОУЭЮЯ", "БВГДЖЗЙКЛМНПРСТФХЦЧШЩ")
+_ALPHABETS = ("0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "àáâäèéêëìíîïòóôöùúûü", "ÀÁÂÄÈÉÊËÌÍÎÏÒÓÔÖÙÚÛÜ", "çñß", "ÇÑ", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "АЕИОУЭЮЯ", "БВГДЖЗЙКЛМНПРСТФХЦЧШЩ", "αεηιουω", "άέήίόύώ", "βγδζθκλμνξπρστφχψ", "ς", "ΑΕΗΙΟΥΩ", "ΆΈΉΊΌΎΏ", "ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ")
 _CLASS = {c: a for a in _ALPHABETS for c in a}
 
 
@@ -154,6 +168,31 @@ def _permute(key: bytes, domain: str, text: str, ok=None, fixed: int = 0, first:
             return made
 
 
+def _block(n: int) -> tuple[int, int] | None:
+    """(first, size) of the block of its own purpose that an address is in."""
+    for first, bits in BLOCKS:
+        start, size = int.from_bytes(bytes(map(int, first.split("."))), "big"), 2 ** (32 - bits)
+        if start <= n < start + size:
+            return start, size
+    return None
+
+
+def _next_address(key: bytes, n: int) -> int:
+    """Another address of the same block, or another outside all of them."""
+    if block := _block(n):
+        return block[0] + Permutation(key, f"ip{block[0]}", block[1]).next(n - block[0])
+    p = Permutation(key, "ip", 2**32)
+    n = p.next(n)
+    while _block(n):
+        n = p.next(n)
+    return n
+
+
+def _code(phone: str) -> int:
+    """Digits of the calling code."""
+    return next((k for k in (1, 2) if phone[1 : 1 + k] in CODES), 3)
+
+
 def _mask(key: bytes, domain: str, text: str) -> str:
     return f"[{domain}-{hashlib.blake2b(text.encode(), key=key[:64], digest_size=10).hexdigest()}]"
 
@@ -196,12 +235,19 @@ def normal(kind: str, text: str) -> str:
         return re.sub("[ -]", "", text)
     if kind == "phone":
         return re.sub(r"[^0-9+]", "", _TRUNK.sub("", text) if text.startswith("+") else text)
-    if kind in ("name", "titled"):
-        words = text.split()
-        return " ".join(map(_lower, words[kind == "titled" :]))
+    if kind == "ipv6":
+        return ipaddress.IPv6Address(text).compressed
+    if kind in ("name", "titled", "named"):
+        words = _bare(text).split() if kind == "named" else text.split()[kind == "titled" :]
+        return " ".join(map(_lower, words))
     return text
 
 
+def _bare(text: str) -> str:
+    """A name without the cue before it."""
+    return text[re.match(_CUE, text).end() :]
+
+
 @lru_cache(maxsize=50_000)
 def next_normal(key: bytes, kind: str, text: str) -> str:
     """The normal form that stands for another one."""
@@ -216,10 +262,13 @@ def next_normal(key: bytes, kind: str, text: str) -> str:
         return _permute(key, f"card{good}", text, lambda s: luhn(s) == good, fixed=1)
     if kind == "ip":
         n = int.from_bytes(bytes(map(int, text.split("."))), "big")
-        return ".".join(map(str, Permutation(key, "ip", 2**32).next(n).to_bytes(4, "big")))
-    if kind == "phone":
-        return _permute(key, "phone", text, fixed=2 if text.startswith("+") else 0)
-    if kind in ("name", "titled"):
+        return ".".join(map(str, _next_address(key, n).to_bytes(4, "big")))
+    if kind == "ipv6":  # the first sixteen bits say what kind of address it is
+        head, rest = divmod(int(ipaddress.IPv6Address(text)), 2**112)
+        return ipaddress.IPv6Address(head * 2**112 + Permutation(key, f"ipv6{head}", 2**112).next(rest)).compressed
+    if kind == "phone":  # the country, or the zero before an area, stays
+        return _permute(key, "phone", text, fixed=1 + _code(text) if text.startswith("+") else int(text.startswith("0")))
+    if kind in ("name", "titled", "named"):
         return " ".join(_next_word(key, w) for w in text.split(" "))
     return _permute(key, kind, text)
 
@@ -248,6 +297,8 @@ def surrogate(key: bytes, kind: str, text: str) -> str:
         return _cased(made, text)
     if kind in ("iban", "card", "phone"):
         return _spaced(made, text)
+    if kind == "named":
+        return text[: len(text) - len(_bare(text))] + surrogate(key, "name", _bare(text))
     if kind in ("name", "titled"):
         words, new = re.split(r"(\s+)", text), iter(made.split(" "))
         at = 2 if kind == "titled" else 0
@@ -257,20 +308,44 @@ def surrogate(key: bytes, kind: str, text: str) -> str:
 
 _ANY = re.compile("|".join(f"(?P<{kind}>{regex})" for kind, regex in KINDS))
 #: A text without any of these has no entity.
-_HINT = re.compile(rf"@|[0-9]{{3}}|[0-9]\.[0-9]|\+[0-9]|[A-Z]{{2}}[0-9]{{2}}|{_TITLES} |(?:{_FIRST}) ")
+_HINT = re.compile(rf"@|[0-9]{{3}}|[0-9]\.[0-9]|\+[0-9]|[A-Z]{{2}}[0-9]{{2}}|[23Ff][0-9A-Fa-f]{{3}}:|{_TITLES} |(?:{_FIRST}) |{_CUE}")
+
+
+def _mentions(text: str, names: set[str], taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Where names that a cue gave stand elsewhere in the text, clear of what is taken (in order)."""
+    import ahocorasick
+
+    auto = ahocorasick.Automaton()
+    for n in names:
+        auto.add_word(n, len(n))
+    auto.make_automaton()
+    out, i, free = [], 0, 0
+    for end, size in auto.iter_long(text):
+        start, end = end - size + 1, end + 1
+        while i < len(taken) and taken[i][1] <= start:
+            i += 1
+        han = "\u4e00" <= text[start] <= "\u9fff"
+        alone = han or not ((start and (text[start - 1].isalnum() or text[start - 1] == "_")) or (end < len(text) and (text[end].isalnum() or text[end] == "_")))
+        if alone and start >= free and (i == len(taken) or end <= taken[i][0]):
+            out.append((start, end, "name"))
+            free = end
+    return out
 
 
 def replace(text: str, key: bytes) -> tuple[str, list[tuple[str, str, str, int]]]:
     """The text with surrogates, and (kind, original, surrogate, place in the result)."""
     if not _HINT.search(text):
         return text, []
+    spans = [(m.start(), m.end(), m.lastgroup) for m in _ANY.finditer(text)]
+    if names := {_bare(text[a:b]) for a, b, kind in spans if kind == "named"}:
+        spans = sorted([*spans, *_mentions(text, names, spans)])
     out, found, last, size = [], [], 0, 0
-    for m in _ANY.finditer(text):
-        new = surrogate(key, m.lastgroup, m[0])
-        out += [text[last : m.start()], new]
-        size += m.start() - last
-        found.append((m.lastgroup, m[0], new, size))
-        size, last = size + len(new), m.end()
+    for start, end, kind in spans:
+        new = surrogate(key, kind, text[start:end])
+        out += [text[last:start], new]
+        size += start - last
+        found.append((kind, text[start:end], new, size))
+        size, last = size + len(new), end
     return ("".join([*out, text[last:]]), found) if found else (text, [])
 
 
@@ -302,7 +377,7 @@ def with_surrogates(docs: DataFrame, key: bytes, audit: str | None = None) -> Da
 
 def collisions(audited: DataFrame, column: str) -> DataFrame:
     """Surrogates that stand for several entities, entities with several surrogates, and ones that are their own, over a whole corpus."""
-    kind = F.when(F.col("e.kind") == "titled", "name").otherwise(F.col("e.kind")).alias("kind")
+    kind = F.when(F.col("e.kind").isin("titled", "named"), "name").otherwise(F.col("e.kind")).alias("kind")
     pairs = audited.select(F.explode(column).alias("e")).select(kind, "e.normal", "e.becomes").distinct()
     by = lambda one, other: pairs.groupBy("kind", F.col(one).alias("value")).agg(F.count(other).alias("n")).filter("n > 1")
     return by("becomes", "normal").unionByName(by("normal", "becomes")).unionByName(pairs.filter("normal = becomes").select("kind", F.col("normal").alias("value"), F.lit(1).cast("long").alias("n")))
