@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.llm.shared import ALNUM, in_slices, stored
+from foliospark.llm.shared import ALNUM, by_place, in_slices, stored
 
 SIZE, PERMUTATIONS = 5, 48
 #: Runs of ASCII letters and digits and of bytes beyond ASCII.
@@ -208,5 +208,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, blo
                 bad[[d for d, *_ in _index(token, held).search(b.column(at).to_pylist(), least)]] = True
                 yield b.filter(pa.array(~bad))
 
-        docs = docs.mapInArrow(run, schema)
+        docs = by_place(docs, run, schema)
     return docs

@@ -882,22 +882,61 @@ def test_bpe_on_random_text():
 # -- pipeline
 
 
-def test_pipeline_stages_decide(spark, sf):
+DOCUMENT = "doc_id long, text string, lang string, source string, n_chars long, row_no long, `content type` string, `c0` int, _key string, key long"
+
+
+def pipeline_folder(spark, sf, tmp_path, rows):
+    docs = spark.createDataFrame([(i, t, x, "s", len(t or ""), n, "t", 7, "clash", n) for n, (i, t, x) in enumerate(rows)], DOCUMENT)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{sf}/benchmark.parquet").withColumn("doc_id", F.lit(3)).write.parquet(str(tmp_path / "benchmark.parquet"))
+    return docs
+
+
+def test_pipeline_against_plain_stages(spark, sf, tmp_path, local):
+    """Each stage on what the one before kept, against a plain version of its decision; odd rows and columns of clashing names among them."""
+    import corpus_pipeline
+
+    near = [(10**7 + i, local[k][1], "en") for i, k in enumerate((0, 0, 3, 5))]
+    docs = pipeline_folder(spark, sf, tmp_path, [*local, *near])
+    steps, folder = dict(corpus_pipeline.STAGES), str(tmp_path)
+    items = [plain_shingles(r.text) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    held, before = {}, docs
+    for name in ("quality rules", "near dedup", "decontamination", "pii surrogates"):
+        steps[name](spark, before, folder).write.parquet(f"{folder}/{name}")
+        before = spark.read.parquet(f"{folder}/{name}")
+        assert before.columns == docs.columns
+        held[name] = before.collect()
+    kept = {r.row_no for r in held["quality rules"]}
+    verdicts = plain_verdicts([(r.row_no, r.text, r.lang) for r in docs.collect()])
+    assert all((i in kept) == v for i, v, _ in verdicts if v is not None) and 0 < len(kept) < len(verdicts)
+    fps = {r.row_no: plain_fp(r.text) for r in held["quality rules"]}
+    root = plain_components(list(fps.values()))
+    groups = defaultdict(list)
+    for r in held["quality rules"]:
+        groups[root[fps[r.row_no]]].append((r.doc_id is None, r.doc_id or 0))
+    stay = defaultdict(list)
+    for r in held["near dedup"]:
+        stay[root[fps[r.row_no]]].append((r.doc_id is None, r.doc_id or 0))
+    assert {g: [min(v)] for g, v in groups.items()} == dict(stay) and len(stay) < len(kept)
+    clean = {r.row_no for r in held["near dedup"] if not any(s and len(s & plain_shingles(r.text)) >= 0.8 * len(s) for s in items)}
+    assert {r.row_no for r in held["decontamination"]} == clean and len(clean) < len(stay)
+    from foliospark.llm.queries import DEMO_KEY
+
+    was = {r.row_no: r.text for r in held["decontamination"]}
+    assert {r.row_no: (r.text, r.n_chars) for r in held["pii surrogates"]} == {n: (new := pii.replace(t, DEMO_KEY)[0], len(new)) for n, t in was.items()}
+    theirs = reference_tokenizer()
+    got = sorted((tuple(r.ids), r.n_tokens) for r in corpus_pipeline.run(spark, folder).collect())
+    assert got == sorted((tuple(e.ids), len(e.ids)) for e in (theirs.encode(r.text, add_special_tokens=False) for r in held["pii surrogates"]))
+
+
+def test_pipeline_of_nothing_and_of_odd_rows_alone(spark, sf, tmp_path):
     import corpus_pipeline
 
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    steps = dict(corpus_pipeline.STAGES)
-    good = steps["quality rules"](spark, docs, sf)
-    assert good.columns == docs.columns and 0 < good.count() < docs.count()
-    one = steps["near dedup"](spark, good, sf)
-    assert one.columns == docs.columns and 0 < one.count() < good.count()
-    clean = steps["decontamination"](spark, one, sf)
-    assert clean.columns == docs.columns and clean.count() <= one.count()
-    last = corpus_pipeline.run(spark, sf)
-    assert last.count() == clean.count()
-    t = bpe.tokenizer(vocabulary())
-    texts = {r.doc_id: r.text for r in steps["pii surrogates"](spark, clean, sf).collect()}
-    assert all(t.decode(r.ids).decode() == texts[r.doc_id] for r in last.collect())
+    for name, rows in (("none", []), ("odd", [(None, None, None), (1, "", "en"), (1, "", "en"), (2, "one", None)])):
+        (tmp_path / name).mkdir()
+        pipeline_folder(spark, sf, tmp_path / name, rows)
+        out = corpus_pipeline.run(spark, str(tmp_path / name))
+        assert out.count() == 0 and out.columns[:2] == ["doc_id", "n_tokens"]
 
 
 def test_queries_carry_contract_columns(spark, sf):
