@@ -1,4 +1,12 @@
-"""A corpus from raw documents to token ids, in five stages that each work on all the one before kept."""
+"""A corpus from raw documents to token ids, in five stages that each work on all the one before kept.
+
+Defined cases: every stage goes by rows, so ids may be null or repeated. Null and empty
+texts fail the quality rules' plain counts and go; a null language is the language "". Of exact and near copies
+the row of the smallest id stays, of a row that is wholly repeated one. All stages but the last return all columns of
+documents, whatever further ones there are and whatever their names (n_chars is counted anew where texts change);
+the last returns doc_id, n_tokens, ids_sha256, decoded_sha256, ids. An empty table gives an empty result. Texts of any length are
+read whole. Each stage's result is a table in the shared folder, so executors may be lost at any time.
+"""
 
 from __future__ import annotations
 
