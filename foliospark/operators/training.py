@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -163,7 +166,22 @@ def nearest_centroid(vectors: DataFrame, model: DataFrame, most_bytes: int = 16
     return found.withColumn("pred", F.col("_best.label")).drop("_best")
 
 
-def logistic_regression(vectors: DataFrame, seed: int = 7) -> DataFrame:
+def validation_curve(vectors: DataFrame, steps: Sequence[int] = (1, 5, 20, 100)) -> DataFrame:
+    """vectors as for logistic_regression. epoch (steps of the fit), val_loss, val_acc: the mean label-smoothed loss and the accuracy on val after so many steps, as early stopping reads them."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    data = vectors.withColumn("features", array_to_vector("embedding"))
+    train, val = data.filter("split = 'train'").persist(), data.filter("split = 'val'")
+    rows = []
+    for n in steps:  # a fit each, over all of train
+        scored = LogisticRegression(maxIter=n, labelCol="label", featuresCol="features").fit(train).transform(val)
+        loss = smoothed_loss(vector_to_array("rawPrediction"), F.col("label"))
+        rows.append(scored.agg(F.lit(n).cast("long").alias("epoch"), F.avg(loss).alias("val_loss"), F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("val_acc")))
+    return reduce(DataFrame.unionByName, rows)
+
+
+def logistic_regression(vectors: DataFrame) -> DataFrame:
     """vectors: vec_id, label, embedding, split. Fits on train, returns vec_id, label, pred of val."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector

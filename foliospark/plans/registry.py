@@ -14,6 +14,7 @@ from foliospark.functions import models
 from foliospark.functions import texts as x
 from foliospark.operators import components, lines, quality, raster, regions, report, training
 from foliospark.plans.fixtures import table, with_fixtures
+from foliospark.sources import files
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -487,6 +488,13 @@ def class_indices(s):
     return training.class_indices(s).select("sample_id", "class_name", "class_idx")
 
 
+@query("samples", sql="c as (select distinct class_name from samples) select cast(row_number() over (order by class_name)-1 as int) class_idx, class_name folder from c")
+def class_map(s):
+    """The class map as one JSON object, and read back from it."""
+    classes = training.class_indices(s.select("class_name").distinct()).select("class_idx", F.col("class_name").alias("folder"))
+    return files.parsed_class_map(files.class_map_json(classes), "json")
+
+
 @query("samples", sql="t as (select * from samples order by md5(file_name||'42'), file_name limit 9) select sample_id, file_name from t")
 def sample_images(s):
     return training.sample_images(s).select("sample_id", "file_name")

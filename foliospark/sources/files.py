@@ -95,8 +95,13 @@ def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
 
 def read_class_map(spark: SparkSession, path: str) -> DataFrame:
     """One JSON object of index to label -> class_idx, folder."""
-    whole = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("k", "folder"))
-    return whole.select(F.col("k").cast("int").alias("class_idx"), "folder")
+    return parsed_class_map(spark.read.text(path, wholetext=True), "value")
+
+
+def parsed_class_map(maps: DataFrame, column: str) -> DataFrame:
+    """The same from a column of such objects, as ``class_map_json`` makes them."""
+    each = maps.select(F.explode(F.from_json(column, "map<string,string>")).alias("k", "folder"))
+    return each.select(F.col("k").cast("int").alias("class_idx"), "folder")
 
 
 def read_summaries(spark: SparkSession, folder: str) -> DataFrame:

@@ -368,6 +368,44 @@ def test_thresholds_equal_those_of_pixel_rows(spark, sf):
 # -- models
 
 
+def softmax_fit(x, y, classes):
+    """An independent fit: Newton's steps on the cross-entropy with the least of a penalty."""
+    n, d = x.shape
+    x = np.c_[x, np.ones(n)]
+    w, target = np.zeros((d + 1, classes)), np.eye(classes)[y]
+    for _ in range(30):
+        z = x @ w
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        grad = (x.T @ (p - target) / n + 1e-4 * w).T.ravel()
+        hess = np.block([[x.T @ (x * (p[:, a] * ((a == b) - p[:, b]))[:, None]) / n + 1e-4 * (a == b) * np.eye(d + 1) for b in range(classes)] for a in range(classes)])
+        w -= np.linalg.solve(hess, grad).reshape(classes, d + 1).T
+    return w
+
+
+def test_logistic_regression_agrees_with_an_independent_fit(spark):
+    rng = np.random.default_rng(3)
+    y = rng.integers(0, 3, 600)
+    x = rng.normal(0, 1.0, (600, 5)) + 1.2 * np.eye(5)[y]
+    rows = [(i, int(y[i]), [float(v) for v in x[i]], "val" if i % 4 == 0 else "train") for i in range(600)]
+    v = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>, split string")
+    got = {r.vec_id: r.pred for r in training.logistic_regression(v).collect()}
+    train = np.arange(600) % 4 > 0
+    w = softmax_fit(x[train], y[train], 3)
+    want = (np.c_[x, np.ones(600)] @ w).argmax(1)
+    val = np.flatnonzero(~train)
+    agree = np.mean([got[i] == want[i] for i in val])
+    ours, theirs = (np.mean([p[i] == y[i] for i in val]) for p in (got, want))
+    assert agree >= 0.97 and abs(ours - theirs) <= 0.02
+    curve = training.validation_curve(v, (1, 20)).orderBy("epoch").collect()
+    assert curve[1].val_loss < curve[0].val_loss and abs(curve[1].val_acc - ours) < 1e-9
+    z = np.c_[x, np.ones(600)][val] @ w
+    log_p = z - np.log(np.exp(z).sum(1, keepdims=True))
+    smooth = -(0.92 * log_p[np.arange(len(val)), y[val]] + 0.08 * log_p.mean(1)).mean()
+    assert abs(curve[1].val_loss - smooth) < 0.02
+    assert training.replay_early_stop(training.validation_curve(v, (1, 20))).count() == 2
+
+
 def test_model_columns_pass_whatever_their_names(spark):
     df = spark.createDataFrame([(1, (2, "a"), [1])], "v long, `odd ``name` struct<`content type`:long,`x y`:string>, `a.b` array<int>")
     got = models.score_partitions(df, lambda: 3, lambda m, b: b["v"] * m, "w long", "triple").first()
