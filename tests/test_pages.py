@@ -177,7 +177,8 @@ def test_streams_equal_batch(spark, sf, tmp_path):
         (tmp_path / "ord" / f"{i}.parquet").write_bytes(next((tmp_path / f"o{i}").glob("part*")).read_bytes())
         os.utime(tmp_path / "ord" / f"{i}.parquet", (1e9 + i, 1e9 + i))
     live = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "ord"))
-    q = jobs.until_terminal_stream(live).writeStream.outputMode("append").format("memory").queryName("stopped").trigger(availableNow=True).start()
+    with jobs.keyed_state(spark):
+        q = jobs.until_terminal_stream(live, keep_ms=10 * 365 * 86_400_000).writeStream.outputMode("append").format("memory").queryName("stopped").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(r.seq_id for r in spark.table("stopped").collect()) == sorted(r.seq_id for r in report.until_terminal(events).collect())
 
