@@ -106,6 +106,11 @@ def _hash(codes: np.ndarray, k: int, seed: int) -> np.ndarray:
     return _mixed([codes[i : n + i] for i in range(k)], n, seed)
 
 
+def _hash_at(codes: np.ndarray, starts: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """Hash of the k codes from each of the places."""
+    return _mixed([codes[starts + i] for i in range(k)], len(starts), seed)
+
+
 def _mixed(columns, n: int, seed: int) -> np.ndarray:
     """Hash of each of n rows, given a column for each place."""
     h = np.full(n, seed, dtype=np.uint64)
@@ -184,7 +189,7 @@ def count_ngrams(rows: DataFrame, repeats: str | None) -> DataFrame:
     """rows and repeats of distinct_rows. (lang, gram, c) for all character n-grams of the highest order, texts padded at both ends."""
 
     def run(batches):
-        for b in in_slices(batches, 1024, 1):
+        for b in in_slices(batches, 2048, 1, 2**22):  # the more at a time, the fewer rows come out
             texts, shares = b.column(1).to_pylist(), _shares(b.column(2), repeats)
             for lang, rows in _by_lang(b).items():
                 parts = [f"{_PAD * (ORDER - 1)}{_clean(texts[i])}{_END}" for i in rows]
@@ -332,22 +337,15 @@ class Model:
     def log_probs(self, lang: str, codes: np.ndarray) -> np.ndarray:
         """In UNITs, for each position from ORDER - 1 on."""
         out = np.zeros(len(codes) - ORDER + 1, dtype=np.int64)
-        todo = None
+        todo = np.arange(len(out))
         for k in range(ORDER, 0, -1):
-            if todo is None:
-                v, ok = self.find(_hash(codes, k, _seed(lang, 0)))
-            else:
-                v, ok = self.find(_hash(codes, k, _seed(lang, 0))[todo + ORDER - k])
-            if todo is None:
-                out[:] = np.where(ok, v, 0)
-                todo = np.flatnonzero(~ok)
-            else:
-                out[todo] += np.where(ok, v, 0)
-                todo = todo[~ok]
+            v, ok = self.find(_hash(codes, k, _seed(lang, 0)) if k == ORDER else _hash_at(codes, todo + ORDER - k, k, _seed(lang, 0)))
+            out[todo] += np.where(ok, v, 0)
+            todo = todo[~ok]
             if not len(todo):
                 return out
             if k > 1:
-                v, ok = self.find(_hash(codes, k - 1, _seed(lang, 1))[todo + ORDER - k])
+                v, ok = self.find(_hash_at(codes, todo + ORDER - k, k - 1, _seed(lang, 1)))
                 out[todo] += np.where(ok, v, 0)
         out[todo] += self.bands[lang]["unknown"]
         return out
