@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Paths made inside the innermost scratch.
+_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 #: ASCII letters, as the contracts lower-case A-Z only.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Word of the alphanumeric kind: runs of ASCII digits, lower-case letters and all beyond ASCII.
@@ -38,15 +43,39 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _place(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, deleted when the driver's JVM ends."""
+    """A new path in the shared folder, deleted when the driver's JVM ends or the ``scratch`` around it does."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    system, place = _place(spark, path)
+    system.deleteOnExit(place)
+    if (made := _SCRATCH.get()) is not None:
+        made.append(path)
     return path
 
 
+def delete(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        system, place = _place(spark, path)
+        system.delete(place, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables stored inside are deleted at its end; what comes of them has to be written by then."""
+    token = _SCRATCH.set([])
+    try:
+        yield
+    finally:
+        made = _SCRATCH.get()
+        _SCRATCH.reset(token)
+        delete(spark, *made)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: cuts lineage and outlives executors."""
     path = fresh_path(df.sparkSession, name)

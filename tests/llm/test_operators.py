@@ -929,6 +929,23 @@ def test_pipeline_against_plain_stages(spark, sf, tmp_path, local):
     assert got == sorted((tuple(e.ids), len(e.ids)) for e in (theirs.encode(r.text, add_special_tokens=False) for r in held["pii surrogates"]))
 
 
+def test_scratch_tables_are_deleted(spark):
+    from pathlib import Path
+
+    from foliospark.llm.shared import scratch, shared_folder, stored
+
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    outer = stored(spark.range(3), "outer-table")
+    with scratch(spark):
+        inner = stored(outer, "inner-table")
+        assert inner.count() == 3 and list(folder.glob("inner-table-*"))
+        with pytest.raises(ZeroDivisionError), scratch(spark):
+            stored(outer, "failed-table")
+            1 / 0  # noqa: B018
+        assert not list(folder.glob("failed-table-*")) and list(folder.glob("inner-table-*"))
+    assert not list(folder.glob("inner-table-*")) and outer.count() == 3
+
+
 def test_pipeline_of_nothing_and_of_odd_rows_alone(spark, sf, tmp_path):
     import corpus_pipeline
 
