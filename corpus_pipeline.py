@@ -5,7 +5,8 @@ texts fail the quality rules' plain counts and go; a null language is the langua
 the row of the smallest id stays, of a row that is wholly repeated one. All stages but the last return all columns of
 documents, whatever further ones there are and whatever their names (n_chars is counted anew where texts change);
 the last returns doc_id, n_tokens, ids_sha256, decoded_sha256, ids. An empty table gives an empty result. Texts of any length are
-read whole. Each stage's result is a table in the shared folder, so executors may be lost at any time.
+read whole. Each stage's result is a table in the shared folder, so executors may be lost at any time; what a stage
+stored on the way, and the table before, are deleted once its result is written.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from foliospark.llm import bpe, decontamination, pii, quality_rules, simhash
 from foliospark.llm.queries import DEMO_KEY, vocabulary
-from foliospark.llm.shared import fresh_path
+from foliospark.llm.shared import delete, fresh_path, scratch
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,9 +45,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = fresh_path(spark, name.replace(" ", "-"))
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if last:
+            delete(spark, last)
+        docs, last = spark.read.parquet(path), path
     return docs
