@@ -100,7 +100,7 @@ _PARTS = (
     ("assign", rf"""(({_SECRET})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""", 1, 3, 6, 0, "secret"),
     ("access", "(AKIA[A-Z0-9]+)", 1, 1, 20, 0, "account"),
     ("hex", "([0-9a-f]+)", 1, 1, 24, 0, "secret"),
-    ("private_key", r"(-----BEGIN [A-Z ]*PRIVATE KEY-----(?:-{0,4}[^-])*(?:-----END [A-Z ]*PRIVATE KEY-----|-{0,4}\z)?)", 1, 1, 1, 0, "secret"),
+    ("private_key", r"(-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[\x20\x09-\x0D]*Proc-Type:[^\n]*)?(?:[\x20\x09-\x0D]*DEK-Info:[^\n]*)?[A-Za-z0-9+/=\x20\x09-\x0D]*(?:-----END [A-Z ]*PRIVATE KEY-----)?)", 1, 1, 1, 0, "secret"),
     ("account", rf"""((?:{_ACCOUNT})["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{{3,}})""", 1, 1, 3, 1, "account"),
     ("endpoint", r"""(?:^|[^A-Za-z0-9+.-])([A-Za-z][A-Za-z0-9+.-]{0,15}://[^\x20\x09-\x0D"'<>]+)""", 1, 1, 7, 1, "endpoint"),
 )

@@ -14,7 +14,7 @@ Scale: narrow, no shuffle, no Python. A text runs through an expensive pattern
 only if a cheap gate finds its hallmark; every pattern is linear in the text.
 
 Defined cases: null is the empty text. Every row is scanned on its own, whatever
-its id; other columns are left out. Positions are code points, ends exclusive.
+its id; other columns are left out. A key block without an end goes as far as a key's letters do. Positions are code points, ends exclusive.
 Texts of any length are scanned whole: key blocks, unbroken runs and tens of
 thousands of parts in one text included.
 """
@@ -28,6 +28,8 @@ from foliospark.llm.shared import let
 
 SCOPE = 120
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+#: A header, the two lines of an encrypted key, what a key's body is made of, and the end if it is there.
+KEY_BLOCK = r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[\x20\x09-\x0D]*Proc-Type:[^\n]*)?(?:[\x20\x09-\x0D]*DEK-Info:[^\n]*)?[A-Za-z0-9+/=\x20\x09-\x0D]*(?:-----END [A-Z ]*PRIVATE KEY-----)?"
 #: Kind, gate, regex, the least length and of which group, whether it is weak, role. The order is that of kinds in spans.
 #: A loop over one character class is iterative in Java, one over a group nests a call for each turn. The runs of access
 #: and hex are greedy, so asking for their least length in the regex finds the same matches as dropping short ones.
@@ -35,7 +37,7 @@ KINDS = (
     ("assign", r"(?i)password|passwd|secret|token|api_?key", ASSIGN, 6, 2, False, "secret"),
     ("access", "AKIA[A-Z0-9]{16}", "AKIA[A-Z0-9]{16,}", 20, 0, False, "account"),
     ("hex", "[0-9a-f]{24}", "[0-9a-f]{24,}", 24, 0, False, "secret"),
-    ("private_key", "-----BEGIN ", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?(?=-----|(?![\s\S]))(?:-----END [A-Z ]*PRIVATE KEY-----)?", 1, 0, False, "secret"),
+    ("private_key", "-----BEGIN ", KEY_BLOCK, 1, 0, False, "secret"),
     ("account", r"(?i)user|login|client_?id|account_?id", r"""(?i:user(?:_?name)?|login|client_?id|account_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}""", 3, 0, True, "account"),
     ("bare", "[A-Za-z0-9+/_-]{32}", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{32,}={0,2}", 32, 0, True, "secret"),
     ("endpoint", "://", r"(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]{0,15}://[^\x20\x09-\x0D\"'<>]+", 7, 0, True, "endpoint"),

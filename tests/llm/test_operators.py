@@ -655,6 +655,17 @@ def test_weak_parts_need_company(spark):
     assert [("account" in g, "endpoint" in g) for g in got] == [(False, False), (False, False), (True, False), (False, False), (False, True)]
 
 
+def test_key_blocks_end_where_keys_do(spark):
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    texts = [f"{begin}\nMIIB+/=\nAA. The rest is prose; password: hunter22x", f"{begin}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,AB12\n\nMIIB\n{end} x", f"{begin} {begin}AA{end}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = secret_scans.secret_digest(secret_scans.scan_secrets(docs))
+    same(by_name(got), oracle("op8_secret_scans", documents=docs))
+    spans = [r.spans for r in got.orderBy("doc_id").collect()]
+    assert spans[0].startswith(f"private_key:0:{texts[0].index('.')},assign:") and spans[1] == f"private_key:0:{len(texts[1]) - 2}"
+    assert spans[2] == f"private_key:0:{len(begin) + 1},private_key:{len(begin) + 1}:{len(texts[2])}"
+
+
 def test_very_long_secrets(spark):
     begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
     keys = [f"a {begin}{body}{tail}" for body in ("A" * 3200, "A" * 1_000_000, "-A" * 60_000, "A\n" * 900) for tail in ("", f"\n{end} b", "---", "-------")]
@@ -663,11 +674,12 @@ def test_very_long_secrets(spark):
     began = time.time()
     got = {r.doc_id: r for r in secret_scans.secret_digest(secret_scans.scan_secrets(docs)).collect()}
     assert time.time() - began < 60
-    assert [got[i].spans for i in range(4)] == [f"private_key:2:{len(t) - cut}" for t, cut in zip(texts, (0, 2, 0, 7), strict=False)]
+    assert [got[i].spans for i in range(4)] == [f"private_key:2:{len(t) - cut}" for t, cut in zip(texts, (0, 2, 3, 7), strict=False)]
     for i, t in enumerate(keys):
-        first = t.find("-----", 2 + len(begin))
-        stop = len(t) if first < 0 else first + len(end) * t.startswith(end, first)
-        assert got[i].spans == f"private_key:2:{stop}"
+        stop = 2 + len(begin)
+        while stop < len(t) and (t[stop].isalnum() or t[stop].isspace()):
+            stop += 1
+        assert got[i].spans == f"private_key:2:{stop + len(end) * t.startswith(end, stop)}"
     n = len(keys)
     assert (got[n].spans, got[n + 1].spans, got[n + 4].spans) == ("", "", "")
     assert got[n + 2].spans == "endpoint:0:1000021"
