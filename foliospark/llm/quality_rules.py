@@ -189,7 +189,7 @@ def count_ngrams(rows: DataFrame, repeats: str | None) -> DataFrame:
     """rows and repeats of distinct_rows. (lang, gram, c) for all character n-grams of the highest order, texts padded at both ends."""
 
     def run(batches):
-        for b in in_slices(batches, 2048, 1, 2**22):  # the more at a time, the fewer rows come out
+        for b in in_slices(batches, 2048, 1):  # the more at a time, the fewer rows come out
             texts, shares = b.column(1).to_pylist(), _shares(b.column(2), repeats)
             for lang, rows in _by_lang(b).items():
                 parts = [f"{_PAD * (ORDER - 1)}{_clean(texts[i])}{_END}" for i in rows]
@@ -337,11 +337,15 @@ class Model:
     def log_probs(self, lang: str, codes: np.ndarray) -> np.ndarray:
         """In UNITs, for each position from ORDER - 1 on."""
         out = np.zeros(len(codes) - ORDER + 1, dtype=np.int64)
-        todo = np.arange(len(out))
+        todo = np.empty(0, dtype=np.int64)
         for k in range(ORDER, 0, -1):
-            v, ok = self.find(_hash(codes, k, _seed(lang, 0)) if k == ORDER else _hash_at(codes, todo + ORDER - k, k, _seed(lang, 0)))
-            out[todo] += np.where(ok, v, 0)
-            todo = todo[~ok]
+            if k == ORDER:
+                v, ok = self.find(_hash(codes, k, _seed(lang, 0)))
+                out[ok], todo = v[ok], np.flatnonzero(~ok)
+            else:
+                v, ok = self.find(_hash_at(codes, todo + ORDER - k, k, _seed(lang, 0)))
+                out[todo[ok]] += v[ok]
+                todo = todo[~ok]
             if not len(todo):
                 return out
             if k > 1:
@@ -458,7 +462,7 @@ def _scored(docs: DataFrame, model: DataFrame, bands: DataFrame) -> DataFrame:
     names = schema.fieldNames()
 
     def run(batches):
-        for b in in_slices(batches, 256, 1):
+        for b in in_slices(batches, 256, 1, 2**19):  # some ten arrays as long as a slice's texts live at once
             rows = _scores(b, *uris)
             lang = pa.array([x or "" for x in b.column(0).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([b.column(2), lang, *(pa.array([r[i] for r in rows], t) for i, t in enumerate(_TYPES)), *b.columns[3:]], names=names)
