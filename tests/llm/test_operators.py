@@ -100,8 +100,8 @@ def test_bad_host_is_blocked_and_rare_one_is_shrunk(spark):
     assert got["bad.site.example"] == "block" and got["rare.site.example"] == "allow"
 
 
-def test_query_blocks_by_reputation(spark, sf):
-    got = QUERIES["op1_url_filters"](spark, sf).filter("rule is null")
+def test_query_blocks_by_reputation(spark):
+    got = QUERIES["op1_url_filters"](spark, "/root/testdata/sf0.01").filter("rule is null")
     assert {r.verdict for r in got.collect()} == {"allow", "block"}
 
 
