@@ -303,6 +303,15 @@ def _row_hashes(kinds: list[int], langs: list[str], grams: list[str]) -> np.ndar
 # -- scoring
 
 
+def _directory(h: np.ndarray, bits: int, step: int = 2**16) -> np.ndarray:
+    """Where in sorted h each pattern of leading bits starts; made piece by piece, so that no long array is made on the way."""
+    out = np.empty(2**bits, dtype=np.int32)
+    for i in range(0, len(out), step):
+        heads = np.arange(i, min(i + step, len(out)), dtype=np.uint64) << np.uint64(64 - bits)
+        out[i : i + step] = np.searchsorted(h, heads)
+    return out
+
+
 class Model:
     """Sorted hash arrays, with a directory of where each leading bit pattern starts."""
 
@@ -318,9 +327,8 @@ class Model:
                 at += b.num_rows
         if (self.h[1:] < self.h[:-1]).any():
             raise ValueError("the model's files are not in order")
-        self.bits = max(4, int(len(self.h)).bit_length())
-        heads = np.arange(2**self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)
-        self.start = np.searchsorted(self.h[:-1], heads).astype(np.int32)
+        self.bits = max(4, int(len(self.h)).bit_length() - 1)
+        self.start = _directory(self.h[:-1], self.bits)
         self.bands = {r["lang"]: r for r in _read(bands_uri).to_pylist()}
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -519,6 +527,7 @@ def keep_good(docs: DataFrame, model_bytes: int = 256 * 2**20, repeat_bytes: int
 
     def run(batches):
         known = _rejected(uri)
+        _model.cache_clear()  # a reused worker may still hold the model
         for b in batches:
             own = b.column(at).to_numpy(zero_copy_only=False)
             found = known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own
