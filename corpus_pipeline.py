@@ -7,6 +7,8 @@ documents, whatever further ones there are and whatever their names (n_chars is
 the last returns doc_id, n_tokens, ids_sha256, decoded_sha256, ids. An empty table gives an empty result. Texts of any length are
 read whole. Each stage's result is a table in the shared folder, so executors may be lost at any time; what a stage
 stored on the way, and the table before, are deleted once its result is written.
+A stage's tasks hand texts to their workers in batches of BATCH_BYTES, unless the session sets a bound of its own, and
+a worker drops what the stage before kept in it, so no stage needs more memory for following another.
 """
 
 from __future__ import annotations
@@ -17,25 +19,39 @@ from foliospark.llm import bpe, decontamination, pii, quality_rules, simhash
 from foliospark.llm.queries import DEMO_KEY, vocabulary
 from foliospark.llm.shared import delete, fresh_path, scratch
 
+#: Bytes of texts in an Arrow batch. Spark's own bounds (64 MB, 10,000 rows) make most tasks' whole input one batch, held several times over by task and worker.
+BATCH_BYTES = "4m"
+
+
+def bounded(spark: SparkSession) -> None:
+    """For the session, as a stage's result is worked out after the stage returns."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded(spark)
     return quality_rules.keep_good(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded(spark)
     return simhash.one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded(spark)
     return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded(spark)
     made, entities = pii.checked_surrogates(docs, DEMO_KEY)
     return made.drop(entities)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded(spark)
     return bpe.encode_documents(docs, vocabulary(), keep_ids=True)
 
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.llm.shared import ALNUM, by_place, in_slices, stored
+from foliospark.llm.shared import ALNUM, alone, by_place, in_slices, keeps, stored
 
 SIZE, PERMUTATIONS = 5, 48
 #: Runs of ASCII letters and digits and of bytes beyond ASCII.
@@ -164,7 +164,7 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, least: float = 0.8
     dealt, blocks = _blocks(benchmark, block_shingles)
     found = None
     for block in blocks:
-        one = own.mapInArrow(_searcher(_held(docs.sparkSession, dealt, block), least), "doc_id long, key long, n_shared long, n_item long")
+        one = own.mapInArrow(alone(__name__, _searcher(_held(docs.sparkSession, dealt, block), least)), "doc_id long, key long, n_shared long, n_item long")
         found = one if found is None else found.unionByName(one)
     if found is None:
         return own.select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0).cast("long").alias("n_shared"), F.lit(0).cast("long").alias("n_item")).filter("false")
@@ -173,6 +173,7 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, least: float = 0.8
 
 
 _INDEX: dict[str, ItemIndex] = {}
+keeps(__name__, _INDEX.clear, _HASHES.clear)
 
 
 def _index(token: str, held) -> ItemIndex:
@@ -208,5 +209,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, blo
                 bad[[d for d, *_ in _index(token, held).search(b.column(at).to_pylist(), least)]] = True
                 yield b.filter(pa.array(~bad))
 
-        docs = by_place(docs, run, schema)
+        docs = by_place(docs, alone(__name__, run), schema)
     return docs

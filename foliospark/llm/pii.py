@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliospark.llm.shared import by_place, in_slices, stored, unused
+from foliospark.llm.shared import alone, by_place, in_slices, keeps, stored, unused
 
 #: First names by gender and script.
 FIRST_NAMES = {
@@ -273,6 +273,9 @@ def next_normal(key: bytes, kind: str, text: str) -> str:
     return _permute(key, kind, text)
 
 
+keeps(__name__, next_normal.cache_clear, _script.cache_clear, _letters.cache_clear)
+
+
 def _cased(word: str, like: str) -> str:
     """A lower-case word in the case of another."""
     if len(word) == len(like):
@@ -369,7 +372,7 @@ def with_surrogates(docs: DataFrame, key: bytes, audit: str | None = None) -> Da
                 columns.append(pa.array(rows, pa.list_(pa.struct(_AUDIT))))
             yield pa.RecordBatch.from_arrays(columns, names=[str(i) for i in range(len(columns))])
 
-    out = by_place(docs, run, made_of)
+    out = by_place(docs, alone(__name__, run), made_of)
     if "n_chars" in schema.names:
         out = out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType))
     return out

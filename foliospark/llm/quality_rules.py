@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliospark.llm.shared import by_place, in_slices, stored, unused
+from foliospark.llm.shared import alone, by_place, in_slices, keeps, stored, unused
 
 ORDER, WIDTH, Z = 5, 3.0, 2.0
 #: Steps of a unit of log probability in which medians are taken.
@@ -205,7 +205,7 @@ def count_ngrams(rows: DataFrame, repeats: str | None) -> DataFrame:
                 grams = [joined[i : i + ORDER] for i in first[real].tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.string()), pa.array(c[real])], names=["lang", "gram", "c"])
 
-    return rows.select("lang", "text", "key").mapInArrow(run, "lang string, gram string, c double").groupBy("lang", "gram").agg(_whole("c").alias("c"))
+    return rows.select("lang", "text", "key").mapInArrow(alone(__name__, run), "lang string, gram string, c double").groupBy("lang", "gram").agg(_whole("c").alias("c"))
 
 
 def _whole_units(logp: Column) -> Column:
@@ -265,7 +265,7 @@ def train(docs: DataFrame, distinct: tuple[DataFrame, str | None] | None = None)
             h = _row_hashes(*(b.column(i).to_pylist() for i in range(3)))
             yield pa.RecordBatch.from_arrays([pa.array((h ^ np.uint64(1 << 63)).view(np.int64)), b.column(3)], names=["h", "v"])
 
-    table = reduce(DataFrame.unionByName, held.values()).mapInArrow(hashed, "h long, v int")
+    table = reduce(DataFrame.unionByName, held.values()).mapInArrow(alone(__name__, hashed), "h long, v int")
     return stored(table.repartitionByRange("h").sortWithinPartitions("h"), "model"), bands, held
 
 
@@ -425,7 +425,7 @@ def _joined_means(distinct: tuple[DataFrame, str | None], values: DataFrame) ->
                 _, first, n = np.unique(_hash(codes, ORDER, 1), return_index=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([key] * len(first)), pa.array([_other(lang)] * len(first)), pa.array([joined[i : i + ORDER] for i in first.tolist()]), pa.array(n)], names=["key", "lang", "gram", "n"])
 
-    grams = rows.select("key", "lang", "text").mapInArrow(run, "key long, lang string, gram string, n long")
+    grams = rows.select("key", "lang", "text").mapInArrow(alone(__name__, run), "key long, lang string, gram string, n long")
     each = F.sum(F.col("n").cast("decimal(20,0)") * F.col("v"))  # exact; each copy adds the same
     sums = grams.join(values, ["lang", "gram"]).groupBy("key").agg(each.alias("total"), F.sum("n").alias("size"))
     if repeats:
@@ -476,7 +476,7 @@ def _scored(docs: DataFrame, model: DataFrame, bands: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(2), lang, *(pa.array([r[i] for r in rows], t) for i, t in enumerate(_TYPES)), *b.columns[3:]], names=names)
 
     own = docs.select("lang", "text", "key", *(f.name for f in others))
-    return stored(own.mapInArrow(run, schema), "scores")
+    return stored(own.mapInArrow(alone(__name__, run), schema), "scores")
 
 
 def judge(docs: DataFrame, model_bytes: int = 256 * 2**20, repeat_bytes: int | None = None) -> DataFrame:
@@ -500,7 +500,7 @@ def _scored_by_join(own: DataFrame, distinct: tuple[DataFrame, str | None], valu
             counts = [base_counts(t or "") for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(2), b.column(3), b.column(0), *(pa.array([c[i] for c in counts], pa.int64()) for i in range(5))], names=names)
 
-    counts = own.select("lang", "text", "doc_id", "key").mapInArrow(run, f"doc_id long, key long, lang string, {_COUNTS}")
+    counts = own.select("lang", "text", "doc_id", "key").mapInArrow(alone(__name__, run), f"doc_id long, key long, lang string, {_COUNTS}")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return stored(counts.withColumn("lang", F.coalesce("lang", F.lit(""))).withColumn("base_failed", failed).join(_joined_means(distinct, values), "key", "left"), "scores")
 
@@ -533,9 +533,12 @@ def keep_good(docs: DataFrame, model_bytes: int = 256 * 2**20, repeat_bytes: int
             found = known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own
             yield b.select(range(at)).filter(pa.array(~found))
 
-    return by_place(keyed, run, docs.schema)
+    return by_place(keyed, alone(__name__, run), docs.schema)
 
 
 @lru_cache(maxsize=1)
 def _rejected(uri: str) -> np.ndarray:
     return np.sort(_read(uri).column("key").to_numpy())
+
+
+keeps(__name__, _model.cache_clear, _repeats.cache_clear, _rejected.cache_clear)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.shared import in_slices, stored, unused
+from foliospark.llm.shared import alone, in_slices, stored, unused
 
 BITS = 4
 #: Keys of rows to leave out that are broadcast at most, some 30 MB.
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fps = np.array([fingerprint(t) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(alone(__name__, run), "doc_id long, fp long")
 
 
 def _syndrome(u: np.ndarray) -> np.ndarray:
@@ -175,7 +175,7 @@ def _links(batches):
 
 def fingerprint_links(distinct: DataFrame, crowd: int = 20_000) -> DataFrame:
     """distinct: fp. Edges (u < v) that join all fingerprints within BITS, as a forest in large buckets."""
-    spread = distinct.select("fp").mapInArrow(_replicate, "anchor int, fp long, home boolean")
+    spread = distinct.select("fp").mapInArrow(alone(__name__, _replicate), "anchor int, fp long, home boolean")
     crowded = spread.groupBy("anchor").count().filter(F.col("count") > crowd).select("anchor", F.least(F.lit(4000), F.ceil(F.col("count") / crowd) + 1).cast("int").alias("parts"))
     chunk = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     dealt = (
@@ -183,7 +183,7 @@ def fingerprint_links(distinct: DataFrame, crowd: int = 20_000) -> DataFrame:
         .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select(F.col("anchor").cast("long").alias("anchor"), F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "fp", "home")
     )
-    return dealt.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j").mapInArrow(_links, "u long, v long").distinct()
+    return dealt.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j").mapInArrow(alone(__name__, _links), "u long, v long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -968,6 +968,65 @@ def test_pipeline_of_nothing_and_of_odd_rows_alone(spark, sf, tmp_path):
         assert out.count() == 0 and out.columns[:2] == ["doc_id", "n_tokens"]
 
 
+def test_workers_drop_what_the_operator_before_kept(spark, docs):
+    """All idle workers get a task each time, as there are far more tasks."""
+
+    def held(name, count):
+        def run(batches):
+            import pyarrow as pa
+
+            for _ in batches:
+                time.sleep(0.02)
+                yield pa.RecordBatch.from_arrays([pa.array([count()])], names=["n"])
+
+        return max(r.n for r in spark.range(32).repartition(32).mapInArrow(run, "n long").collect())
+
+    caches = {
+        "bpe": lambda: bpe.tokenizer.cache_info().currsize + bpe.Tokenizer._alone.cache_info().currsize,
+        "pii": lambda: pii.next_normal.cache_info().currsize,
+        "decontamination": lambda: len(decontamination._INDEX) + len(decontamination._HASHES),
+        "quality": lambda: quality_rules._model.cache_info().currsize,
+    }
+    items = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
+    spread = docs.repartition(32).select("doc_id", "text", "lang")
+    runs = {
+        "bpe": lambda: bpe.encode_documents(spread, vocabulary()),
+        "pii": lambda: pii.with_surrogates(spread, b"k"),
+        "decontamination": lambda: decontamination.decontaminate(spread, items),
+        "quality": lambda: quality_rules.judge(spread),
+    }
+    for name, run in runs.items():
+        run().write.format("noop").mode("overwrite").save()
+        assert held(name, caches[name])
+        simhash.fingerprints(spread).write.format("noop").mode("overwrite").save()
+        assert not held(name, caches[name])
+
+
+def test_stages_get_texts_in_bounded_batches(spark, tmp_path):
+    import corpus_pipeline
+
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(bound)
+    docs = spark.createDataFrame([(i, f"{i} " + "x" * 10_000, "en") for i in range(1500)], "doc_id long, text string, lang string").coalesce(1)
+    try:
+        for _, stage in corpus_pipeline.STAGES[1:2] + corpus_pipeline.STAGES[4:]:
+            spark.conf.unset(bound)
+            stage(spark, docs, str(tmp_path))
+
+            def sizes(batches):
+                import pyarrow as pa
+
+                for b in batches:
+                    yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+            assert max(r.n for r in docs.mapInArrow(sizes, "n long").collect()) < 5 * 2**20
+        spark.conf.set(bound, "1m")  # a session's own bound stays
+        corpus_pipeline.encode(spark, docs, str(tmp_path))
+        assert spark.conf.get(bound) in ("1m", "1048576b")
+    finally:
+        spark.conf.unset(bound)
+
+
 def test_queries_carry_contract_columns(spark, sf):
     wanted = {"op3_license_scans": "doc_id n_words n_base first_word last_word base_labels labels score", "op8_secret_scans": "doc_id n_assign n_access n_hex base_sha256 spans", "op10_bpe": "doc_id n_tokens ids_sha256 decoded_sha256"}
     for name, columns in wanted.items():
