@@ -8,7 +8,7 @@ the last returns doc_id, n_tokens, ids_sha256, decoded_sha256, ids. An empty tab
 read whole. Each stage's result is a table in the shared folder, so executors may be lost at any time; what a stage
 stored on the way, and the table before, are deleted once its result is written.
 A stage's tasks hand texts to their workers in batches of BATCH_BYTES, unless the session sets a bound of its own, and
-a worker drops what the stage before kept in it, so no stage needs more memory for following another.
+a worker drops what the stage before kept in it; the heap of an executor's JVM stays as large as an earlier stage made it.
 """
 
 from __future__ import annotations
