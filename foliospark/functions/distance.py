@@ -7,6 +7,11 @@ thousand characters take seconds and no matrix exists. The script comes from cut
 one sequence in half and finding where a shortest path crosses (Hirschberg 1975),
 until the columns of a part are few enough to keep.
 
+No script is shorter than what one side's characters, as a bag, lack of the other's. Most
+recognised texts have a script of just that many operations, and one pass over a batch finds it by
+following a few diagonals round the farthest (Ukkonen 1985), for thousands of pairs at once;
+only pairs without one need columns. Where the bags decide, so do they over how many operations of each kind there are.
+
 Spark calls these by Arrow batches; the distance of two null or missing sides is that of empty ones.
 """
 
@@ -24,6 +29,9 @@ from pyspark.sql import types as T
 #: Cells of a matrix whose columns are kept at a time, two bits each.
 _CELLS = 2**25
 _KINDS = ("ins", "del", "sub")
+#: Characters and pairs taken at once, counters a pair (characters beyond share them), and diagonals followed to each side, first and where that finds nothing.
+_CHARS, _PAIRS, _BAGS, _REACH = 2**22, 2**13, 512, (3, 12)
+_UNREACHED = -(2**40)
 _SPACE = re.compile(r"[ \t\n\x0b\f\r]+")
 
 
@@ -143,6 +151,105 @@ def edit_script(a: Sequence, b: Sequence) -> list[tuple[str, int, int]]:
     return out
 
 
+def _laid_out(ids: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sequences one behind the other, ``end`` after each: for every place the eight bytes from there on as one number, and where sequences begin."""
+    out = np.full(len(ids) + len(sizes) + 8, end, dtype=ids.dtype)
+    out[np.arange(len(ids)) + np.repeat(np.arange(len(sizes)), sizes)] = ids
+    words = np.ndarray((len(ids) + len(sizes),), dtype="<u8", buffer=out.data, strides=(ids.itemsize,)).copy()
+    return words, np.cumsum(sizes + 1) - sizes - 1
+
+
+def _reached(x: np.ndarray, y: np.ndarray, a0: np.ndarray, b0: np.ndarray, n: np.ndarray, m: np.ndarray, low: np.ndarray, reach: int, shift: int) -> np.ndarray:
+    """Which pairs (by falling low) have a script of low operations, as far as ``reach`` diagonals to both sides of the farthest one show.
+
+    far holds how much of a is done on each diagonal after e operations. x and y are laid out, an id has 1 << shift bits.
+    """
+    far = np.full((len(n), 2 * reach + 3), _UNREACHED)
+    far[:, reach + 1] = 0
+    diagonal = np.zeros((len(n), 1), dtype=np.int64) + np.arange(-reach, reach + 1)
+    a0, b0, n, m = (v[:, None] for v in (a0, b0, n, m))
+    found, size, e, one, falling = np.zeros(len(n), dtype=bool), len(n), 0, np.uint64(1), -low
+    while size:
+        d = diagonal[:size]
+        done = far[:size, 1:-1].copy()
+        if e:
+            done = np.maximum(np.maximum(done, far[:size, 2:]) + 1, far[:size, :-2])
+            np.minimum(done, np.minimum(n[:size], m[:size] - d), out=done)
+        i, j = (a0[:size] + done).ravel(), (b0[:size] + done + d).ravel()
+        flat, at = done.ravel(), np.arange(done.size)
+        while len(at):  # as far as both are alike, some ids at a time
+            differ = x.take(i, mode="clip") ^ y.take(j, mode="clip")
+            flat[at] += np.bitwise_count((differ & (~differ + one)) - one) >> shift
+            more = np.flatnonzero((differ == 0) & (flat[at] >= 0))
+            at, i, j = at[more], i[more] + (64 >> shift), j[more] + (64 >> shift)
+        far[:size, 1:-1] = done
+        left = int(np.searchsorted(falling[:size], -e))
+        found[left:size] = ((done[left:] == n[left:size]) & (d[left:] == m[left:size] - n[left:size])).any(axis=1)
+        best = np.argmax(2 * done[:left] + d[:left], axis=1) - reach
+        for step, rows in ((1, np.flatnonzero(best > 0)), (-1, np.flatnonzero(best < 0))):  # the farthest stays in the middle
+            if len(rows):
+                held, far[rows] = far[rows], _UNREACHED
+                far[rows, 1:-1] = held[:, 2:] if step > 0 else held[:, :-2]
+                diagonal[rows] += step
+        size, e = left, e + 1
+    return found
+
+
+def _by_bags(a: list[str], b: list[str]) -> np.ndarray:
+    """As settled(), of pairs without empty sides."""
+    n, m = (np.array([len(t) for t in s], dtype=np.int64) for s in (a, b))
+    p, q = (np.frombuffer("".join(s).encode("utf-32-le", "surrogatepass"), dtype=np.uint32) for s in (a, b))
+    known = np.zeros(int(max(p.max(), q.max())) + 1, dtype=bool)
+    known[p] = known[q] = True
+    ids = np.cumsum(known) + 1  # 0 and 1 are ends
+    k = int(ids[-1]) + 1
+    ids = ids.astype(np.uint8 if k <= 2**8 else np.uint16 if k <= 2**16 else np.uint32)
+    p, q = ids[p], ids[q]
+    bags = min(k, _BAGS)
+    count = lambda v, sizes: np.bincount(v % np.int64(bags) + np.repeat(np.arange(len(n)) * bags, sizes), minlength=len(n) * bags).reshape(-1, bags)
+    more = count(p, n) - count(q, m)
+    low = np.maximum(np.maximum(more, 0).sum(axis=1), np.maximum(-more, 0).sum(axis=1))
+    even = n == m
+    unlike = p[np.repeat(even, n)] != q[np.repeat(even, m)]
+    replaced = np.bincount(np.repeat(np.flatnonzero(even), n[even]), weights=unlike, minlength=len(n))
+    out = np.where(even & (replaced == low), low, -1)
+    (x, a0), (y, b0) = _laid_out(p, n, 0), _laid_out(q, m, 1)
+    for reach in _REACH:
+        todo = np.flatnonzero(out < 0)
+        todo = todo[np.argsort(-low[todo], kind="stable")]
+        hit = todo[_reached(x, y, a0[todo], b0[todo], n[todo], m[todo], low[todo], reach, {1: 3, 2: 4, 4: 5}[ids.itemsize])]
+        out[hit] = low[hit]
+    return out
+
+
+def settled(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
+    """The edit distance of each pair of texts, or -1 where no script of as few operations as the bags of characters ask for was found."""
+    out = np.array([max(len(s), len(t)) if not s or not t else 0 if s == t else -1 for s, t in zip(a, b, strict=True)], dtype=np.int64)
+    sizes = [len(s) + len(t) for s, t in zip(a, b, strict=True)]
+    todo = sorted(np.flatnonzero(out < 0).tolist(), key=sizes.__getitem__)
+    while todo:
+        own, size = [todo.pop()], 0
+        while todo and len(own) < _PAIRS and (size := size + sizes[own[-1]]) + sizes[todo[-1]] <= _CHARS:
+            own.append(todo.pop())
+        out[own] = _by_bags([a[i] for i in own], [b[i] for i in own])
+    return out
+
+
+def edit_kinds(a: Sequence[str], b: Sequence[str]) -> list[tuple[int, int, int]]:
+    """How many insertions, deletions and substitutions a shortest script of each pair has.
+
+    Where the bags decide, every shortest script has the same: all that the longer side has too much is removed or replaced, so nothing is inserted into it.
+    """
+
+    def of(s: str, t: str, d: int) -> tuple[int, int, int]:
+        if d < 0:
+            kinds = [kind for kind, _, _ in edit_script(s, t)]
+            return kinds.count("ins"), kinds.count("del"), kinds.count("sub")
+        return max(len(t) - len(s), 0), max(len(s) - len(t), 0), d - abs(len(s) - len(t))
+
+    return [of(*pair) for pair in zip(a, b, settled(a, b).tolist(), strict=True)]
+
+
 @F.pandas_udf(T.LongType())
 def text_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     """Edit distance in characters of whole texts."""
@@ -158,5 +265,4 @@ def word_distance(a: pd.Series, b: pd.Series) -> pd.Series:
 @F.pandas_udf(T.StructType([T.StructField(k, T.LongType()) for k in _KINDS]))
 def edit_operations(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     """How many operations of each kind a shortest script of whole texts has."""
-    kinds = [[o for o, _, _ in edit_script(s or "", t or "")] for s, t in zip(a, b, strict=True)]
-    return pd.DataFrame({k: [o.count(k) for o in kinds] for k in _KINDS}, dtype="int64")
+    return pd.DataFrame(edit_kinds([s or "" for s in a], [t or "" for t in b]), columns=_KINDS, dtype="int64")

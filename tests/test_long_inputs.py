@@ -96,6 +96,43 @@ def test_distances_of_long_texts():
     assert distance.edit_distance(*short) == matrix(*short)
 
 
+def garbled(rng, n, words=("the", "other", "one", "école", "日本", "of", "book", "e", "\n")):
+    """n texts, each with what two recognisers make of it, and a third garbled at random."""
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(0, 120))) for _ in range(n)]
+    noise = lambda t: "".join(rng.choice(["", c + c, "x", c]) if rng.random() < 0.1 else c for c in t)
+    return texts, [t.replace("e", "c") for t in texts], [t.replace("th", "h").replace("o", "0") for t in texts], [noise(t) for t in texts]
+
+
+@settings(max_examples=200, deadline=None, derandomize=True)
+@given(st.lists(st.tuples(st.text("abé🎉 ", max_size=40), st.text("abé🎉 ", max_size=40)), max_size=12), st.sampled_from([(2**22, 512), (30, 3)]))
+def test_settled_distances_are_right(pairs, limits):
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(distance, "_CHARS", limits[0])
+        m.setattr(distance, "_BAGS", limits[1])
+        got = distance.settled([a for a, _ in pairs], [b for _, b in pairs]).tolist()
+    assert len(got) == len(pairs) and all(d in (-1, matrix(a, b)) for d, (a, b) in zip(got, pairs, strict=True))
+
+
+def test_kinds_of_many_texts():
+    """Those of a script, also of texts with more than 256 and 65,536 different characters, and of halves of surrogates."""
+    texts, mat, raw, noise = garbled(random.Random(11), 60)
+    many = ["".join(map(chr, range(0x4E00, 0x4E00 + n))) + "eothe" for n in (300, 600)] + ["".join(map(chr, range(0x20000, 0x20000 + 66_000))) + "eo"]
+    texts, said = texts * 3 + many + ["\ud800e", ""], mat + raw + noise + [t.replace("e", "c")[3:] for t in many] + ["\ud800c", "ab"]
+    script = lambda s, t: [k for k, _, _ in distance.edit_script(s, t)]
+    want = [tuple(script(s, t).count(k) for k in ("ins", "del", "sub")) for s, t in zip(texts, said, strict=True)]
+    assert distance.edit_kinds(texts, said) == want
+
+
+def test_kinds_of_recognised_texts_need_no_columns(monkeypatch):
+    """Texts whose bags of characters decide; a script of each by columns took seconds a megabyte."""
+    texts, mat, raw, _ = garbled(random.Random(12), 40)
+    texts, mat, raw = ([*s, "".join(s) * 8] for s in (texts, mat, raw))
+    monkeypatch.setattr(distance, "_columns", None)
+    n_e, n_t, n_o = ([t.count(x) for t in texts] for x in ("e", "th", "o"))
+    assert distance.edit_kinds(texts, mat) == [(0, 0, e) for e in n_e]
+    assert distance.edit_kinds(texts, raw) == [(0, t, o) for t, o in zip(n_t, n_o, strict=True)]
+
+
 def test_error_rates_are_of_whole_texts(spark):
     rng = random.Random(4)
     words = ["the", "other", "one", "école", "日本", "of", "book", "e"]
