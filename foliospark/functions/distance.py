@@ -235,6 +235,11 @@ def settled(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
     return out
 
 
+def edit_distances(a: Sequence[str], b: Sequence[str]) -> list[int]:
+    """The edit distance of each pair of texts."""
+    return [d if d >= 0 else edit_distance(*pair) for *pair, d in zip(a, b, settled(a, b).tolist(), strict=True)]
+
+
 def edit_kinds(a: Sequence[str], b: Sequence[str]) -> list[tuple[int, int, int]]:
     """How many insertions, deletions and substitutions a shortest script of each pair has.
 
@@ -253,7 +258,7 @@ def edit_kinds(a: Sequence[str], b: Sequence[str]) -> list[tuple[int, int, int]]
 @F.pandas_udf(T.LongType())
 def text_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     """Edit distance in characters of whole texts."""
-    return pd.Series([edit_distance(s or "", t or "") for s, t in zip(a, b, strict=True)], dtype="int64")
+    return pd.Series(edit_distances([s or "" for s in a], [t or "" for t in b]), dtype="int64")
 
 
 @F.pandas_udf(T.LongType())

@@ -133,6 +133,16 @@ def test_kinds_of_recognised_texts_need_no_columns(monkeypatch):
     assert distance.edit_kinds(texts, raw) == [(0, t, o) for t, o in zip(n_t, n_o, strict=True)]
 
 
+def test_distances_of_many_texts(monkeypatch):
+    """Those of a matrix; where the bags decide, without columns."""
+    texts, mat, raw, noise = garbled(random.Random(13), 60)
+    pairs = texts * 3, mat + raw + noise
+    want = [matrix(s, t) for s, t in zip(*pairs, strict=True)]
+    assert distance.edit_distances(*pairs) == want
+    monkeypatch.setattr(distance, "_columns", None)
+    assert distance.edit_distances(texts * 2, mat + raw) == want[:120]
+
+
 def test_error_rates_are_of_whole_texts(spark):
     rng = random.Random(4)
     words = ["the", "other", "one", "école", "日本", "of", "book", "e"]
