@@ -174,6 +174,17 @@ def test_pooled_rates_of_long_texts(spark):
     assert (got.cer_mat, got.cer_raw, got.n) == (round(e / n, 9), round(o / n, 9), 200)
 
 
+def test_agreement_of_strips(spark, monkeypatch):
+    """Also how far two recognisers are apart is settled without columns; what they leave out or garble counts as a matrix has it."""
+    texts, mat, raw, noise = garbled(random.Random(15), 80)
+    apart = [matrix(a, b) for a, b in zip(mat, raw, strict=True)]
+    got = quality.agreement(spark.createDataFrame(list(zip(["s"] * 80, texts, mat, noise)), "source string, truth string, mat string, raw string")).first()  # noqa: B905
+    m, r, b = ([matrix(x, y) for x, y in zip(one, other, strict=True)] for one, other in ((texts, mat), (texts, noise), (mat, noise)))
+    assert (got.mean_distance, got.mat_nearer, got.raw_nearer) == (round(sum(b) / 80, 9), sum(x < y for x, y in zip(m, r, strict=True)), sum(y < x for x, y in zip(m, r, strict=True)))
+    monkeypatch.setattr(distance, "_columns", None)
+    assert distance.edit_distances(mat, raw) == apart
+
+
 def test_tokens_are_those_of_split(spark):
     for t in ("", " ", "a", " a  b\t\n", "a\x0bb c", "x \r\n y "):
         assert spark.createDataFrame([(t,)], "t string").select(quality.n_tokens(F.col("t"))).first()[0] == len(distance.tokens(t))
