@@ -35,19 +35,29 @@ def summaries(pages: DataFrame) -> DataFrame:
 def attach_artefacts(strips: DataFrame, artefacts: DataFrame) -> DataFrame:
     """strips: stem, name; artefacts: stem, kind, name, path. Adds binarized, original, block, craft and debug of the strip, page (layout image) and page_image (original) of its page; "" where missing.
 
-    A strip's five wanted keys are rows of one equi-join with the artefacts, the first path of each by then, so the work is linear in both. Repeated strips stay as often as they come.
+    Both are dealt out by page once, a row each; tables that are dealt out so already are not moved. There, a strip meets the artefacts of its
+    block, of its name's stem and of its original's name by a sort for each of the three, and takes the first path of each kind, so the work is linear in both. Repeated strips stay as often as they come.
     """
-    name = F.col("name")
-    block = x.block_of(name)
-    wanted = {"binarized": x.binarized_name(name), "original": x.original_name(name), "block": F.concat(block, F.lit("_block.png")), "craft": F.concat(block, F.lit("_craft.png")), "debug": F.concat(x.stem(name), F.lit("_mat_debug.png"))}
+    name, kind, path = F.col("name"), F.col("kind"), F.col("path")
+    less = lambda suffix: F.when(name.endswith(suffix), F.substring(name, F.lit(1), F.length(name) - len(suffix)))
+    #: What a strip is found by, and what its artefacts of each kind are.
+    shared = (
+        (x.block_of(name), {"block": less("_block.png"), "craft": less("_craft.png")}),
+        (x.stem(name), {"binarized": less("_binarized.png"), "debug": less("_mat_debug.png")}),
+        (x.original_name(name), {"original": name}),
+    )
     of_page = {"layout": "page", "page": "page_image"}
-    asked = strips.groupBy("stem", "name").agg(F.count("*").alias("_times"))
-    keys = asked.select("stem", "name", "_times", F.inline(F.array(*(F.struct(F.lit(kind).alias("kind"), key.alias("_key")) for kind, key in wanted.items()))))
-    held = artefacts.filter(F.col("kind").isin(*wanted)).groupBy("stem", "kind", F.col("name").alias("_key")).agg(F.min("path").alias("path"))
-    pages = artefacts.filter(F.col("kind").isin(*of_page)).groupBy("stem").agg(*(F.min(F.when(F.col("kind") == kind, F.col("path"))).alias(out) for kind, out in of_page.items()))
-    own = keys.join(held, ["stem", "kind", "_key"], "left").groupBy("stem", "name").agg(F.first("_times").alias("_times"), *(F.max(F.when(F.col("kind") == kind, F.col("path"))).alias(kind) for kind in wanted))
-    found = own.join(pages, "stem", "left").withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return found.select("stem", "name", *(F.coalesce(c, F.lit("")).alias(c) for c in (*wanted, *of_page.values())))
+    none = F.lit(None).cast("string")
+    held = artefacts.filter(kind.isin(*(k for _, kinds in shared for k in kinds)))
+    rows = strips.select("stem", "name", none.alias("kind"), none.alias("path")).unionByName(held.select("stem", "name", "kind", "path"))
+    for own, kinds in shared:
+        key = F.coalesce(F.when(kind.isNull(), own), *(F.when(kind == k, of) for k, of in kinds.items()))
+        alike = Window.partitionBy("stem").orderBy("_key").rangeBetween(Window.currentRow, Window.currentRow)
+        keyed = rows.withColumn("_key", key).filter(kind.isNull() | ~kind.isin(*kinds) | F.col("_key").isNotNull())
+        rows = keyed.withColumns({k: F.min(F.when((kind == k) & F.col("stem").isNotNull(), path)).over(alike) for k in kinds}).filter(kind.isNull() | ~kind.isin(*kinds)).drop("_key")
+    for k, out in of_page.items():
+        rows = rows.join(artefacts.filter(kind == k).groupBy("stem").agg(F.min("path").alias(out)), "stem", "left")
+    return rows.select("stem", "name", *(F.coalesce(c, F.lit("")).alias(c) for c in ("binarized", "original", "block", "craft", "debug", *of_page.values())))
 
 
 def collect_results(requested: DataFrame, done: DataFrame) -> DataFrame:

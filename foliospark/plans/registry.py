@@ -317,7 +317,8 @@ def failed_strip_rates(w):
 
 
 def _artefacts(words):
-    strips = words.select("stem", F.format_string("%s_word_%03d_strip.png", "block_id", "word_idx").alias("name"), "block_id", "word_idx").distinct()
+    n = max(200, 4 * int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # many, as a strip takes some bytes in a shuffle and hundreds when sorted with its artefacts
+    strips = words.select("stem", "block_id", "word_idx").repartition(n, "stem").distinct().withColumn("name", F.format_string("%s_word_%03d_strip.png", "block_id", "word_idx"))
     path = lambda kind, name: F.struct(F.lit(kind).alias("kind"), name.alias("name"), F.concat_ws("/", F.lit(kind), F.col("stem"), name).alias("path"))
     made = F.array(
         F.when(F.col("word_idx") % 2 == 0, path("binarized", x.binarized_name(F.col("name")))), F.when(F.col("word_idx") % 3 == 0, path("original", x.original_name(F.col("name")))),

@@ -49,6 +49,29 @@ def test_artefact_work_is_linear(spark):
         assert "collect_list" not in plan and plan.count("Join") == 2
 
 
+def test_artefacts_of_odd_names(spark):
+    """Names without blocks, suffixes or pages, the first path of several, and strips that come twice: as looked up one by one."""
+    names = ["a_word_1_strip.png", "a_word_1_strip.png", "x_wo_strip.pngrd_1", "strip", ".png", "a.b_word_2.c", "_word_", "a_strip.png", "", None]
+    stems = ["p", "q", None]
+    keys = ["a_word_1_strip_binarized.png", "x_wo_strip_binarized.png", "strip_mat_debug.png", ".png_binarized.png", "a.b_word_2_binarized.png", "a_block.png", "a.b_craft.png", "x_block.png", "_block.png", "a_word_1.png", "strip", "_word_", "", None, "layout.png"]
+    held = [(p, kind, k, f"{kind}{i}{j}") for j, p in enumerate(stems) for i, k in enumerate(keys) for kind in ("binarized", "original", "block", "craft", "debug", "layout", "other") if (i + j) % 3] + [("p", "block", "a_block.png", "1"), ("q", "page", "z", None)]
+    stem = lambda n: re.sub(r"(?<=.)\.[^.]*$", "", n)
+    block = lambda n: n.replace("_strip.png", "").split("_word_")[0]
+    asked = {"binarized": lambda n: stem(n) + "_binarized.png", "original": lambda n: n.replace("_strip.png", ".png") if "_word_" in n else n, "block": lambda n: block(n) + "_block.png", "craft": lambda n: block(n) + "_craft.png", "debug": lambda n: stem(n) + "_mat_debug.png"}
+    first = lambda p, kind, of: min((path for q, k, key, path in held if path and p is not None and (q, k) == (p, kind) and of(key)), default="")
+    want = [(p, n, *(first(p, kind, lambda key: n is not None and key == f(n)) for kind, f in asked.items()), first(p, "layout", lambda _: True), "") for p in stems for n in names]  # noqa: B023
+    got = report.attach_artefacts(spark.createDataFrame([(p, n) for p in stems for n in names], "stem string, name string"), spark.createDataFrame(held, "stem string, kind string, name string, path string"))
+    assert got.columns == ["stem", "name", *asked, "page", "page_image"]
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got.collect())
+
+
+def test_strips_are_not_copied_by_key(spark, sf):
+    """Strips and artefacts are dealt out by page; five copies of each strip went through shuffles before."""
+    plan = registry.QUERIES["artefact_lookup"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"Exchange hashpartitioning\(([^)]*), \d+\)", plan)
+    assert dealt and all(re.fullmatch(r"stem#\d+", by) for by in dealt)
+
+
 # -- edit distance
 
 
