@@ -274,6 +274,31 @@ def test_nearest_anchor_is_that_of_all_pairs(spark):
     assert components.nearest_anchor(spark.createDataFrame(c, BOX), spark.createDataFrame(a, BOX).limit(0)).count() == 0
 
 
+def classes_by_hand(rows, pixels):
+    """Class of each component of one image, all pairs."""
+    valid = sorted((r for r in rows if r[2] >= pixels * components.HARD_MIN), key=lambda r: (-r[2], -r[1]))
+    middle = float(np.median([r[2] for r in valid[: components.TOP_N]])) if valid else None
+    anchors = [r for r in valid if r[2] >= components.ANCHOR * middle]
+    reach = components.NEAR_FACTOR * float(np.median([r[6] for r in anchors])) if anchors else -1
+    out = {r[1]: "removed" for r in rows} | {r[1]: "anchor" for r in anchors}
+    for _, i, area, x, y, w, h in valid:
+        cx, cy = x + w // 2, y + h // 2
+        if out[i] == "removed" and area >= components.NEAR_AREA * middle and any((max(b[3] - cx, 0, cx - b[3] - b[5]) ** 2 + max(b[4] - cy, 0, cy - b[4] - b[6]) ** 2) ** 0.5 <= reach for b in anchors):
+            out[i] = "near"
+    return out
+
+
+def test_classes_with_and_without_grid(spark):
+    """Images of few and of many anchors, coordinates below zero, one anchor far larger than the others, none at all."""
+    rng = random.Random(16)
+    some = lambda img, n, side, low=0: [(img, i, rng.choice([1000, 900, 100, 30, 2]), low + rng.randrange(side), low + rng.randrange(side), rng.randrange(1, 30), rng.randrange(1, 30)) for i in range(n)]
+    images = [some(1, 30, 400), some(2, 600, 1500), some(3, 700, 2000, -1000), some(4, 300, 300) + [(4, 300, 10**6, -50, -50, 5000, 2)], [(5, 0, 2, 0, 0, 1, 1)], some(6, 2 * components.FEW, 900)]
+    got = components.classify(spark.createDataFrame([r for rows in images for r in rows], BOX), 600_000)
+    assert got.columns == ["img_id", "comp_id", "area", "lft", "tp", "wid", "hgt", "class"]
+    assert {(r.img_id, r.comp_id): r["class"] for r in got.collect()} == {(rows[0][0], i): c for rows in images for i, c in classes_by_hand(rows, 600_000).items()}
+    assert {"anchor", "near", "removed"} <= {r["class"] for r in got.filter("img_id = 2").collect()}
+
+
 def test_components_are_dealt_out_once(spark):
     """Classes and their counts go by image: one shuffle of the components, where joins made seven more."""
     rows = spark.createDataFrame(boxes(random.Random(17), 50, 500), BOX)
