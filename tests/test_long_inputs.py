@@ -300,7 +300,7 @@ def test_classes_with_and_without_grid(spark):
 
 
 def test_components_are_dealt_out_once(spark):
-    """Classes and their counts go by image: one shuffle of the components, where joins made seven more."""
+    """Classes and their counts go by image: one shuffle of the components, where joins made eight more."""
     rows = spark.createDataFrame(boxes(random.Random(17), 50, 500), BOX)
     for df in (components.classify(rows, 10**6), components.class_counts(components.classify(rows, 10**6))):
         plan = df._jdf.queryExecution().executedPlan().toString()
